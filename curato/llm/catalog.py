@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from functools import wraps
 
-from curato.llm import decontaminate, pii, tokenfile
+from curato.llm import decontaminate, mixing, pii, syncmers, tokenfile
 
 
 def ship(spark) -> None:
@@ -35,6 +35,8 @@ def queries() -> dict:
     """Each corpus query by name."""
     found = {
         "op1_decontamination": decontaminate.op1_decontamination,
+        "op4_mixing": mixing.op4_mixing,
+        "op10_syncmers": syncmers.op10_syncmers,
         "op9_pii": pii.op9_pii,
         "op7_token_output": tokenfile.op7_token_output,
     }
@@ -43,4 +45,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """The SQL of the corpus queries that SQL can express."""
-    return {"op1_decontamination": decontaminate.OP1_SQL}
+    return {"op1_decontamination": decontaminate.OP1_SQL, "op4_mixing": mixing.OP4_SQL}

@@ -183,7 +183,7 @@ def normalised(text: str) -> Tape:
     tape = Tape(text)
     if not text.isascii():
         tape = tape.apply([(m.start(), m.end(), "".join(map(HOMOGLYPHS.__getitem__, m[0]))) for m in _GLYPH.finditer(text)])
-    if sum(map(_IS_NAME, tape.text.lower().translate(_BLANKS).split())) >= 7:
+    if sum(map(_IS_NAME, tape.text.lower().replace("-", " ").replace(".", " ").split())) >= 7:
         tape = tape.apply([(m.start(), m.end(), _digits(m)) for m in _RUN.finditer(tape.text)])
     edits = [(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETS.finditer(tape.text)] if any(c in tape.text for c in "([{<") else []
     tape = tape.apply(edits)
@@ -195,7 +195,6 @@ def normalised(text: str) -> Tape:
 
 
 _IS_NAME = frozenset(SPELLED).__contains__
-_BLANKS = str.maketrans("-.", "  ")
 
 
 def disguised(text: str) -> bool:
@@ -205,7 +204,7 @@ def disguised(text: str) -> bool:
         (not text.isascii() and _GLYPH.search(text) is not None)
         or (any(c in text for c in "([{<") and _BRACKETS.search(text) is not None)
         or (" dot " in low and " at " in low)
-        or sum(map(_IS_NAME, low.translate(_BLANKS).split())) >= 7
+        or sum(map(_IS_NAME, low.replace("-", " ").replace(".", " ").split())) >= 7
     )
 
 
