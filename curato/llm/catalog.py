@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from functools import wraps
 
-from curato.llm import decontaminate, mixing, pii, syncmers, tokenfile
+from curato.llm import decontaminate, mixing, pii, quality, syncmers, tokenfile, toxicity
 
 
 def ship(spark) -> None:
@@ -37,6 +37,8 @@ def queries() -> dict:
         "op1_decontamination": decontaminate.op1_decontamination,
         "op4_mixing": mixing.op4_mixing,
         "op10_syncmers": syncmers.op10_syncmers,
+        "op5_quality": quality.op5_quality,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op9_pii": pii.op9_pii,
         "op7_token_output": tokenfile.op7_token_output,
     }
