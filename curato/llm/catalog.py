@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from functools import wraps
 
-from curato.llm import decontaminate, mixing, pii, quality, syncmers, tokenfile, toxicity
+from curato.llm import decontaminate, mixing, neardup, pii, quality, syncmers, tokenfile, toxicity
 
 
 def ship(spark) -> None:
@@ -35,6 +35,7 @@ def queries() -> dict:
     """Each corpus query by name."""
     found = {
         "op1_decontamination": decontaminate.op1_decontamination,
+        "op2_neardup": neardup.op2_neardup,
         "op4_mixing": mixing.op4_mixing,
         "op10_syncmers": syncmers.op10_syncmers,
         "op5_quality": quality.op5_quality,

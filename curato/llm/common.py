@@ -58,3 +58,21 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, total: int) -> Dat
     cold = right.where(~is_hot(F.col("n_key"), total)).drop("n_key")
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) for every node of the edges (a, b), labelled by the smallest node it is connected with.
+
+    Labels spread along edges and then jump to their label's label, so long chains take few rounds. Every round is
+    written to the shared folder; nothing but a count of changes comes to the driver.
+    """
+    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = materialise(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("low"))
+        spread = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "low").alias("label"), (F.col("low") < F.col("label")).alias("moved"))
+        spread = materialise(spread, "spread")
+        if not spread.where("moved").limit(1).count():
+            return spread.select("node", "label")
+        up = spread.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        labels = materialise(spread.select("node", "label").join(up, "label").select("node", F.col("further").alias("label")), "labels")
