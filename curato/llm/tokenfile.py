@@ -14,6 +14,7 @@ import struct
 import sys
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ END = 2
 #: Tokens at which a shard is closed; a longer document has a shard of its own.
 SHARD_TOKENS = 1 << 20
 #: Pieces of text whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 1_000_000
 MAGIC = b"WMX1"
 BLOCK = 512
 
@@ -161,15 +162,28 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: itself if visible, else the next from U+0100."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
+
+
+_BYTES = _byte_letters()
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, remembering the ids of pieces.
 
-    The vocabulary's pre-tokenizer always starts a new word at a single space between two other characters, so
-    a text may be cut there and its pieces encoded apart.
+    The vocabulary's pre-tokenizer always starts a new word at a single blank between two other characters, makes a
+    single line feed between two others a word of its own, and parts letters from the marks after them. So a text may
+    be cut there and its pieces encoded apart.
     """
 
     _cut = re.compile(r"(?<=\S) (?=\S)")
-    _runs = re.compile(r"\s\s|^\s|\s\Z")
+    #: Blanks that stand together or at an end, and those other than the space and the line feed.
+    _odd = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    _tail = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -178,25 +192,55 @@ class Encoder:
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
         self.bits = max(1, (max(self.inner.get_vocab_size() - 1, END)).bit_length())
+        self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
+        #: The ids of a piece after a blank, or as it is if it starts with a line feed or a blank.
         self.seen: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:
-        parts = self._cut.split(text) if self._runs.search(text) else text.split(" ")
-        return parts[:1] + [" " + p for p in parts[1:]]
+        """Pieces that follow a blank or a line feed; the first has neither, which is marked by NUL."""
+        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[0] == " " or text[-1] == " " or self._odd.search(text):
+            parts = self._cut.split(text)
+        else:
+            parts = text.replace("\n", " \n").split(" ")
+        parts[0] = "\0" + parts[0]
+        return parts
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encodes new pieces; one of letters and marks is made of the letters' ids and the marks'."""
+        seen, made, plain = self.seen, [], set()
+        for piece in pieces:
+            found = self._tail.fullmatch(piece) if piece[:1] not in "\0\n" else None
+            if found:
+                made.append((piece, found[1], "\0" + found[2]))
+                plain.update(found.groups()[:1])
+                plain.add("\0" + found[2])
+            else:
+                plain.add(piece)
+        new = [p for p in plain if p not in seen]
+        # Letters alone are one word to the pre-tokenizer: its model takes them as they are, byte by byte.
+        for piece in new:
+            if piece.isalpha():
+                found = self.inner.model.tokenize((b" " + piece.encode()).decode("latin-1").translate(_BYTES))
+                seen[piece] = np.array([t.id for t in found], self.kind).tobytes()
+        rest = [p for p in new if not p.isalpha()]
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            whole = [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in part]
+            for piece, found in zip(part, self.inner.encode_batch_fast(whole, add_special_tokens=False)):
+                seen[piece] = np.array(found.ids, self.kind).tobytes()
+        for piece, head, tail in made:
+            seen[piece] = seen[head] + seen[tail]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
-        cut = [self._pieces(t) if t else [] for t in texts]
-        seen = self.seen
-        if len(seen) > CACHE:
-            seen.clear()
-        new = list({p for pieces in cut for p in pieces if p not in seen})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for piece, found in zip(part, self.inner.encode_batch_fast(part, add_special_tokens=False)):
-                seen[piece] = np.array(found.ids, "<u4").tobytes()
-        end = np.array([END], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(seen.__getitem__, pieces), end]), "<u4") for pieces in cut]
+        if len(self.seen) > CACHE:
+            # The first half stays: words met early are mostly frequent ones.
+            for piece in list(islice(self.seen, CACHE // 2, None)):
+                del self.seen[piece]
+        cut = [self._pieces(t) if t and "\0" not in t else ["\0" + t] if t else [] for t in texts]
+        self._learn(set().union(*cut).difference(self.seen))
+        end = np.array([END], self.kind).tobytes()
+        return [np.frombuffer(b"".join([*map(self.seen.__getitem__, pieces), end]), self.kind) for pieces in cut]
 
 
 def _encoder(path: str) -> Encoder:
@@ -216,7 +260,7 @@ def write_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     path = path or tokenizer_path()
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("i"), F.col(text).cast("string").alias("t"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "i", "t").sortWithinPartitions("i", "t")
+    ordered = rows.repartitionByRange(n, "i").sortWithinPartitions("i", "t")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, ids, lengths, parts, total, before = _encoder(path), [], [], [], 0, 0
@@ -224,7 +268,7 @@ def write_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
         def close():
             tokens = np.concatenate(parts)
-            matrix = WaveletMatrix.build(tokens.astype(np.uint16) if encoder.bits <= 16 else tokens, encoder.bits)
+            matrix = WaveletMatrix.build(tokens, encoder.bits)
             content = Shard(np.array(ids), np.array(lengths), matrix).to_bytes()
             return pa.RecordBatch.from_pydict({"part": pa.array([task], pa.int32()), "before": [before], "first_id": [ids[0]], "last_id": [ids[-1]], "n_docs": [len(ids)], "n_tokens": [total], "content": [content]})
 
