@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from functools import wraps
 
-from curato.llm import decontaminate, mixing, neardup, pii, quality, syncmers, tokenfile, toxicity
+from curato.llm import decontaminate, mixing, neardup, pii, pitmanyor, quality, syncmers, tokenfile, toxicity
 
 
 def ship(spark) -> None:
@@ -40,6 +40,7 @@ def queries() -> dict:
         "op10_syncmers": syncmers.op10_syncmers,
         "op5_quality": quality.op5_quality,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op8_lm": pitmanyor.op8_lm,
         "op9_pii": pii.op9_pii,
         "op7_token_output": tokenfile.op7_token_output,
     }
