@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from functools import wraps
 
-from curato.llm import decontaminate, mixing, neardup, pii, pitmanyor, quality, syncmers, tokenfile, toxicity
+from curato.llm import decontaminate, mixing, neardup, passages, pii, pitmanyor, quality, syncmers, tokenfile, toxicity
 
 
 def ship(spark) -> None:
@@ -36,6 +36,7 @@ def queries() -> dict:
     found = {
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_neardup": neardup.op2_neardup,
+        "op3_passages": passages.op3_passages,
         "op4_mixing": mixing.op4_mixing,
         "op10_syncmers": syncmers.op10_syncmers,
         "op5_quality": quality.op5_quality,
