@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from curato.plans import assets
+
+_ALL = {**assets.QUERIES}
+
 
 def flagship(spark, sf_dir):
-    """The dataset report over the documents table."""
-    return queries()["asset_exact_duplicates"](spark, sf_dir)
+    """Review categories of all assets: hashing, duplicates, rules and overrides."""
+    return _ALL["review_categories"][0](spark, sf_dir)
 
 
 def queries() -> dict:
     """Each query by name."""
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict:
     """The DuckDB SQL of each query that has one."""
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
