@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from curato.plans import assets
+from curato.plans import assets, tagging
 
-_ALL = {**assets.QUERIES}
+_ALL = {**assets.QUERIES, **tagging.QUERIES}
 
 
 def flagship(spark, sf_dir):
