@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from curato.plans import assets, tagging
+from curato.plans import assets, tagging, training
 
-_ALL = {**assets.QUERIES, **tagging.QUERIES}
+_ALL = {**assets.QUERIES, **tagging.QUERIES, **training.QUERIES}
 
 
 def flagship(spark, sf_dir):
