@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from curato.plans import assets, tagging, training
+from curato.plans import assets, state, tagging, training
 
-_ALL = {**assets.QUERIES, **tagging.QUERIES, **training.QUERIES}
+_ALL = {**assets.QUERIES, **tagging.QUERIES, **training.QUERIES, **state.QUERIES}
 
 
 def flagship(spark, sf_dir):
