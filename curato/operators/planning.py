@@ -30,24 +30,24 @@ def hash_holdout(assets: DataFrame, key: str, wanted: int, seed: int = 42, clust
 
     With clusters the groups are read in order, a partition at a time, only until the number is reached.
     """
-    rows = assets.withColumn("g", F.coalesce(F.col(cluster).cast("string"), F.col(key).cast("string")) if cluster else F.col(key).cast("string"))
-    groups = rows.groupBy("g").agg(F.count("*").alias("n")).withColumn("rank", group_rank(seed, F.col("g")))
+    own = F.coalesce(F.col(cluster).cast("string"), F.col(key).cast("string")) if cluster else F.col(key).cast("string")
     if wanted <= 0:
-        return rows.drop("g").withColumn("split", F.lit("train"))
+        return assets.withColumn("split", F.lit("train"))
+    groups = assets.groupBy(own.alias("_group")).agg(F.count("*").alias("n")).withColumn("rank", group_rank(seed, F.col("_group")))
     if cluster is None:
-        taken = groups.orderBy("rank", "g").limit(wanted).select("g")
+        taken = groups.orderBy("rank", "_group").limit(wanted).select("_group")
     else:
         taken, total = [], 0
         # Groups arrive in order and the loop stops at the wanted number: skipped groups are larger than what is left.
-        for row in groups.orderBy("rank", "g").toLocalIterator():
+        for row in groups.orderBy("rank", "_group").toLocalIterator():
             if total >= wanted:
                 break
             if not taken or abs(wanted - total - row.n) <= abs(wanted - total):
-                taken.append((row.g,))
+                taken.append((row[0],))
                 total += row.n
-        taken = assets.sparkSession.createDataFrame(taken, "g string")
-    marked = rows.join(taken.withColumn("v", F.lit(True)), "g", "left")
-    return marked.withColumn("split", F.when(F.col("v"), "validation").otherwise("train")).drop("g", "v")
+        taken = assets.sparkSession.createDataFrame(taken, "_group string")
+    marked = assets.withColumn("_group", own).join(taken.withColumn("_held", F.lit(True)), "_group", "left")
+    return marked.withColumn("split", F.when(F.col("_held"), "validation").otherwise("train")).drop("_group", "_held")
 
 
 def shuffled_holdout(ids: Sequence[str], ratio: float, seed: int = 42) -> tuple[list[str], list[str]]:
