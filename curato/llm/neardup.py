@@ -194,7 +194,7 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, least: f
     """The pairs whose texts are similar enough, with their similarity."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     node = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(raw(text)).bitwiseOR(F.lit(-(1 << 63))))
-    texts = docs.select(node.alias("node"), raw(text).alias("t")).join(nodes, "node", "left_semi")
+    texts = docs.select(node.alias("node"), raw(text).alias("t")).join(nodes.hint("merge"), "node", "left_semi")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +239,7 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     found = materialise(near_duplicates(docs.select("doc_id", "text"), **options), "found")
     kept = found.where("doc_id = class_id").select(F.col("doc_id").alias("node")).distinct()
     node = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(raw()).bitwiseOR(F.lit(-(1 << 63))))
-    rows = docs.select(F.struct("*").alias("row"), node.alias("node")).join(kept, "node", "left_semi")
+    rows = docs.select(F.struct("*").alias("row"), node.alias("node")).join(kept.hint("merge"), "node", "left_semi")
     one = Window.partitionBy("node").orderBy(F.col("row.text"))
     return rows.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
 
