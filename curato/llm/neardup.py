@@ -167,27 +167,22 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _linked(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Each row of (``by``, node, draw) with the group's first node and the one before it."""
-    order = Window.partitionBy(*by).orderBy("draw", "node")
-    return rows.withColumn("first", F.first("node").over(order)).withColumn("before", F.lag("node").over(order))
+    """Each row of (``by``, node, draw) with the first node of its group."""
+    return rows.withColumn("first", F.first("node").over(Window.partitionBy(*by).orderBy("draw", "node")))
 
 
 def candidates(keyed: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of nodes that share a key: never all pairs of one.
 
-    The nodes of a key are dealt into parts by a hash. Within a part each is paired with the part's first and with the
-    one before it, in an order drawn anew for each key; the parts' firsts are paired likewise. The keys of a text draw
-    different orders, so that near-duplicates in a large group are linked over many paths.
+    The nodes of a key are dealt into parts by a hash. Each is paired with its part's first node, in an order drawn
+    anew for each key, and the parts' firsts with the first of them. The keys of a text draw different orders, so that
+    near-duplicates in a large group are linked over many paths.
     """
     rows = keyed.select("key", "node", F.xxhash64("key", "node").alias("draw"), F.pmod(F.xxhash64("node", F.lit("part")), F.lit(PARTS)).alias("part"))
     parts = _linked(rows, ["key", "part"])
     firsts = _linked(parts.where("node = first").select("key", "node", "draw").distinct(), ["key"])
-    pairs = None
-    for level in (parts, firsts):
-        for other in ("first", "before"):
-            found = level.where(F.col(other).isNotNull() & (F.col(other) != F.col("node"))).select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b"))
-            pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs.distinct()
+    pairs = parts.select("node", "first").unionByName(firsts.select("node", "first")).where("node != first")
+    return pairs.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
