@@ -37,17 +37,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _MULTIPLY)
+_ODD = mix(_SEEDS) | np.uint64(1)
+
+
+class _Digests(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = xxhash.xxh64_digest(word)
+        return found
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of a text's words; a worker remembers those of frequent ones."""
-    seen = sys.modules[__name__].__dict__.setdefault("_seen", {})
+    """64-bit hashes of a text's words; a worker remembers those it has met."""
+    seen = sys.modules[__name__].__dict__.setdefault("_seen", _Digests())
     if len(seen) > 300_000:
         seen.clear()
-    words = words_of(text)
-    for word in set(words).difference(seen):
-        seen[word] = xxhash.xxh64_intdigest(word)
-    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+    return np.frombuffer(b"".join(map(seen.__getitem__, words_of(text))), ">u8").astype(np.uint64)
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -73,9 +77,14 @@ def keys_of(words: np.ndarray) -> list[int]:
     occurrence = np.empty(len(found), np.uint64)
     occurrence[order] = np.arange(len(ranked)) - starts
     labelled = mix(found + occurrence * _MULTIPLY)
-    drawn = mix(labelled[None, :] ^ _SEEDS[:, None])
-    picked = min(PICKED, len(found))
-    places = np.sort(np.argpartition(drawn, picked - 1, axis=1)[:, :picked], axis=1)
+    # The labels are scrambled already: one multiplication by an odd number draws anew for each hash function.
+    drawn = (labelled[None, :] ^ _SEEDS[:, None]) * _ODD[:, None]
+    picked, rows = min(PICKED, len(found)), np.arange(BANDS)
+    places = np.empty((BANDS, picked), np.int64)
+    for i in range(picked):
+        places[:, i] = drawn.argmin(axis=1)
+        drawn[rows, places[:, i]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    places.sort(axis=1)
     keys = _SEEDS.copy()
     for i in range(picked):
         keys = mix(keys * _MULTIPLY + labelled[places[:, i]])
@@ -100,8 +109,10 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     gap = np.bincount(counts[: len(a)], minlength=len(values)) - np.bincount(counts[len(a) :], minlength=len(values))
     if max(gap[gap > 0].sum(), -gap[gap < 0].sum()) > most:
         return most + 1
-    found = _furthest(a.tolist(), b.tolist(), min(most, 64))
-    return found if found <= min(most, 64) or most <= 64 else _banded(a, b, most)
+    a, b = a.tolist(), b.tolist()
+    few = min(most, 10)
+    found = _furthest(a, b, few)
+    return found if found <= few or most <= few else _banded(a, b, most)
 
 
 def _furthest(a: list[int], b: list[int], most: int) -> int:
@@ -124,25 +135,47 @@ def _furthest(a: list[int], b: list[int], most: int) -> int:
     return most + 1
 
 
-def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance by rows of the matrix, no more than ``most`` off its diagonal."""
+def _banded(a: list[int], b: list[int], most: int) -> int:
+    """Edit distance within ``most`` diagonals of the main one, a column of the band at a time as bits of integers.
+
+    After Hyyro (2003): the bits say where the next row of a column is larger (``up``) or smaller (``down``). Bit i of
+    the band stands for row j - most + i in column j, so the band moves down a row with each column.
+    """
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return most + 1
+    where: dict[int, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
     width = 2 * most + 1
-    far = most + len(a) + len(b)
-    steps = np.arange(width)
-    column = steps - most
-    row = np.where((column >= 0) & (column <= len(b)), column, far)
-    padded = np.concatenate((np.zeros(most, b.dtype), b, np.zeros(most + len(a) + 1, b.dtype)))
-    for i in range(1, len(a) + 1):
-        column = steps + i - most
-        inside = (column >= 0) & (column <= len(b))
-        replaced = row + (padded[i - 1 : i - 1 + width] != a[i - 1])
-        replaced[column < 1] = far
-        deleted = np.concatenate((row[1:], [far])) + 1
-        best = np.where(inside, np.minimum(replaced, deleted), far)
-        row = np.where(inside, np.minimum.accumulate(best - steps) + steps, far)
-        if row.min() > most:
+    full = (1 << width) - 1
+    # In column 0 each row below the first is larger by one.
+    up, down = full >> most << most, 0
+    middle = 1 << most
+    distance = 0
+    for j in range(m):
+        shift = j - most
+        mask = where.get(b[j], 0)
+        same = (mask >> shift if shift >= 0 else mask << -shift) & full
+        diagonal = ((((same & up) + up) ^ up) | same | down) & full
+        right_up = (down | ~(diagonal | up)) & full
+        right_down = diagonal & up
+        distance += not diagonal & middle
+        if distance > most + abs(n - m):
             return most + 1
-    return int(min(row[len(b) - len(a) + most], most + 1))
+        moved = diagonal >> 1
+        up = (right_down | ~(moved | right_up)) & full
+        down = moved & right_up
+    # From the main diagonal's end, row m of the last column, along the column to row n.
+    at, steps = most, n - m
+    while steps > 0:
+        distance += (up >> at & 1) - (down >> at & 1)
+        at, steps = at + 1, steps - 1
+    while steps < 0:
+        at -= 1
+        distance -= (up >> at & 1) - (down >> at & 1)
+        steps += 1
+    return min(distance, most + 1)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:

@@ -29,7 +29,7 @@ def test_edit_distance_equals_the_plain_one():
         for most in (0, 2, 5, 12, 50):
             assert neardup.edit_distance(a, b, most) == min(want, most + 1)
             if len(a) and len(b) and abs(len(a) - len(b)) <= most:
-                assert neardup._banded(a, b, most) == min(want, most + 1)
+                assert neardup._banded(a.tolist(), b.tolist(), most) == min(want, most + 1)
 
 
 def _edited(words, rng, edits):
