@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curato.functions.columns import hex_digest, version_tuple
-from curato.operators import constraints, ingest, logs, state
+from curato.operators import constraints, generate, ingest, logs, state
 from curato.plans.assets import read
 from curato.streaming import events as streams
 
@@ -203,6 +203,28 @@ def stream_throttled(spark, sf):
     return rows.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "user_id", "event_id")
 
 
+def loss_curves(spark, sf):
+    key = F.col("s_suppkey")
+    runs = read(spark, sf, "supplier").select(key.alias("run_id"), (key % 9 + 1).cast("int").alias("epochs"), (key * 31 % 900 + 100).alias("total_steps"))
+    rows = generate.loss_curves(runs)
+    return rows.select("run_id", "epoch", F.col("step").cast("long").alias("step"), F.round("train_loss", 6).alias("train_loss"), F.round("validation_loss", 6).alias("validation_loss"))
+
+
+def target_epochs(spark, sf):
+    return read(spark, sf, "supplier").select("s_suppkey", F.array_join(generate.target_epochs(F.col("s_suppkey") % 23 + 1).cast("array<string>"), ",").alias("epochs"))
+
+
+def drawn_tags(spark, sf):
+    rows = read(spark, sf, "documents").select(F.col("doc_id").alias("asset_id"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    return generate.drawn_tags(rows, "sha")
+
+
+def runtime_compatibility(spark, sf):
+    key = F.col("p_partkey")
+    rows = read(spark, sf, "part").select("p_partkey", (key % 3 * 2 + 8).cast("int").alias("major"), F.lit(0).alias("minor"), F.when(key % 2 == 0, F.array(F.lit("SM_80"), F.lit("sm_100"))).otherwise(F.array(F.lit("sm_ 120"))).alias("arches"), F.when(key % 5 == 0, "12.8").when(key % 5 == 1, "13").otherwise("12.4").alias("cuda_version"), (key % 7 != 0).alias("tensor_ok"), (key % 11 != 0).alias("bf16_ok"))
+    return generate.compatibility(rows).select("p_partkey", F.array_join("reasons", ",").alias("reasons"), "compatible")
+
+
 QUERIES = {
     "latest_stage": (latest_stage, f"WITH {STAGES} SELECT * FROM stages WHERE status = 'succeeded' QUALIFY row_number() OVER (PARTITION BY run_id, stage ORDER BY attempt DESC) = 1"),
     "next_attempt": (next_attempt, f"WITH {STAGES} SELECT run_id, stage, max(attempt) + 1 AS next FROM stages GROUP BY ALL"),
@@ -233,4 +255,8 @@ QUERIES = {
     "stream_event_counts": (stream_event_counts, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL"),
     "stream_last_state": (stream_last_state, "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL"),
     "stream_throttled": (stream_throttled, "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, user_id, min(event_id) AS event_id FROM events GROUP BY ALL"),
+    "loss_curves": (loss_curves, "WITH r AS (SELECT s_suppkey AS run_id, s_suppkey % 9 + 1 AS epochs, s_suppkey * 31 % 900 + 100 AS total FROM supplier), e AS (SELECT *, unnest(range(1, epochs + 1)) AS epoch FROM r), s AS (SELECT *, greatest(1, ceil(total * epoch / CAST(epochs AS DOUBLE))) AS step FROM e) SELECT run_id, CAST(epoch AS INTEGER) AS epoch, CAST(step AS BIGINT) AS step, round(greatest(0.02, 0.65 * exp(-2.2 * step / total)), 6) AS train_loss, round(greatest(0.03, 0.58 * exp(-1.7 * step / total) + epoch * 0.002), 6) AS validation_loss FROM s"),
+    "target_epochs": (target_epochs, "SELECT s_suppkey, array_to_string(list_sort(list_distinct([CAST(greatest(1, ceil((s_suppkey % 23 + 1) * f)) AS INTEGER) FOR f IN [0.25, 0.5, 0.75, 1.0]])), ',') AS epochs FROM supplier"),
+    "drawn_tags": (drawn_tags, f"WITH d AS (SELECT doc_id AS asset_id, sha256(unhex(sha256(text))) AS seed FROM documents), v AS (SELECT {generate.DRAWN_TAGS} AS tags), h AS (SELECT asset_id, seed, tags, [tags[i + 1] FOR i IN range(0, 12) IF CAST('0x' || substr(seed, 2 * i + 1, 2) AS INTEGER) % 5 = 0] AS hit FROM d, v), c AS (SELECT asset_id, seed, CASE WHEN len(hit) >= 3 THEN hit[1:5] ELSE list_concat(hit, [t FOR t IN tags IF NOT list_contains(hit, t)])[1:3] END AS chosen FROM h), l AS (SELECT asset_id, seed, unnest(chosen) AS tag, unnest(range(0, len(chosen))) AS i FROM c) SELECT asset_id, tag, CAST(0.55 AS DOUBLE) + CAST('0x' || substr(seed, 2 * i + 1, 2) AS INTEGER) / CAST(1024 AS DOUBLE) AS score FROM l UNION ALL SELECT asset_id, '1girl', CAST(0.97 AS DOUBLE) FROM d UNION ALL SELECT asset_id, 'solo', CAST(0.92 AS DOUBLE) FROM d"),
+    "runtime_compatibility": (runtime_compatibility, "WITH r AS (SELECT p_partkey AS k, p_partkey % 3 * 2 + 8 AS major FROM part), f AS (SELECT k, concat_ws(',', CASE WHEN NOT (CASE WHEN k % 2 = 0 THEN major IN (8, 10) ELSE major = 12 END) THEN 'arch_missing' END, CASE WHEN k % 7 = 0 THEN 'tensor_failed' END, CASE WHEN k % 11 = 0 THEN 'bf16_failed' END, CASE WHEN major >= 12 AND k % 5 NOT IN (0, 1) THEN 'cuda_too_old' END) AS reasons FROM r) SELECT k AS p_partkey, reasons, reasons = '' AS compatible FROM f"),
 }

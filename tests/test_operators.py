@@ -333,3 +333,23 @@ def test_streams(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.where("event_type = 'click'").count()
     appended = events.drain(events.sessions(events.read_events(spark, path), "1 hour"), "append")
     assert 0 < appended.count() <= batch.count()
+
+
+def test_sinks(spark, tmp_path):
+    from curato.sources import sinks
+
+    path = str(tmp_path / "captions")
+    first = spark.createDataFrame([("a", "x, y "), ("b", "z")], "asset_id string, caption string")
+    assert {r.asset_id: r.payload for r in sinks.write_captions(first, path).collect()} == {"a": "x, y\n", "b": "z\n"}
+    second = spark.createDataFrame([("a", "x, y"), ("b", "new")], "asset_id string, caption string")
+    assert {r.asset_id: r.payload for r in sinks.write_captions(second, path).collect()} == {"a": "x, y\n", "b": "new\n"}
+    assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception, match="violated: caption"):
+        sinks.caption_payloads(spark.createDataFrame([("a", " ")], "asset_id string, caption string")).collect()
+    name, text = sinks.dataset_toml({"shuffle_caption": True, "keep_tokens": 2, "resolution": 1024, "batch_size": 4, "repeats": 3}, "/x")
+    assert name == sinks.dataset_toml({"shuffle_caption": True, "keep_tokens": 2, "resolution": 1024, "batch_size": 4, "repeats": 3}, "/x")[0] and "batch_size = 4" in text and "shuffle_caption = true" in text
+    sinks.write_tag_records(_scores(spark, [("a", "t", 0.5), ("a", "s", 0.7)]), str(tmp_path / "tags"), "r1")
+    assert spark.read.json(str(tmp_path / "tags")).first().tags[0].tag == "s"
+    scored = spark.createDataFrame([("c1", 0.9, True), ("c2", 0.8, True), ("c3", 0.99, False)], "k string, score double, gate_passed boolean")
+    digests = spark.createDataFrame([(f"c{i}", f"d{i}") for i in (1, 2, 3)], "k string, digest string")
+    assert {tuple(r) for r in sinks.package_manifest(scored, digests, "k").collect()} == {("c1", "final", "d1"), ("c2", "alternative", "d2")}
