@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curato.operators.graph import components, materialise, shared_dir
+
+__all__ = ["components", "is_hot", "join_counted", "materialise", "raw", "shared_dir", "tokens_of", "words_of"]
+
 #: Lower-cases A-Z and blanks every other ASCII byte but digits and a-z; bytes of longer code points stay.
 _FOLD = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 
@@ -27,22 +28,6 @@ def raw(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder which driver and executors share, from ``spark.checkpoint.dir``; a new one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="curato-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: lost executors cost no recomputation, and the plan is cut."""
-    path = f"{shared_dir(df.sparkSession)}/curato/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def is_hot(count: Column, total: int) -> Column:
     """Whether a key holds a thousandth of ``total`` rows: at most a thousand keys do."""
     return count * 1000 >= F.lit(total)
@@ -59,20 +44,3 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, total: int) -> Dat
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return left.join(F.broadcast(hot), key).unionByName(rest)
 
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of the edges (a, b), labelled by the smallest node it is connected with.
-
-    Labels spread along edges and then jump to their label's label, so long chains take few rounds. Every round is
-    written to the shared folder; nothing but a count of changes comes to the driver.
-    """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("low"))
-        spread = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "low").alias("label"), (F.col("low") < F.col("label")).alias("moved"))
-        spread = materialise(spread, "spread")
-        if not spread.where("moved").limit(1).count():
-            return spread.select("node", "label")
-        up = spread.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = materialise(spread.select("node", "label").join(up, "label").select("node", F.col("further").alias("label")), "labels")
