@@ -13,6 +13,7 @@ import re
 import struct
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -52,7 +53,7 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, now = [], ids
         for level in range(bits - 1, -1, -1):
-            on = (now >> level & 1).astype(bool)
+            on = (now & now.dtype.type(1 << level)) != 0
             planes.append(np.packbits(on))
             now = np.concatenate((now[~on], now[on]))
         return cls(len(ids), planes)
@@ -113,13 +114,14 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order: the planes undone from the lowest bit up."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
             on = np.unpackbits(self.planes[level], count=self.n).view(bool)
             back = np.empty_like(now)
             zeros = self.zeros[level]
             back[~on] = now[:zeros]
-            back[on] = now[zeros:] | np.uint32(1 << (self.bits - 1 - level))
+            back[on] = now[zeros:] | kind(1 << (self.bits - 1 - level))
             now = back
         return now
 
@@ -172,6 +174,34 @@ def _byte_letters() -> dict[int, str]:
 _BYTES = _byte_letters()
 
 
+class _Pieces(dict):
+    """The ids of pieces, encoded when first asked for.
+
+    A piece follows a blank, or stands as it is if it starts with a line feed; NUL marks one that follows nothing.
+    """
+
+    _tail = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+
+    def __init__(self, inner, kind: str):
+        super().__init__()
+        self.inner, self.kind = inner, kind
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha():
+            # Letters alone are one word to the pre-tokenizer: its model takes them as they are, byte by byte.
+            word = "\u0120" + piece if piece.isascii() else (b" " + piece.encode()).decode("latin-1").translate(_BYTES)
+            made = array(self.kind, [t.id for t in self.inner.model.tokenize(word)]).tobytes()
+        else:
+            found = self._tail.fullmatch(piece) if piece[:1] not in "\0\n" else None
+            if found:
+                made = self[found[1]] + self["\0" + found[2]]
+            else:
+                whole = piece[1:] if piece[:1] == "\0" else piece if piece[:1] == "\n" else " " + piece
+                made = array(self.kind, self.inner.encode(whole, add_special_tokens=False).ids).tobytes()
+        self[piece] = made
+        return made
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, remembering the ids of pieces.
 
@@ -183,7 +213,6 @@ class Encoder:
     _cut = re.compile(r"(?<=\S) (?=\S)")
     #: Blanks that stand together or at an end, and those other than the space and the line feed.
     _odd = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-    _tail = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -192,9 +221,8 @@ class Encoder:
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
         self.bits = max(1, (max(self.inner.get_vocab_size() - 1, END)).bit_length())
-        self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
-        #: The ids of a piece after a blank, or as it is if it starts with a line feed or a blank.
-        self.seen: dict[str, bytes] = {}
+        self.kind = np.dtype("=u2" if self.bits <= 16 else "=u4")
+        self.seen = _Pieces(self.inner, "H" if self.bits <= 16 else "I")
 
     def _pieces(self, text: str) -> list[str]:
         """Pieces that follow a blank or a line feed; the first has neither, which is marked by NUL."""
@@ -205,42 +233,17 @@ class Encoder:
         parts[0] = "\0" + parts[0]
         return parts
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Encodes new pieces; one of letters and marks is made of the letters' ids and the marks'."""
-        seen, made, plain = self.seen, [], set()
-        for piece in pieces:
-            found = self._tail.fullmatch(piece) if piece[:1] not in "\0\n" else None
-            if found:
-                made.append((piece, found[1], "\0" + found[2]))
-                plain.update(found.groups()[:1])
-                plain.add("\0" + found[2])
-            else:
-                plain.add(piece)
-        new = [p for p in plain if p not in seen]
-        # Letters alone are one word to the pre-tokenizer: its model takes them as they are, byte by byte.
-        for piece in new:
-            if piece.isalpha():
-                found = self.inner.model.tokenize((b" " + piece.encode()).decode("latin-1").translate(_BYTES))
-                seen[piece] = np.array([t.id for t in found], self.kind).tobytes()
-        rest = [p for p in new if not p.isalpha()]
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            whole = [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in part]
-            for piece, found in zip(part, self.inner.encode_batch_fast(whole, add_special_tokens=False)):
-                seen[piece] = np.array(found.ids, self.kind).tobytes()
-        for piece, head, tail in made:
-            seen[piece] = seen[head] + seen[tail]
-
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
         if len(self.seen) > CACHE:
             # The first half stays: words met early are mostly frequent ones.
             for piece in list(islice(self.seen, CACHE // 2, None)):
                 del self.seen[piece]
-        cut = [self._pieces(t) if t and "\0" not in t else ["\0" + t] if t else [] for t in texts]
-        self._learn(set().union(*cut).difference(self.seen))
-        end = np.array([END], self.kind).tobytes()
-        return [np.frombuffer(b"".join([*map(self.seen.__getitem__, pieces), end]), self.kind) for pieces in cut]
+        out, end, ids = [], np.array([END], self.kind).tobytes(), self.seen.__getitem__
+        for text in texts:
+            pieces = self._pieces(text) if text and "\0" not in text else ["\0" + text] if text else []
+            out.append(np.frombuffer(b"".join([*map(ids, pieces), end]), self.kind))
+        return out
 
 
 def _encoder(path: str) -> Encoder:

@@ -25,19 +25,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _roots(labels: DataFrame) -> DataFrame:
+    """Follows labels to the end of their chains, twice as far each time."""
+    while True:
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        labels = materialise(labels.join(up, "label").select("node", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved")), "labels")
+        if not labels.where("moved").limit(1).count():
+            return labels.select("node", "label")
+        labels = labels.select("node", "label")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b), labelled by the smallest node it is connected with.
 
-    Labels spread along edges and then jump to their label's label, so long chains take few rounds. Every round is
-    written to the shared folder; nothing but a count of changes comes to the driver.
+    Each node takes its smallest neighbour's label if that is smaller, and labels are followed to their ends. Edges are
+    then rewritten to labels, and those left between different ones go on; few are left after a round. Every table is
+    written to the shared folder; nothing but a count of one row comes to the driver.
     """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("low"))
-        spread = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "low").alias("label"), (F.col("low") < F.col("label")).alias("moved"))
-        spread = materialise(spread, "spread")
-        if not spread.where("moved").limit(1).count():
-            return spread.select("node", "label")
-        up = spread.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = materialise(spread.select("node", "label").join(up, "label").select("node", F.col("further").alias("label")), "labels")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    left = materialise(edges.where("a != b").select(*pair("a", "b")).distinct(), "edges")
+    loops = edges.where("a = b").select(F.col("a").alias("node"))
+    found = None
+    while found is None or left.limit(1).count():
+        both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label"))
+        labels = _roots(materialise(near, "near"))
+        if found is None:
+            found = labels
+        else:
+            up = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            found = materialise(found.join(up, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "found")
+        one = left.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").select("x", "b")
+        two = one.join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").where("x != y")
+        left = materialise(two.select(*pair("x", "y")).distinct(), "edges")
+    alone = loops.distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("label"))
+    return found.unionByName(alone)
