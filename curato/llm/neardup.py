@@ -25,6 +25,8 @@ BANDS, PICKED = 20, 2
 SIMILARITY = 0.8
 #: Into so many parts a key's texts are dealt before each part is linked to one of its texts, and these to one another.
 PARTS = 64
+#: Buckets of a text's bag of words: each edit changes two of them by one at most, which bounds the edits from below.
+BUCKETS = 128
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,6 +93,11 @@ def keys_of(words: np.ndarray) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
+def bag(words: np.ndarray) -> bytes:
+    """How many words fall in each of a fixed number of buckets, 255 at most."""
+    return np.minimum(np.bincount((words & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """The number of words to insert, delete or replace, or ``most`` + 1 if it is more, within a band of diagonals."""
     if abs(len(a) - len(b)) > most:
@@ -187,16 +194,17 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, sha, keys) of every row: the node is its id, or a number from its text where that is null."""
+    """(node, sha, size, bag, keys) of every row: the node is its id, or a number from its text where that is null; size is in words."""
     sha = F.substring(F.unhex(F.sha2(raw(text), 256)), 1, 16)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(raw(text)).bitwiseOR(F.lit(-(1 << 63)))).alias("node"), sha.alias("sha"), raw(text).alias("t"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [keys_of(word_hashes(t.as_py())) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["node", "sha", "keys"])
+            words = [word_hashes(t.as_py()) for t in batch.column(2)]
+            sizes, bags, keys = pa.array(map(len, words), pa.int32()), pa.array(map(bag, words), pa.binary()), pa.array(map(keys_of, words), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, bags, keys], ["node", "sha", "size", "bag", "keys"])
 
-    return rows.mapInArrow(sketch, "node:long,sha:binary,keys:array<long>")
+    return rows.mapInArrow(sketch, "node:long,sha:binary,size:int,bag:binary,keys:array<long>")
 
 
 def _linked(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -205,7 +213,7 @@ def _linked(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def candidates(keyed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that share a key: never all pairs of one.
+    """Distinct pairs (a, b) of nodes that share a key, for the first round: never all pairs of one.
 
     The nodes of a key are dealt into parts by a hash. Each is paired with its part's first node, in an order drawn
     anew for each key, and the parts' firsts with the first of them. The keys of a text draw different orders, so that
@@ -218,6 +226,35 @@ def candidates(keyed: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
 
 
+def crossing(keyed: DataFrame, labels: DataFrame, compared: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that share a key, have different labels and were not compared: all of them.
+
+    Two texts with one label are in one class already. Those that are too unlike by their numbers of words, in all or in
+    the buckets of their bags, are left out.
+    """
+    tagged = keyed.join(labels, "node", "left").select(F.explode("keys").alias("key"), "node", "size", F.coalesce("label", "node").alias("label")).distinct()
+    within = Window.partitionBy("key")
+    mixed = tagged.withColumn("low", F.min("label").over(within)).withColumn("high", F.max("label").over(within)).where("low < high").drop("low", "high")
+    mixed = materialise(mixed.join(keyed.select("node", "size", "bag").distinct(), ["node", "size"]), "mixed")
+    # The labels of a key are joined before its nodes, so that a large class is never paired with itself.
+    others = mixed.select("key", F.col("label").alias("other")).distinct()
+    right = mixed.select("key", F.col("node").alias("with"), F.col("size").alias("length"), F.col("label").alias("other"), F.col("bag").alias("held"))
+    near = F.abs(F.col("size") - F.col("length")) <= F.lit(1 - least) * F.greatest("size", "length") + F.lit(1e-9)
+    pairs = mixed.join(others, (mixed["key"] == others["key"]) & (F.col("label") < F.col("other"))).drop(others["key"]).join(right, ["key", "other"]).where(near)
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for i in (3, 4))
+            gap = x - y
+            edits = np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1))
+            kept = batch.select([0, 1]).filter(pa.array(edits <= (1 - least) * batch.column(2).to_numpy() + 1e-9))
+            yield pa.RecordBatch.from_arrays(kept.columns, ["a", "b"])
+
+    ends = F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")
+    pairs = pairs.select(*ends, F.greatest("size", "length").alias("longest"), "bag", "held").mapInArrow(alike, "a:long,b:long").distinct()
+    return pairs.join(compared.hint("merge"), ["a", "b"], "left_anti")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
     """The pairs whose texts are similar enough, with their similarity."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -245,16 +282,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, class_id, n_links) for every row: the class is the smallest id that the row's text is linked with.
 
     Equal texts are one class before anything else, a null text being empty; texts without words are like nothing else.
-    Rows with one id count as one document, so that their texts share a class; a null id stands for the text. Links
-    are the distinct similar texts found for the row's own. An empty table gives no rows.
+    Rows with one id count as one document, so that their texts share a class; a null id stands for the text. A class is a
+    component of all similar pairs that share a key: a first round compares few pairs of each key, a second all those
+    that it left in different classes. Links are the distinct similar texts met on the way for the row's own: pairs of
+    one class are not all compared, so they are at most the similar texts there are. An empty table gives no rows.
     """
     rows = materialise(sketches(docs, doc_id, text), "sketches")
     total = rows.count()
     texts = rows.groupBy("sha").agg(F.min("node").alias("rep"), F.count("*").alias("n_key"))
     reps = materialise(texts, "texts")
-    keyed = rows.join(reps.select(F.col("rep").alias("node"), "sha"), ["node", "sha"]).select("node", F.explode("keys").alias("key")).distinct()
-    pairs = materialise(candidates(keyed), "pairs")
+    keyed = rows.join(reps.select(F.col("rep").alias("node"), "sha"), ["node", "sha"]).select("node", "size", "bag", "keys").distinct()
+    pairs = materialise(candidates(keyed.select("node", F.explode("keys").alias("key")).distinct()), "pairs")
     links = materialise(verified(pairs, docs, doc_id, text, least), "links")
+    more = materialise(crossing(keyed, components(links), pairs, least), "crossing")
+    links = materialise(links.unionByName(verified(more, docs, doc_id, text, least)), "links")
     labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = reps.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").join(degree, "rep", "left")

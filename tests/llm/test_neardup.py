@@ -60,6 +60,25 @@ def test_classes_equal_brute_force(spark):
     assert found == dict(enumerate(label))
 
 
+def test_pairs_behind_an_unlike_first(spark):
+    """Texts that share keys with many unlike ones by a common passage are compared with each other all the same."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    own = [[f"t{group}x{i}" for i in range(40)] for group in range(40)]
+    texts = [" ".join(passage + words) for words in own] + [" ".join(passage[:1] + _edited(passage[1:] + words, rng, 12)) for words in own]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    hashes = [neardup.word_hashes(t.encode()).astype(np.uint32) for t in texts]
+    keys = [set(neardup.keys_of(neardup.word_hashes(t.encode()))) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if keys[i] & keys[j] and neardup.similarity(hashes[i], hashes[j]) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert found == dict(enumerate(label)) and len(set(label)) < 60
+
+
 def test_recall_on_the_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
