@@ -1,8 +1,8 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-A text's five-word shingles are labelled by their occurrence. Each of several hash functions picks the text's smallest
+A text's three-word shingles are labelled by their occurrence. Each of several hash functions picks the text's smallest
 labelled shingles, which are kept in text order and hashed to a key: texts share a key with a probability that follows
-their edit similarity, as shared shingles must also stand in the same order. Texts with a key in common are candidates;
+their edit similarity, as shared shingles must also stand in the same order. Short texts have each shingle as a key besides. Texts with a key in common are candidates;
 an alignment within the band that the similarity allows decides.
 """
 
@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 from curato.llm.common import components, join_counted, materialise, raw, words_of
 
-SHINGLE = 5
+SHINGLE = 3
 #: Keys of a text, and smallest shingles in a key.
-BANDS, PICKED = 20, 2
+BANDS, PICKED = 32, 2
 SIMILARITY = 0.8
+#: Texts of fewer words have all their shingles as keys too, and those of at most ``TINY`` words their word pairs: one of
+#: these is in both of two such texts of similarity 0.8, wherever the edits are.
+SHORT, TINY = 20, 5
 #: Into so many parts a key's texts are dealt before each part is linked to one of its texts, and these to one another.
 PARTS = 64
 #: Buckets of a text's bag of words: each edit changes two of them by one at most, which bounds the edits from below.
@@ -90,6 +93,8 @@ def keys_of(words: np.ndarray) -> list[int]:
     keys = _SEEDS.copy()
     for i in range(picked):
         keys = mix(keys * _MULTIPLY + labelled[places[:, i]])
+    if len(words) < SHORT:
+        keys = np.unique(np.concatenate((keys, mix(found), mix(shingles(words, 2)) if len(words) <= TINY else found[:0])))
     return keys.view(np.int64).tolist()
 
 

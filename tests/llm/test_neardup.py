@@ -79,6 +79,19 @@ def test_pairs_behind_an_unlike_first(spark):
     assert found == dict(enumerate(label)) and len(set(label)) < 60
 
 
+@pytest.mark.parametrize("n,edits", [(5, 1), (8, 1), (12, 2), (19, 3), (20, 4), (30, 6), (100, 20), (100, 15), (400, 80)])
+def test_keys_shared_at_the_threshold(n, edits):
+    """Of pairs planted at similarity 0.80 to 0.88, nine in ten share a key; of short ones all do."""
+    rng, hit = random.Random(n * 1000 + edits), 0
+    for _ in range(300):
+        a = np.array([rng.getrandbits(63) for _ in range(n)], np.uint64)
+        b = a.copy()
+        for at in rng.sample(range(n), edits):
+            b[at] = rng.getrandbits(63)
+        hit += bool(set(neardup.keys_of(a)) & set(neardup.keys_of(b)))
+    assert hit == 300 if n < neardup.SHORT else hit >= 0.9 * 300
+
+
 def test_recall_on_the_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
