@@ -219,7 +219,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
+        added = sorted({t.content for t in self.inner.get_added_tokens_decoder().values()})
+        #: The library takes added tokens out of a text before the pre-tokenizer cuts it.
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.bits = max(1, (max(self.inner.get_vocab_size() - 1, END)).bit_length())
         self.kind = np.dtype("=u2" if self.bits <= 16 else "=u4")
         self.seen = _Pieces(self.inner, "H" if self.bits <= 16 else "I")
@@ -241,6 +243,9 @@ class Encoder:
                 del self.seen[piece]
         out, end, ids = [], np.array([END], self.kind).tobytes(), self.seen.__getitem__
         for text in texts:
+            if text and self.added and self.added.search(text):
+                out.append(np.array([*self.inner.encode(text, add_special_tokens=False).ids, END], self.kind))
+                continue
             pieces = self._pieces(text) if text and "\0" not in text else ["\0" + text] if text else []
             out.append(np.frombuffer(b"".join([*map(ids, pieces), end]), self.kind))
         return out

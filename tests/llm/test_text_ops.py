@@ -63,6 +63,15 @@ def test_pieces_encode_as_the_whole_text():
         assert encoder.encode([text])[0].tolist() == [*whole, tokenfile.END]
 
 
+def test_added_tokens_encode_as_by_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    fresh, encoder = Tokenizer.from_file(tokenfile.tokenizer_path()), tokenfile.Encoder(tokenfile.tokenizer_path())
+    added = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    for text in ["plain words, no token", *(form.format(t) for t in added for form in ("x {} y", "{}", "a{0}b {0}\n\nc", "x {} "))]:
+        assert encoder.encode([text])[0].tolist() == [*fresh.encode(text, add_special_tokens=False).ids, tokenfile.END]
+
+
 def test_token_shards_round_trip(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(5000, None), (5001, ""), (5002, "x y " * 9000), (5002, "tie")], docs.schema)
