@@ -8,16 +8,14 @@ an alignment within the band that the similarity allows decides.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curato.llm.common import components, join_counted, materialise, raw, words_of
+from curato.llm.common import components, hash_words, join_counted, materialise, mix, raw
 
 SHINGLE = 3
 #: Keys of a text, and smallest shingles in a key.
@@ -34,29 +32,13 @@ BUCKETS = 128
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _MULTIPLY)
 _ODD = mix(_SEEDS) | np.uint64(1)
 
 
-class _Digests(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        found = self[word] = xxhash.xxh64_digest(word)
-        return found
-
-
 def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of a text's words; a worker remembers those it has met."""
-    seen = sys.modules[__name__].__dict__.setdefault("_seen", _Digests())
-    if len(seen) > 300_000:
-        seen.clear()
-    return np.frombuffer(b"".join(map(seen.__getitem__, words_of(text))), ">u8").astype(np.uint64)
+    """64-bit hashes of a text's words."""
+    return hash_words(pa.array([text], pa.binary()))[0]
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:

@@ -3,10 +3,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from curato.llm import decontaminate, pii, tokenfile
+from curato.llm import common, decontaminate, pii, tokenfile
 
 
 def _odd_docs(spark):
@@ -15,6 +16,24 @@ def _odd_docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, hit string")
 
 
+def test_word_hashes_stand_for_the_words():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "Bé", "c1", "d-e", "日本", "A", "x" * 40]) for _ in range(rng.randint(0, 30))) for _ in range(200)] + ["", " ", "x" * 700_000 + " y", "é"]
+    array = pa.array([t.encode() for t in texts], pa.binary())
+    seen: dict = {}
+    at = 0
+    for piece in common.pieces(iter([pa.RecordBatch.from_arrays([array], ["t"])]), 0):
+        hashes, bounds = common.hash_words(piece.column(0))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            words = common.words_of(texts[at].encode())
+            assert len(words) == b - a
+            for word, found in zip(words, hashes[a:b].tolist()):
+                assert seen.setdefault(word, found) == found
+            at += 1
+    assert at == len(texts) and len(set(seen.values())) == len(seen)
+    assert len(common.hash_words(pa.array([], pa.binary()))[0]) == 0
+
+
 def test_wu_manber_equals_brute_force(spark):
     rng = random.Random(5)
     words = ["aa", "bb", "cc", "Dé", "e1"]
