@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curato.llm.common import components, hash_words, join_counted, materialise, mix, raw
+from curato.llm.common import components, hash_words, join_counted, materialise, mix, node_of, pieces, raw, real_id
 
 SHINGLE = 3
 #: Keys of a text, and smallest shingles in a key.
@@ -26,6 +26,8 @@ SIMILARITY = 0.8
 SHORT, TINY = 20, 5
 #: Into so many parts a key's texts are dealt before each part is linked to one of its texts, and these to one another.
 PARTS = 64
+#: Nodes of a key that each is held against in a further round, and rows held against each other at a time.
+NEIGHBOURS, BLOCK = 128, 100_000
 #: Buckets of a text's bag of words: each edit changes two of them by one at most, which bounds the edits from below.
 BUCKETS = 128
 
@@ -181,15 +183,16 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, sha, size, bag, keys) of every row: the node is its id, or a number from its text where that is null; size is in words."""
+    """(node, sha, size, bag, keys) of every row; size is in words."""
     sha = F.substring(F.unhex(F.sha2(raw(text), 256)), 1, 16)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(raw(text)).bitwiseOR(F.lit(-(1 << 63)))).alias("node"), sha.alias("sha"), raw(text).alias("t"))
+    rows = docs.select(node_of(doc_id, text).alias("node"), sha.alias("sha"), raw(text).alias("t"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [word_hashes(t.as_py()) for t in batch.column(2)]
-            sizes, bags, keys = pa.array(map(len, words), pa.int32()), pa.array(map(bag, words), pa.binary()), pa.array(map(keys_of, words), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, bags, keys], ["node", "sha", "size", "bag", "keys"])
+        for piece in pieces(batches, 2):
+            found, bounds = hash_words(piece.column(2))
+            words = [found[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+            sizes, bags, keys = pa.array(np.diff(bounds), pa.int32()), pa.array(map(bag, words), pa.binary()), pa.array(map(keys_of, words), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), sizes, bags, keys], ["node", "sha", "size", "bag", "keys"])
 
     return rows.mapInArrow(sketch, "node:long,sha:binary,size:int,bag:binary,keys:array<long>")
 
@@ -213,89 +216,157 @@ def candidates(keyed: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
 
 
-def crossing(keyed: DataFrame, labels: DataFrame, compared: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that share a key, have different labels and were not compared: all of them.
+def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label) of the rows (key, node) whose key has nodes of different labels."""
+    tagged = materialise(rows.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "tagged")
+    keys = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n_key"))
+    return join_counted(tagged, materialise(keys.where("low < high").select("key", "n_key"), "keys"), "key", tagged.count())
 
-    Two texts with one label are in one class already. Those that are too unlike by their numbers of words, in all or in
-    the buckets of their bags, are left out.
-    """
-    tagged = keyed.join(labels, "node", "left").select(F.explode("keys").alias("key"), "node", "size", F.coalesce("label", "node").alias("label")).distinct()
-    within = Window.partitionBy("key")
-    mixed = tagged.withColumn("low", F.min("label").over(within)).withColumn("high", F.max("label").over(within)).where("low < high").drop("low", "high")
-    mixed = materialise(mixed.join(keyed.select("node", "size", "bag").distinct(), ["node", "size"]), "mixed")
-    # The labels of a key are joined before its nodes, so that a large class is never paired with itself.
-    others = mixed.select("key", F.col("label").alias("other")).distinct()
-    right = mixed.select("key", F.col("node").alias("with"), F.col("size").alias("length"), F.col("label").alias("other"), F.col("bag").alias("held"))
-    near = F.abs(F.col("size") - F.col("length")) <= F.lit(1 - least) * F.greatest("size", "length") + F.lit(1e-9)
-    pairs = mixed.join(others, (mixed["key"] == others["key"]) & (F.col("label") < F.col("other"))).drop(others["key"]).join(right, ["key", "other"]).where(near)
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for i in (3, 4))
-            gap = x - y
-            edits = np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1))
-            kept = batch.select([0, 1]).filter(pa.array(edits <= (1 - least) * batch.column(2).to_numpy() + 1e-9))
-            yield pa.RecordBatch.from_arrays(kept.columns, ["a", "b"])
 
-    ends = F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")
-    pairs = pairs.select(*ends, F.greatest("size", "length").alias("longest"), "bag", "held").mapInArrow(alike, "a:long,b:long").distinct()
-    return pairs.join(compared.hint("merge"), ["a", "b"], "left_anti")
+def neighbours(rows: DataFrame, sketched: DataFrame, turn: int, least: float) -> DataFrame:
+    """(a, b, key): pairs of nodes of a key with different labels; a row (node, null, key) for each of a key that isn't done.
 
+    The nodes of a key are sorted by a sum of their bags' counts with signs drawn for the turn, which differ little
+    where texts do, and each is held against the NEIGHBOURS after it: whole keys are done if they have no more. Pairs
+    too unlike by their numbers of words, in all or in the buckets, are left out. Ranges of keys and sums make the
+    tasks, so that none gets all of a key.
+    """
+    held = rows.join(sketched.select("node", "size", "bag").hint("merge"), "node")
+    signs = np.random.default_rng([7, turn]).choice([-1, 1], BUCKETS)
 
-def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
-    """The pairs whose texts are similar enough, with their similarity."""
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = np.frombuffer(b"".join(batch.column("bag").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bags @ signs, pa.int64())], [*batch.schema.names, "at"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for n, batch in enumerate(_blocks(batches)):
+            key, node, label, size = (batch.column(c).to_numpy() for c in ("key", "node", "label", "size"))
+            bags = np.frombuffer(b"".join(batch.column("bag").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            now = [key, node, label, size, bags]
+            # The rows before are held against again, so that blocks part no neighbours.
+            old = 0 if kept is None else len(kept[0])
+            key, node, label, size, bags = now if kept is None else [np.concatenate(c) for c in zip(kept, now)]
+            out = []
+            for shift in range(1, min(NEIGHBOURS, len(key) - 1) + 1):
+                same = key[shift:] == key[:-shift]
+                if not same.any():
+                    break
+                x, y = size[shift:], size[:-shift]
+                most = (1 - least) * np.maximum(x, y) + 1e-9
+                at = np.flatnonzero(same & (label[shift:] != label[:-shift]) & (np.abs(x - y) <= most) & (np.arange(shift, len(key)) >= old))
+                for some in np.array_split(at, len(at) // 50_000 + 1):
+                    gap = bags[some + shift].astype(np.int16) - bags[some]
+                    some = some[np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1)) <= most[some]]
+                    out.append((node[some], node[some + shift], key[some]))
+            a, b, of = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            sizes = np.diff(np.concatenate((begins, [len(key)])))
+            # The first and the last key of a block may go on beyond it.
+            large = sizes > NEIGHBOURS + 1
+            large[[0, -1]] = True
+            open_ = np.flatnonzero(np.repeat(large, sizes) & (np.arange(len(key)) >= old))
+            nulls = np.concatenate((np.zeros(len(a), bool), np.ones(len(open_), bool)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate((a, node[open_]))), pa.array(np.concatenate((b, node[open_])), mask=nulls), pa.array(np.concatenate((of, key[open_])))], ["a", "b", "key"]
+            )
+            kept = [c[-NEIGHBOURS:] for c in (key, node, label, size, bags)]
+
+    ordered = held.mapInArrow(sums, "node:long,key:long,label:long,size:int,bag:binary,at:long").repartitionByRange("key", "at", "node").sortWithinPartitions("key", "at", "node")
+    return ordered.mapInArrow(compare, "a:long,b:long,key:long")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in blocks of about BLOCK."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= BLOCK:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def known_words(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, words) of the documents in pairs, words as 32 bits each."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    node = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(raw(text)).bitwiseOR(F.lit(-(1 << 63))))
-    texts = docs.select(node.alias("node"), raw(text).alias("t")).join(nodes.hint("merge"), "node", "left_semi")
+    texts = docs.select(node_of(doc_id, text).alias("node"), raw(text).alias("t")).join(nodes.hint("merge"), "node", "left_semi")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [word_hashes(t.as_py()).astype(np.uint32).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["node", "words"])
+        for piece in pieces(batches, 1):
+            found, bounds = hash_words(piece.column(1))
+            data, ends = found.astype(np.uint32).tobytes(), (4 * bounds).tolist()
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([data[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())], ["node", "words"])
+
+    return materialise(texts.mapInArrow(hashed, "node:long,words:binary"), "words")
 
-    words = materialise(texts.mapInArrow(hashed, "node:long,words:binary"), "words")
-    left = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
-    both = left.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
+
+def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
+    """The pairs whose texts are similar enough, with their similarity."""
+    words = known_words(pairs, docs, doc_id, text)
+    left = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")).hint("merge"), "b")
+    both = left.join(words.select(F.col("node").alias("a"), F.col("words").alias("x")).hint("merge"), "a").select("a", "b", "x", "y")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [similarity(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), least) for x, y in zip(batch.column(2), batch.column(3))]
+            scores = [similarity(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), least) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["a", "b", "similarity"])
 
     return both.mapInArrow(align, "a:long,b:long,similarity:double").where(F.col("similarity") >= least)
 
 
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """(node, label, n_links) for every row, where a node is an id or stands for a null one's text."""
+    rows = materialise(sketches(docs, doc_id, text), "sketches")
+    total = rows.count()
+    reps = materialise(rows.groupBy("sha").agg(F.min("node").alias("rep"), F.count("*").alias("n_key")), "texts")
+    keyed = rows.join(reps.select(F.col("rep").alias("node"), "sha").hint("merge"), ["node", "sha"]).select("node", "size", "bag", "keys").distinct()
+    keyed = materialise(keyed, "keyed")
+    left = keyed.select("node", F.explode("keys").alias("key")).distinct()
+    compared = materialise(candidates(left), "pairs")
+    links = materialise(verified(compared, docs, doc_id, text, least), "links")
+    labels, turn = components(links), 0
+    while True:
+        found = materialise(neighbours(mixed(left, labels), keyed, turn, least), "neighbours")
+        pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
+        pairs = materialise(pairs.join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        more = materialise(verified(pairs, docs, doc_id, text, least), "links")
+        if not more.limit(1).count():
+            break
+        links, compared = links.unionByName(more), compared.unionByName(pairs)
+        labels, turn = components(links), turn + 1
+        left = found.where("b IS NULL").select("key", F.col("a").alias("node"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    made = reps.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").join(degree, "rep", "left")
+    made = materialise(made.select("sha", "n_key", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    return join_counted(rows.select("sha", "node"), made, "sha", total).select("node", "label", "n_links")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_links) for every row: the class is the smallest id that the row's text is linked with.
 
     Equal texts are one class before anything else, a null text being empty; texts without words are like nothing else.
-    Rows with one id count as one document, so that their texts share a class; a null id stands for the text. A class is a
-    component of all similar pairs that share a key: a first round compares few pairs of each key, a second all those
-    that it left in different classes. Links are the distinct similar texts met on the way for the row's own: pairs of
-    one class are not all compared, so they are at most the similar texts there are. An empty table gives no rows.
+    Ids are whole numbers; rows with one id count as one document, so that their texts share a class; a null id stands
+    for the text, and a class of such rows alone has no id. A class is a component of similar pairs that share a key: a
+    first round compares few pairs of each key, further rounds those that it left in different classes. Links are the
+    distinct similar texts met on the way for the row's own: pairs of one class are not all compared, so they are at
+    most the similar texts there are. An empty table gives no rows.
     """
-    rows = materialise(sketches(docs, doc_id, text), "sketches")
-    total = rows.count()
-    texts = rows.groupBy("sha").agg(F.min("node").alias("rep"), F.count("*").alias("n_key"))
-    reps = materialise(texts, "texts")
-    keyed = rows.join(reps.select(F.col("rep").alias("node"), "sha"), ["node", "sha"]).select("node", "size", "bag", "keys").distinct()
-    pairs = materialise(candidates(keyed.select("node", F.explode("keys").alias("key")).distinct()), "pairs")
-    links = materialise(verified(pairs, docs, doc_id, text, least), "links")
-    more = materialise(crossing(keyed, components(links), pairs, least), "crossing")
-    links = materialise(links.unionByName(verified(more, docs, doc_id, text, least)), "links")
-    labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = reps.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").join(degree, "rep", "left")
-    classes = materialise(classes.select("sha", "n_key", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    return join_counted(rows.select("sha", F.col("node").alias("doc_id")), classes, "sha", total).select("doc_id", "class_id", "n_links")
+    return classes(docs, doc_id, text, least).select(real_id("node").alias("doc_id"), real_id("label").alias("class_id"), "n_links")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class, the one with the smallest id, with its own columns; of rows with that id, one."""
-    found = materialise(near_duplicates(docs.select("doc_id", "text"), **options), "found")
-    kept = found.where("doc_id = class_id").select(F.col("doc_id").alias("node")).distinct()
-    node = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(raw()).bitwiseOR(F.lit(-(1 << 63))))
-    rows = docs.select(F.struct("*").alias("row"), node.alias("node")).join(kept.hint("merge"), "node", "left_semi")
+    """One row of each class, the one with the smallest id, with its own columns; of rows with that id, one.
+
+    Rows without an id come after those with one. Null, empty and repeated texts are as in ``near_duplicates``.
+    """
+    found = materialise(classes(docs.select("doc_id", "text"), **options), "found")
+    kept = found.where("node = label").select("node").distinct()
+    rows = docs.select(F.struct("*").alias("row"), node_of("doc_id", "text").alias("node")).join(kept.hint("merge"), "node", "left_semi")
     one = Window.partitionBy("node").orderBy(F.col("row.text"))
     return rows.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
 
