@@ -31,8 +31,11 @@ END = 2
 SHARD_TOKENS = 1 << 20
 #: Pieces of text whose ids a worker remembers.
 CACHE = 1_000_000
-MAGIC = b"WMX1"
-BLOCK = 512
+MAGIC = b"WMX2"
+#: Bits of a plane for which the directory holds a rank.
+BLOCK = 2048
+#: Bytes of text in a range of ids, about; characters of the longest piece that is remembered.
+RANGE_BYTES, LONGEST = 1 << 27, 200
 
 SHARDS = "part:int,before:long,first_id:long,last_id:long,n_docs:long,n_tokens:long,content:binary"
 
@@ -40,14 +43,17 @@ SHARDS = "part:int,before:long,first_id:long,last_id:long,n_docs:long,n_tokens:l
 class WaveletMatrix:
     """A sequence of ids below ``2 ** bits`` as packed bit-planes with rank directories."""
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
+    def __init__(self, n: int, planes: list[np.ndarray], ranks: list[np.ndarray] | None = None):
         self.n, self.planes, self.bits = n, planes, len(planes)
-        self.ranks, self.zeros = [], []
-        for plane in planes:
-            ones = np.bitwise_count(plane).astype(np.int64)
-            per = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK // 8)) if n else np.zeros(0, np.int64)
-            self.ranks.append(np.concatenate(([0], np.cumsum(per))))
-            self.zeros.append(n - int(ones.sum()))
+        self.ranks = [self._directory(plane) for plane in planes] if ranks is None else ranks
+        self.zeros = [n - int(r[-1]) for r in self.ranks]
+
+    def _directory(self, plane: np.ndarray) -> np.ndarray:
+        """Ones before each block, and in all."""
+        if not self.n:
+            return np.zeros(1, np.int64)
+        per = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), BLOCK // 8), dtype=np.int64)
+        return np.concatenate(([0], np.cumsum(per)))
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
@@ -55,7 +61,7 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             on = (now & now.dtype.type(1 << level)) != 0
             planes.append(np.packbits(on))
-            now = np.concatenate((now[~on], now[on]))
+            now = now[np.concatenate((np.flatnonzero(~on), np.flatnonzero(on)))]
         return cls(len(ids), planes)
 
     def _rank1(self, level: int, at: int) -> int:
@@ -119,38 +125,38 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             on = np.unpackbits(self.planes[level], count=self.n).view(bool)
             back = np.empty_like(now)
-            zeros = self.zeros[level]
-            back[~on] = now[:zeros]
-            back[on] = now[zeros:] | kind(1 << (self.bits - 1 - level))
+            now[self.zeros[level] :] |= kind(1 << (self.bits - 1 - level))
+            back[np.concatenate((np.flatnonzero(~on), np.flatnonzero(on)))] = now
             now = back
         return now
 
 
 class Shard:
-    """One file: document ids, their token counts and the wavelet matrix of their ids."""
+    """One file: document ids, of which the first ``without`` are null, their token counts and the wavelet matrix of their ids."""
 
-    def __init__(self, doc_ids: np.ndarray, lengths: np.ndarray, matrix: WaveletMatrix):
-        self.doc_ids, self.lengths, self.matrix = doc_ids, lengths, matrix
-        self.starts = np.concatenate(([0], np.cumsum(lengths)))
+    def __init__(self, doc_ids: np.ndarray, lengths: np.ndarray, matrix: WaveletMatrix, without: int = 0):
+        self.doc_ids, self.lengths, self.matrix, self.without = doc_ids, lengths, matrix, without
+        self.starts = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
 
     def to_bytes(self) -> bytes:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        parts = [squeeze(x.tobytes()) for x in (self.doc_ids.astype("<i8"), self.lengths.astype("<u4"), *self.matrix.planes)]
-        head = struct.pack("<4sIQQ", MAGIC, self.matrix.bits, len(self.doc_ids), self.matrix.n)
+        columns = (self.doc_ids.astype("<i8"), self.lengths.astype("<u4"), *self.matrix.planes, *(r.astype("<i8") for r in self.matrix.ranks))
+        parts = [squeeze(x.tobytes()) for x in columns]
+        head = struct.pack("<4sIQQQ", MAGIC, self.matrix.bits, len(self.doc_ids), self.matrix.n, self.without)
         return head + struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts)
 
     @classmethod
     def from_bytes(cls, content: bytes) -> Shard:
-        magic, bits, docs, n = struct.unpack_from("<4sIQQ", content)
+        magic, bits, docs, n, without = struct.unpack_from("<4sIQQQ", content)
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        sizes = struct.unpack_from(f"<{bits + 2}Q", content, 24)
-        at, parts, expand = 24 + 8 * (bits + 2), [], zstandard.ZstdDecompressor().decompress
+        sizes = struct.unpack_from(f"<{2 * bits + 2}Q", content, 32)
+        at, parts, expand = 32 + 8 * (2 * bits + 2), [], zstandard.ZstdDecompressor().decompress
         for size in sizes:
             parts.append(expand(content[at : at + size]))
             at += size
-        planes = [np.frombuffer(p, np.uint8) for p in parts[2:]]
-        return cls(np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<u4"), WaveletMatrix(n, planes))
+        planes, ranks = [np.frombuffer(p, np.uint8) for p in parts[2 : 2 + bits]], [np.frombuffer(p, "<i8") for p in parts[2 + bits :]]
+        return cls(np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<u4"), WaveletMatrix(n, planes, ranks), without)
 
     def tokens(self, index: int) -> list[int]:
         """The ids of the document at ``index``, by access to the planes."""
@@ -198,7 +204,8 @@ class _Pieces(dict):
             else:
                 whole = piece[1:] if piece[:1] == "\0" else piece if piece[:1] == "\n" else " " + piece
                 made = array(self.kind, self.inner.encode(whole, add_special_tokens=False).ids).tobytes()
-        self[piece] = made
+        if len(piece) <= LONGEST:
+            self[piece] = made
         return made
 
 
@@ -262,28 +269,33 @@ def _encoder(path: str) -> Encoder:
 def write_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encodes every text (null: empty) and returns the shards, as read back from the shared folder.
 
-    Documents are dealt by ranges of their id and sorted within; rows with one id are ordered by their text. Rows with
-    a null id come first and get id -1. An empty table gives no shards.
+    Documents are dealt by ranges of their id, as many as their bytes ask for, and sorted within. Ids are whole numbers;
+    rows without one come first, dealt and ordered by a hash of their text, and rows with one id are ordered by their
+    text. An empty table gives no shards.
     """
     path = path or tokenizer_path()
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("i"), F.col(text).cast("string").alias("t"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "i").sortWithinPartitions("i", "t")
+    t = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.when(F.col(doc_id).isNull(), F.xxhash64(t)).alias("h"), t.alias("t"))
+    size = docs.agg(F.sum(F.octet_length(t))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    order = [F.col("i").asc_nulls_first(), F.col("h").asc_nulls_first()]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "t")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, ids, lengths, parts, total, before = _encoder(path), [], [], [], 0, 0
         task = TaskContext.get().partitionId()
 
         def close():
-            tokens = np.concatenate(parts)
-            matrix = WaveletMatrix.build(tokens, encoder.bits)
-            content = Shard(np.array(ids), np.array(lengths), matrix).to_bytes()
-            return pa.RecordBatch.from_pydict({"part": pa.array([task], pa.int32()), "before": [before], "first_id": [ids[0]], "last_id": [ids[-1]], "n_docs": [len(ids)], "n_tokens": [total], "content": [content]})
+            without = ids.count(None)
+            matrix = WaveletMatrix.build(np.concatenate(parts), encoder.bits)
+            content = Shard(np.array([0] * without + ids[without:], np.int64), np.array(lengths), matrix, without).to_bytes()
+            ends = pa.array([ids[0]], pa.int64()), pa.array([ids[-1]], pa.int64())
+            return pa.RecordBatch.from_pydict({"part": pa.array([task], pa.int32()), "before": [before], "first_id": ends[0], "last_id": ends[1], "n_docs": [len(ids)], "n_tokens": [total], "content": [content]})
 
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                for i, found in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                for i, found in zip(part.column(0).to_pylist(), encoder.encode(part.column(2).to_pylist())):
                     if total and total + len(found) > shard_tokens:
                         yield close()
                         before += total
@@ -302,7 +314,7 @@ def placed(shards: DataFrame) -> DataFrame:
     """The shards with ``start``, the number of tokens in all shards before.
 
     Each shard knows the tokens before it in the task that wrote it; a running sum over one row for each of those
-    tasks, as many as shuffle partitions, gives the rest and is broadcast.
+    tasks, as many as ranges, gives the rest and is broadcast.
     """
     sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -317,10 +329,11 @@ def read_documents(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for start, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shard = Shard.from_bytes(content.as_py())
-                tokens = memoryview(shard.matrix.decode().astype("<u4").tobytes())
-                at = shard.starts
-                crcs = [zlib.crc32(tokens[4 * int(a) : 4 * int(b)]) for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(at[:-1] + start, pa.int64()), pa.array(shard.lengths.astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                tokens = memoryview(shard.matrix.decode().astype("<u4")).cast("B")
+                at, ends = shard.starts, (4 * shard.starts).tolist()
+                crcs = [zlib.crc32(tokens[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+                ids = pa.array(shard.doc_ids, pa.int64(), mask=np.arange(len(shard.doc_ids)) < shard.without)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(at[:-1] + start, pa.int64()), pa.array(shard.lengths.astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return placed(shards).select("start", "content").mapInArrow(unpack, "doc_id:long,start:long,n_tokens:long,ids_crc32:long")
 
