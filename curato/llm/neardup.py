@@ -293,8 +293,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def known_words(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(node, words) of the documents in pairs, words as 32 bits each."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(node_of(doc_id, text).alias("node"), raw(text).alias("t")).join(nodes.hint("merge"), "node", "left_semi")
+    # A table of its own, so that Spark knows its size: few nodes are broadcast, and no texts are shuffled then.
+    nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    texts = docs.select(node_of(doc_id, text).alias("node"), raw(text).alias("t")).join(nodes, "node", "left_semi")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, 1):
