@@ -27,7 +27,9 @@ SHORT, TINY = 20, 5
 #: Into so many parts a key's texts are dealt before each part is linked to one of its texts, and these to one another.
 PARTS = 64
 #: Nodes of a key that each is held against in a further round, and rows held against each other at a time.
-NEIGHBOURS, BLOCK = 128, 100_000
+NEIGHBOURS, BLOCK = 96, 20_000
+#: Ways to sum a bag's counts, of which each further round takes the next.
+SIGNS = 8
 #: Buckets of a text's bag of words: each edit changes two of them by one at most, which bounds the edits from below.
 BUCKETS = 128
 
@@ -36,6 +38,7 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _MULTIPLY)
 _ODD = mix(_SEEDS) | np.uint64(1)
+_SIGNS = np.random.default_rng(7).choice([-1, 1], (BUCKETS, SIGNS))
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -54,11 +57,11 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def keys_of(words: np.ndarray) -> list[int]:
+def bands_of(words: np.ndarray) -> np.ndarray:
     """The text's Order MinHash keys, one for each hash function; none for a text without words."""
     found = shingles(words)
     if not len(found):
-        return []
+        return np.zeros(0, np.int64)
     order = np.argsort(found, kind="stable")
     ranked = found[order]
     fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))
@@ -77,9 +80,16 @@ def keys_of(words: np.ndarray) -> list[int]:
     keys = _SEEDS.copy()
     for i in range(picked):
         keys = mix(keys * _MULTIPLY + labelled[places[:, i]])
-    if len(words) < SHORT:
-        keys = np.unique(np.concatenate((keys, mix(found), mix(shingles(words, 2)) if len(words) <= TINY else found[:0])))
-    return keys.view(np.int64).tolist()
+    return keys.view(np.int64)
+
+
+def keys_of(words: np.ndarray, bands: np.ndarray | None = None) -> list[int]:
+    """The keys of the hash functions and, for a short text, those of its shingles."""
+    keys = bands_of(words) if bands is None else bands
+    if 0 < len(words) < SHORT:
+        more = [mix(shingles(words, size)).view(np.int64) for size in ((SHINGLE, 2) if len(words) <= TINY else (SHINGLE,))]
+        keys = np.unique(np.concatenate((keys, *more)))
+    return keys.tolist()
 
 
 def bag(words: np.ndarray) -> bytes:
@@ -183,7 +193,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, sha, size, bag, keys) of every row; size is in words."""
+    """(node, sha, size, bag, sums, bands, keys) of every row; size is in words, sums are of the bag with several signs."""
     sha = F.substring(F.unhex(F.sha2(raw(text), 256)), 1, 16)
     rows = docs.select(node_of(doc_id, text).alias("node"), sha.alias("sha"), raw(text).alias("t"))
 
@@ -191,10 +201,18 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for piece in pieces(batches, 2):
             found, bounds = hash_words(piece.column(2))
             words = [found[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-            sizes, bags, keys = pa.array(np.diff(bounds), pa.int32()), pa.array(map(bag, words), pa.binary()), pa.array(map(keys_of, words), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), sizes, bags, keys], ["node", "sha", "size", "bag", "keys"])
+            bags, bands = [bag(w) for w in words], [bands_of(w) for w in words]
+            sums = (np.frombuffer(b"".join(bags), np.uint8).reshape(-1, BUCKETS) @ _SIGNS).tolist()
+            columns = [
+                pa.array(np.diff(bounds), pa.int32()),
+                pa.array(bags, pa.binary()),
+                pa.array(sums, pa.list_(pa.int32())),
+                pa.array([x.tobytes() or bytes(8 * BANDS) for x in bands], pa.binary()),
+                pa.array(map(keys_of, words, bands), pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *columns], ["node", "sha", "size", "bag", "sums", "bands", "keys"])
 
-    return rows.mapInArrow(sketch, "node:long,sha:binary,size:int,bag:binary,keys:array<long>")
+    return rows.mapInArrow(sketch, "node:long,sha:binary,size:int,bag:binary,sums:array<int>,bands:binary,keys:array<long>")
 
 
 def _linked(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -217,37 +235,31 @@ def candidates(keyed: DataFrame) -> DataFrame:
 
 
 def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, label) of the rows (key, node) whose key has nodes of different labels."""
+    """(key, node, label, n) of the rows (key, node) whose key has ``n`` nodes, of different labels."""
     tagged = materialise(rows.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "tagged")
     keys = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n_key"))
-    return join_counted(tagged, materialise(keys.where("low < high").select("key", "n_key"), "keys"), "key", tagged.count())
+    keys = materialise(keys.where("low < high").select("key", "n_key", F.col("n_key").alias("n")), "keys")
+    return materialise(join_counted(tagged, keys, "key", tagged.count()), "mixed")
 
 
 def neighbours(rows: DataFrame, sketched: DataFrame, turn: int, least: float) -> DataFrame:
-    """(a, b, key): pairs of nodes of a key with different labels; a row (node, null, key) for each of a key that isn't done.
+    """(a, b, key): pairs of nodes of a key with different labels; a row (node, null, key) for each of a key cut by the end of a block.
 
-    The nodes of a key are sorted by a sum of their bags' counts with signs drawn for the turn, which differ little
-    where texts do, and each is held against the NEIGHBOURS after it: whole keys are done if they have no more. Pairs
-    too unlike by their numbers of words, in all or in the buckets, are left out. Ranges of keys and sums make the
-    tasks, so that none gets all of a key.
+    The nodes of a key are sorted by a sum of their bags' counts with the turn's signs, which differ little where texts
+    do, and each is held against the NEIGHBOURS after it. Pairs too unlike by their numbers of words, in all or in the
+    buckets, are left out, and pairs that share several hash functions' keys count in the first of these. Ranges of keys
+    and sums make the tasks, so that none gets all of a key.
     """
-    held = rows.join(sketched.select("node", "size", "bag").hint("merge"), "node")
-    signs = np.random.default_rng([7, turn]).choice([-1, 1], BUCKETS)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bags = np.frombuffer(b"".join(batch.column("bag").to_pylist()), np.uint8).reshape(-1, BUCKETS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bags @ signs, pa.int64())], [*batch.schema.names, "at"])
+    held = rows.select("key", "node", "label").join(sketched.select("node", "size", "bag", "bands", F.col("sums")[turn % SIGNS].alias("at")).hint("merge"), "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
-        for n, batch in enumerate(_blocks(batches)):
-            key, node, label, size = (batch.column(c).to_numpy() for c in ("key", "node", "label", "size"))
-            bags = np.frombuffer(b"".join(batch.column("bag").to_pylist()), np.uint8).reshape(-1, BUCKETS)
-            now = [key, node, label, size, bags]
+        for batch in _blocks(batches):
+            own = [batch.column(c).to_numpy() for c in ("key", "node", "label", "size")]
+            own += [np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(len(batch), -1) for c, kind in (("bag", np.uint8), ("bands", np.int64))]
             # The rows before are held against again, so that blocks part no neighbours.
             old = 0 if kept is None else len(kept[0])
-            key, node, label, size, bags = now if kept is None else [np.concatenate(c) for c in zip(kept, now)]
+            key, node, label, size, bags, bands = own if kept is None else [np.concatenate(c) for c in zip(kept, own)]
             out = []
             for shift in range(1, min(NEIGHBOURS, len(key) - 1) + 1):
                 same = key[shift:] == key[:-shift]
@@ -256,25 +268,22 @@ def neighbours(rows: DataFrame, sketched: DataFrame, turn: int, least: float) ->
                 x, y = size[shift:], size[:-shift]
                 most = (1 - least) * np.maximum(x, y) + 1e-9
                 at = np.flatnonzero(same & (label[shift:] != label[:-shift]) & (np.abs(x - y) <= most) & (np.arange(shift, len(key)) >= old))
-                for some in np.array_split(at, len(at) // 50_000 + 1):
+                for some in np.array_split(at, len(at) // 20_000 + 1):
+                    shared = bands[some] == bands[some + shift]
+                    first = bands[some, shared.argmax(axis=1)]
+                    some = some[(first == key[some]) | ~shared.any(axis=1)]
                     gap = bags[some + shift].astype(np.int16) - bags[some]
                     some = some[np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1)) <= most[some]]
                     out.append((node[some], node[some + shift], key[some]))
             a, b, of = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
             a, b = np.minimum(a, b), np.maximum(a, b)
-            begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            sizes = np.diff(np.concatenate((begins, [len(key)])))
             # The first and the last key of a block may go on beyond it.
-            large = sizes > NEIGHBOURS + 1
-            large[[0, -1]] = True
-            open_ = np.flatnonzero(np.repeat(large, sizes) & (np.arange(len(key)) >= old))
-            nulls = np.concatenate((np.zeros(len(a), bool), np.ones(len(open_), bool)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((a, node[open_]))), pa.array(np.concatenate((b, node[open_])), mask=nulls), pa.array(np.concatenate((of, key[open_])))], ["a", "b", "key"]
-            )
-            kept = [c[-NEIGHBOURS:] for c in (key, node, label, size, bags)]
-
-    ordered = held.mapInArrow(sums, "node:long,key:long,label:long,size:int,bag:binary,at:long").repartitionByRange("key", "at", "node").sortWithinPartitions("key", "at", "node")
+            cut = np.flatnonzero(((key == key[0]) | (key == key[-1])) & (np.arange(len(key)) >= old))
+            nulls = np.concatenate((np.zeros(len(a), bool), np.ones(len(cut), bool)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, node[cut]))), pa.array(np.concatenate((b, node[cut])), mask=nulls), pa.array(np.concatenate((of, key[cut])))], ["a", "b", "key"])
+            kept = [c[-NEIGHBOURS:] for c in (key, node, label, size, bags, bands)]
+
+    ordered = held.repartitionByRange("key", "at", "node").sortWithinPartitions("key", "at", "node")
     return ordered.mapInArrow(compare, "a:long,b:long,key:long")
 
 
@@ -282,8 +291,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows in blocks of about BLOCK."""
     held, n = [], 0
     for batch in batches:
-        held.append(batch)
-        n += len(batch)
+        if len(batch):
+            held.append(batch)
+            n += len(batch)
         if n >= BLOCK:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held, n = [], 0
@@ -325,14 +335,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     rows = materialise(sketches(docs, doc_id, text), "sketches")
     total = rows.count()
     reps = materialise(rows.groupBy("sha").agg(F.min("node").alias("rep"), F.count("*").alias("n_key")), "texts")
-    keyed = rows.join(reps.select(F.col("rep").alias("node"), "sha").hint("merge"), ["node", "sha"]).select("node", "size", "bag", "keys").distinct()
+    keyed = rows.join(reps.select(F.col("rep").alias("node"), "sha").hint("merge"), ["node", "sha"]).select("node", "size", "bag", "sums", "bands", "keys").distinct()
     keyed = materialise(keyed, "keyed")
     left = keyed.select("node", F.explode("keys").alias("key")).distinct()
     compared = materialise(candidates(left), "pairs")
     links = materialise(verified(compared, docs, doc_id, text, least), "links")
     labels, turn = components(links), 0
     while True:
-        found = materialise(neighbours(mixed(left, labels), keyed, turn, least), "neighbours")
+        rest = mixed(left, labels)
+        found = materialise(neighbours(rest, keyed, turn, least), "neighbours")
         pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
         pairs = materialise(pairs.join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         more = materialise(verified(pairs, docs, doc_id, text, least), "links")
@@ -340,7 +351,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
             break
         links, compared = links.unionByName(more), compared.unionByName(pairs)
         labels, turn = components(links), turn + 1
-        left = found.where("b IS NULL").select("key", F.col("a").alias("node"))
+        # Whole keys of few nodes are done.
+        large = F.col("n") > NEIGHBOURS + 1
+        left = rest.where(large).select("key", "node").unionByName(found.where("b IS NULL").select("key", F.col("a").alias("node"))).distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     made = reps.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").join(degree, "rep", "left")
     made = materialise(made.select("sha", "n_key", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
