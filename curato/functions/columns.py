@@ -87,3 +87,23 @@ def round_half_up(value: Column) -> Column:
 def round_half_even(value: Column) -> Column:
     """Rounds halves to the even neighbour."""
     return F.bround(value, 0)
+
+
+def path_key(path: Column) -> Column:
+    """What two paths of one file have in common where case doesn't count: lower case, one kind of slash."""
+    return F.lower(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/+", "/"))
+
+
+def map_rows(value: Column) -> Column:
+    """A map's entries in the order of their keys."""
+    return F.array_sort(F.map_entries(value))
+
+
+def json_bytes(value: Column) -> Column:
+    """The bytes of a structure's JSON in UTF-8."""
+    return F.octet_length(F.to_json(value))
+
+
+def decode_line(raw: Column) -> Column:
+    """Bytes as UTF-8, without a byte order mark; bytes that aren't become replacement marks."""
+    return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "^\ufeff", "")

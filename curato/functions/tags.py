@@ -39,8 +39,15 @@ CATEGORIES: dict[str, tuple[str, ...]] = {
     }.items()
 }
 SYNONYMS = {"gray_hair": "grey_hair", "gray_eyes": "grey_eyes", "smiling": "smile", "t-shirt": "tshirt"}
-_HAIR = ("black_hair", "blonde_hair", "blue_hair", "brown_hair", "green_hair", "pink_hair", "purple_hair", "red_hair", "white_hair")
-CONFLICTS: dict[str, tuple[str, ...]] = {"1girl": ("1boy", "man"), "1boy": ("1girl", "woman")} | {head: tuple(t for t in _HAIR if t != head) for head in ("black_hair", "blonde_hair", "blue_hair", "white_hair")}
+# Tags that contradict a tag.
+CONFLICTS: dict[str, tuple[str, ...]] = {
+    "1girl": ("1boy", "man"),
+    "1boy": ("1girl", "woman"),
+    "black_hair": ("blonde_hair", "blue_hair", "brown_hair", "green_hair", "pink_hair", "purple_hair", "red_hair", "white_hair"),
+    "blonde_hair": ("black_hair", "blue_hair", "brown_hair", "green_hair", "pink_hair", "purple_hair", "red_hair", "white_hair"),
+    "blue_hair": ("black_hair", "blonde_hair", "brown_hair", "green_hair", "pink_hair", "purple_hair", "red_hair", "white_hair"),
+    "white_hair": ("black_hair", "blonde_hair", "blue_hair", "brown_hair", "green_hair", "pink_hair", "purple_hair", "red_hair"),
+}
 
 RANK = {name: i for i, name in enumerate(CATEGORIES)}
 CATEGORY_OF = {tag: name for name, tags in CATEGORIES.items() for tag in tags}

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+import io
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -45,28 +46,32 @@ def parse(caption: Column) -> Column:
     return F.filter(F.transform(F.split(caption, ","), lambda t: F.regexp_replace(t, "^\\s+|\\s+$", "")), lambda t: t != "")
 
 
-def _quoted(caption: str | None):
-    if caption is None:
-        return None
-    rows = list(csv.reader(caption.splitlines(), skipinitialspace=True))
-    return None if len(rows) > 1 else [t.strip() for row in rows for t in row if t.strip()]
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _quoted(captions: pd.Series) -> pd.Series:
+    def tags(caption):
+        if caption is None:
+            return None
+        rows = list(csv.reader(io.StringIO(caption), skipinitialspace=True))
+        return [t.strip() for t in rows[0] if t.strip()] if len(rows) == 1 else None
+
+    return captions.map(tags)
 
 
 def parse_quoted(caption: Column) -> Column:
-    """As ``parse``, with quoted tags that may hold commas; null for more than one line. Only quotes go to Python."""
-    one_line = ~caption.rlike("[\\r\\n].")
-    plain = F.when(one_line, parse(caption))
-    return F.when(caption.contains('"'), F.udf(_quoted, T.ArrayType(T.StringType()))(caption)).otherwise(plain)
+    """As ``parse``, with quoted tags that may hold commas; null for more than one line. Only quotes and lines go to Python."""
+    special = caption.rlike("[\"\r\n]") & (F.length(F.regexp_replace(caption, "\\s", "")) > 0)
+    return F.when(special, _quoted(F.when(special, caption))).otherwise(parse(caption))
 
 
 def audit(captions: DataFrame, trigger: str, class_token: str | None = None, invariant_tags: Sequence[str] = (), style: bool = False) -> DataFrame:
     """Adds ``tags``, ``issues`` and flags to captions (asset_id, caption).
 
-    Issues in order: empty_caption (and no other), trigger_missing or trigger_not_first, duplicated_tags,
+    Tags may stand in quotes. Issues in order: invalid_caption for more than one line, empty_caption (and no other), trigger_missing or trigger_not_first, duplicated_tags,
     forbidden_tags, identity_invariant_leak, class_token_inconsistent.
     """
     gone = ["quality", "rating", "resolution", "text_watermark", "character", "copyright"] + ["artist", "style"] * style
-    rows = captions.withColumn("tags", F.coalesce(parse(F.col("caption")), F.array().cast("array<string>")))
+    rows = captions.withColumn("parsed", parse_quoted(F.col("caption")))
+    rows = rows.withColumn("invalid", F.col("parsed").isNull() & F.col("caption").isNotNull()).withColumn("tags", F.coalesce("parsed", F.array().cast("array<string>"))).drop("parsed")
     rest = F.transform(F.slice("tags", F.lit(2), F.greatest(F.size("tags") - 1, F.lit(0))), lambda t: ontology.canonical(t))
     rows = rows.withColumn("canonical", F.when(F.size("tags") > 1, rest).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("kinds", F.transform("canonical", lambda t: ontology.category(t)))
@@ -75,6 +80,7 @@ def audit(captions: DataFrame, trigger: str, class_token: str | None = None, inv
     leak = F.size(F.array_intersect("canonical", F.array(*map(F.lit, invariant_tags)).cast("array<string>"))) > 0
     first = F.try_element_at("tags", F.lit(1)) == trigger
     issues = F.array(
+        F.when(F.col("invalid"), "invalid_caption"),
         F.when(empty, "empty_caption"),
         F.when(~empty & ~first, F.when(F.array_contains("tags", trigger), "trigger_not_first").otherwise("trigger_missing")),
         F.when(~empty & (F.size(F.array_distinct("canonical")) < F.size("canonical")), "duplicated_tags"),
@@ -82,7 +88,7 @@ def audit(captions: DataFrame, trigger: str, class_token: str | None = None, inv
         F.when(~empty & leak, "identity_invariant_leak"),
         F.when(~empty & ~F.coalesce(second, F.lit(False)), "class_token_inconsistent"),
     )
-    rows = rows.withColumn("issues", F.filter(issues, lambda i: i.isNotNull()))
+    rows = rows.withColumn("issues", F.filter(issues, lambda i: i.isNotNull())).drop("invalid")
     rows = rows.withColumn("clothing", ~empty & F.array_contains("kinds", "clothing"))
     rows = rows.withColumn("semantic", ~empty & F.exists("kinds", lambda k: ~k.isin(*ontology.EMPTY_OF_CONTENT)))
     return rows.withColumn("consistent", ~empty & F.coalesce(second, F.lit(False)))
@@ -162,13 +168,19 @@ def valid_trigger(value: Column) -> Column:
     return (F.length(bare) > 0) & (F.length(bare) <= 64) & ~bare.rlike(SEPARATOR) & ~bare.rlike("\\s\\s|[^\\S ]") & ~ontology.canonical(bare).isin(*COLLISIONS)
 
 
-def trigger_candidates(candidates: DataFrame, place: str = "place", value: str = "value", most: int = 5) -> DataFrame:
-    """(place, value): the first five valid candidates, one for each lower-cased text and none that is a known tag."""
+def trigger_candidates(candidates: DataFrame, place: str = "place", value: str = "value", least: int = 3, most: int = 5) -> DataFrame:
+    """(place, value): the first five valid candidates, one for each lower-cased text and none that is a known tag.
+
+    Fewer than ``least`` of them are an error.
+    """
     bare = F.regexp_replace(F.col(value), "^\\s+|\\s+$", "")
     rows = candidates.where(valid_trigger(F.col(value))).select(F.col(place), bare.alias(value))
     rows = rows.where(ontology.category(ontology.canonical(F.col(value))) == "unclassified")
     first = rows.groupBy(F.lower(value).alias("k")).agg(F.min(F.struct(place, value)).alias("f"))
-    return first.select("f.*").orderBy(place).limit(most)
+    # One row of five candidates at most.
+    found = first.select("f.*").orderBy(place).limit(most).agg(F.sort_array(F.collect_list(F.struct(place, value))).alias("c"))
+    few = F.raise_error(F.lit(f"fewer than {least} valid trigger candidates")).cast(found.schema["c"].dataType)
+    return found.select(F.explode(F.when(F.size("c") >= least, F.col("c")).otherwise(few)).alias("c")).select("c.*")
 
 
 def pack_items(rows: DataFrame, order: str, most: int = 8, ranges: int = 64) -> DataFrame:
@@ -191,19 +203,24 @@ def pack_items(rows: DataFrame, order: str, most: int = 8, ranges: int = 64) ->
 def pack_bytes(rows: DataFrame, group: str, key: str, size: str, most_items: int, most_bytes: int) -> DataFrame:
     """(group, key, batch) within each group: a new batch when the next item would make it too large.
 
-    An item over the limit alone is an error. Groups are the unit of work and are packed one by one.
+    An item over the limit alone is an error. A group's items come in order, and only the open batch is kept in mind.
     """
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        batch, items, used, out = 0, 0, 0, []
-        for n in rows.sort_values(key)[size]:
-            if n > most_bytes:
-                raise ValueError("an item is over the limit")
-            if items and (items == most_items or used + n > most_bytes):
-                batch, items, used = batch + 1, 0, 0
-            items, used = items + 1, used + n
-            out.append(batch)
-        return rows.sort_values(key)[[group, key]].assign(batch=out)
-
     schema = T.StructType([rows.schema[group], rows.schema[key], T.StructField("batch", T.LongType())])
-    return rows.groupBy(group).applyInPandas(pack, schema)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, batch, items, used = None, 0, 0, 0
+        for some in batches:
+            out = []
+            for name, n in zip(some[group], some[size]):
+                if n > most_bytes:
+                    raise ValueError("an item is over the limit")
+                if name != own:
+                    own, batch, items, used = name, 0, 0, 0
+                elif items == most_items or used + n > most_bytes:
+                    batch, items, used = batch + 1, 0, 0
+                items, used = items + 1, used + n
+                out.append(batch)
+            yield some[[group, key]].assign(batch=out)
+
+    return rows.select(group, key, size).repartition(group).sortWithinPartitions(group, key).mapInPandas(pack, schema)

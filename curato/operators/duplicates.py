@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curato.functions.columns import clamp, hamming, normalize_log
-from curato.operators.graph import components
+from curato.operators.graph import components, materialise
 
 #: Fixed value: comparisons which an all-pairs operator may make; it can be lowered, never raised.
 PAIR_BUDGET = 2_000_000
@@ -39,47 +40,87 @@ def drop_exact(assets: DataFrame, key: str, digest: str) -> DataFrame:
     return assets.join(kept.select(key), key, "left_semi")
 
 
-def hamming_pairs(hashes: DataFrame, key: str, value: str, distance: int, bits: int = 64) -> DataFrame:
-    """(a, b, distance) of all pairs of equal or nearly equal hashes.
+def _representatives(rows: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(value, smallest key) of distinct values, and links (a, b) of the smallest key with the others of its value."""
+    first = rows.groupBy(F.col(value).alias("h")).agg(F.min(key).alias("a"))
+    links = rows.select(F.col(key).alias("b"), F.col(value).alias("h")).join(first, "h").where("a != b").select("a", "b")
+    return first, links
 
-    Hashes that differ in ``distance`` bits at most are equal in one of ``distance`` + 1 bands: a join on bands finds
-    all such pairs, and no others than those that share a band are compared. Equal hashes are joined as groups before.
+
+def hamming_pairs(hashes: DataFrame, key: str, value: str, distance: int, bits: int = 64, same: int = 3, all_pairs: bool = False) -> DataFrame:
+    """(a, b, distance) of nearly equal hashes, each hash standing by its smallest key, and of that key with the hash's others.
+
+    Of ``distance`` + ``same`` bands of bits ``same`` are equal in two such hashes: a join on every choice of as many
+    bands finds all of them, and few others are compared. With ``all_pairs`` all keys of both hashes are paired, of
+    which there may be as many as the square of a hash's keys.
     """
-    width = -(-bits // (distance + 1))
-    parts = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("h"), i * width).bitwiseAND(F.lit((1 << min(width, bits - i * width)) - 1)).alias("part")) for i in range(distance + 1) if i * width < bits]
-    distinct = hashes.groupBy(F.col(value).alias("h")).agg(F.count("*").alias("n"))
-    banded = distinct.select("h", F.explode(F.array(*parts)).alias("s")).select("h", "s.band", "s.part")
-    other = banded.select(F.col("h").alias("h2"), "band", "part")
-    near = banded.join(other, ["band", "part"]).where(F.col("h") < F.col("h2")).select("h", "h2").distinct()
-    near = near.withColumn("distance", hamming(F.col("h"), F.col("h2"))).where(F.col("distance") <= distance)
-    near = near.unionByName(distinct.where("n > 1").select("h", F.col("h").alias("h2"), F.lit(0).alias("distance")))
-    left, right = hashes.select(F.col(key).alias("x"), F.col(value).alias("h")), hashes.select(F.col(key).alias("y"), F.col(value).alias("h2"))
-    pairs = near.join(left, "h").join(right, "h2").where((F.col("h") != F.col("h2")) | (F.col("x") < F.col("y")))
+    bands = distance + same
+    edges = [i * bits // bands for i in range(bands + 1)]
+    band = lambda i: F.shiftrightunsigned("h", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    choices = list(combinations(range(bands), same))
+    parts = [F.struct(F.lit(n).alias("choice"), F.xxhash64(*(band(i) for i in chosen)).alias("part")) for n, chosen in enumerate(choices)]
+    first, links = _representatives(hashes, key, value)
+    banded = first.select("h", F.explode(F.array(*parts)).alias("s")).select("h", "s.choice", "s.part")
+    other = banded.select(F.col("h").alias("h2"), "choice", "part")
+    near = banded.join(other, ["choice", "part"]).where(F.col("h") < F.col("h2")).withColumn("distance", hamming(F.col("h"), F.col("h2"))).where(F.col("distance") <= distance).drop("choice", "part").distinct()
+    if all_pairs:
+        left, right = hashes.select(F.col(key).alias("x"), F.col(value).alias("h")), hashes.select(F.col(key).alias("y"), F.col(value).alias("h2"))
+        same_hash = first.select("h", F.col("h").alias("h2"), F.lit(0).alias("distance"))
+        pairs = near.unionByName(same_hash).join(left, "h").join(right, "h2").where((F.col("h") != F.col("h2")) | (F.col("x") < F.col("y")))
+    else:
+        pairs = near.join(first.select("h", F.col("a").alias("x")), "h").join(first.select(F.col("h").alias("h2"), F.col("a").alias("y")), "h2")
+        pairs = pairs.select("x", "y", "distance").unionByName(links.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(0).alias("distance")))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
-def cosine_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = 512, budget: int = PAIR_BUDGET) -> DataFrame:
-    """(a, b, cosine) of all pairs at or over the threshold, compared block by block within the pair budget."""
-    n = check_pair_budget(vectors, budget)
-    blocks = max(1, -(-n // block))
-    rows = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("i"))
-    # The budget bounds blocks, and rows in a block, so that grouping them gathers little.
-    packed = rows.groupBy("i").agg(F.collect_list(F.struct("k", "v")).alias("rows"))
-    both = packed.alias("l").join(packed.alias("r"), F.col("l.i") <= F.col("r.i")).select(F.col("l.i").alias("i"), F.col("r.i").alias("j"), F.col("l.rows").alias("left"), F.col("r.rows").alias("right"))
+def cosine_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = 512, cells: int = 1024, budget: int | None = None) -> DataFrame:
+    """(a, b, cosine) of all pairs of distinct vectors at or over the threshold, and of each vector's smallest key with the others that have it.
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def unpack(rows):
-            keys, vectors = np.array([r["k"] for r in rows]), np.array([r["v"] for r in rows], float)
-            return keys, vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    Vectors belong to the cell of the nearest of ``cells`` pivots at most, and visit each cell whose pivot isn't further
+    off than their own and twice the threshold's angle: two vectors within that angle always meet. Cells are cut into
+    blocks, each of which is held against those of its cell. ``budget``, if given, is the number of comparisons that
+    all pairs would make at most.
+    """
+    if budget is not None:
+        check_pair_budget(vectors, budget)
+    first, links = _representatives(vectors, key, vector)
+    first = materialise(first.select(F.col("a").alias("k"), F.col("h").alias("v")), "vectors")
+    n = first.count()
+    pivots = np.array([r.v for r in first.orderBy(F.xxhash64("k"), "k").select("v").limit(min(cells, max(1, n // block))).collect()], float)
+    pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300) if len(pivots) else 1
+    angle = 2 * np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = np.array(batch["v"].tolist(), float)
+            own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
+            far = np.arccos(np.clip(own @ pivots.T, -1, 1))
+            home = far.argmin(axis=1)
+            i, cell = np.nonzero(far <= far.min(axis=1)[:, None] + angle)
+            yield pd.DataFrame({"k": batch["k"].to_numpy()[i], "v": list(own[i]), "cell": cell, "home": cell == home[i]})
+
+    if not n:
+        return links.select("a", "b", F.lit(1.0).alias("cosine"))
+    rows = materialise(first.mapInPandas(visit, "k long, v array<double>, cell int, home boolean"), "cells")
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / block).alias("blocks"))
+    # As many rows as there are cells.
+    dealt = rows.join(F.broadcast(sizes), "cell").withColumn("i", F.pmod(F.xxhash64("k"), F.col("blocks")))
+    packed = dealt.groupBy("cell", "i").agg(F.collect_list(F.struct("k", "v", "home")).alias("rows"))
+    both = packed.select("cell", "i", F.col("rows").alias("left")).join(packed.select("cell", F.col("i").alias("j"), F.col("rows").alias("right")), "cell").where("i <= j")
 
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = lambda rows: (np.array([r["k"] for r in rows]), np.array([r["v"] for r in rows], float), np.array([r["home"] for r in rows]))
         for batch in batches:
             for i, j, left, right in batch.itertuples(index=False):
-                (k1, v1), (k2, v2) = unpack(left), unpack(right)
+                (k1, v1, own1), (k2, v2, own2) = unpack(left), unpack(right)
                 found = v1 @ v2.T
-                a, b = np.nonzero((found >= threshold) & ((k1[:, None] < k2[None, :]) if i == j else True))
+                # A pair that meets in several cells counts in the home of its smaller key.
+                home = np.where(k1[:, None] < k2[None, :], own1[:, None], own2[None, :])
+                a, b = np.nonzero((found >= threshold) & home & ((k1[:, None] < k2[None, :]) if i == j else True))
                 yield pd.DataFrame({"a": np.minimum(k1[a], k2[b]), "b": np.maximum(k1[a], k2[b]), "cosine": found[a, b]})
 
-    return both.mapInPandas(multiply, "a long, b long, cosine double")
+    pairs = both.select("i", "j", "left", "right").mapInPandas(multiply, "a long, b long, cosine double")
+    return pairs.unionByName(links.select("a", "b", F.lit(1.0).alias("cosine")))
 
 
 def cluster_pairs(pairs: DataFrame) -> DataFrame:

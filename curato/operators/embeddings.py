@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curato.functions.columns import clamp, dot, unit
+from curato.operators.statistics import exact_median
 
 #: Limits of the robust outlier threshold.
 MOST, LEAST_GAP, SPREADS = 0.75, 0.10, 3.5
@@ -31,9 +32,10 @@ def centroid_similarity(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 def outlier_threshold(similarities: DataFrame, most: float = MOST, least_gap: float = LEAST_GAP, spreads: float = SPREADS) -> DataFrame:
     """One row: median, median absolute deviation and the threshold below which a similarity is an outlier."""
-    median = similarities.agg(F.median("similarity").alias("median"))
-    mad = similarities.crossJoin(F.broadcast(median)).agg(F.first("median").alias("median"), F.median(F.abs(F.col("similarity") - F.col("median"))).alias("mad"))
-    return mad.withColumn("threshold", F.least(F.lit(most), F.greatest(F.lit(0.0), F.col("median") - F.greatest(F.lit(least_gap), spreads * F.col("mad")))))
+    median = exact_median(similarities, F.col("similarity"))
+    mad = exact_median(similarities.crossJoin(F.broadcast(median)), F.abs(F.col("similarity") - F.col("median"))).withColumnRenamed("median", "mad")
+    # One row each.
+    return median.crossJoin(F.broadcast(mad)).withColumn("threshold", F.least(F.lit(most), F.greatest(F.lit(0.0), F.col("median") - F.greatest(F.lit(least_gap), spreads * F.col("mad")))))
 
 
 def outliers(vectors: DataFrame, key: str, vector: str, **limits) -> DataFrame:
@@ -42,8 +44,8 @@ def outliers(vectors: DataFrame, key: str, vector: str, **limits) -> DataFrame:
     return rows.crossJoin(F.broadcast(outlier_threshold(rows, **limits))).where("similarity < threshold").select(key, "similarity", "threshold")
 
 
-def nearest(queries: DataFrame, references: DataFrame, key: str, vector: str, block: int = 1024) -> DataFrame:
-    """(key, other, cosine): the nearest reference of each query, ties to the smallest key.
+def nearest(queries: DataFrame, references: DataFrame, key: str, vector: str, block: int = 1024, skip_self: bool = True) -> DataFrame:
+    """(key, other, cosine): the nearest reference of each query, ties to the smallest key; with ``skip_self`` none has its own key.
 
     References go in blocks: each block is compared with all queries, and the best of the blocks is taken.
     """
@@ -60,7 +62,8 @@ def nearest(queries: DataFrame, references: DataFrame, key: str, vector: str, bl
                 order = np.argsort(k2)
                 k2, v2 = k2[order], v2[order]
                 found = (v1 / np.linalg.norm(v1, axis=1, keepdims=True)) @ (v2 / np.linalg.norm(v2, axis=1, keepdims=True)).T
-                found[k1[:, None] == k2[None, :]] = -2
+                if skip_self:
+                    found[k1[:, None] == k2[None, :]] = -2
                 at = found.argmax(axis=1)
                 yield pd.DataFrame({"k": k1, "other": k2[at], "cosine": found[np.arange(len(k1)), at]})
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curato.functions.columns import clamp, term, unit
+from curato.functions.columns import clamp, cosine, term, unit
+from curato.operators.embeddings import nearest
 
 # Weights of the metrics, and what else a score depends on.
 CHARACTER_WEIGHTS = {"identity": 0.35, "prompt_compliance": 0.20, "flexibility": 0.15, "consistency": 0.10, "validation": 0.10, "technical": 0.05, "visual_heuristic": 0.05}
@@ -85,6 +86,69 @@ def candidate_signals(samples: DataFrame, key: str) -> DataFrame:
     return found.withColumn("failure_rate", rate).withColumn("technical", F.greatest(F.lit(0.0), 1 - rate))
 
 
+def _centroids(vectors: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """(keys, centroid): the mean vector of each group."""
+    parts = vectors.select(*keys, F.posexplode(vector).alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("x"))
+    return parts.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("centroid"))
+
+
+def vector_signals(samples: DataFrame, references: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, reference_similarity, nearest, consistency, prompt_similarity) of usable samples (sample_id, key, prompt, vector).
+
+    Similarities to the references' centroid, and to the nearest reference; how alike a prompt's samples are, and how
+    alike the prompts' centroids.
+    """
+    middle = references.select(F.lit(0).alias("all"), F.col(vector)).transform(lambda r: _centroids(r, ["all"], vector)).select("centroid")
+    # One row.
+    own = samples.crossJoin(F.broadcast(middle)).groupBy(key).agg(F.avg(cosine(F.col(vector), F.col("centroid"))).alias("reference_similarity"))
+    near = nearest(samples.select("sample_id", vector), references.select(F.col("reference_id").alias("sample_id"), vector), "sample_id", vector, skip_self=False)
+    near = samples.select("sample_id", key).join(near, "sample_id").groupBy(key).agg(F.max("cosine").alias("nearest"))
+    alike = mean_pairwise(samples, [key, "prompt"], vector).groupBy(key).agg(F.avg("pairwise").alias("consistency"))
+    prompts = mean_pairwise(_centroids(samples, [key, "prompt"], vector), [key], "centroid").select(key, F.col("pairwise").alias("prompt_similarity"))
+    return own.join(near, key).join(alike, key).join(prompts, key)
+
+
+def visual_signals(samples: DataFrame, references: DataFrame, key: str, invariants: Sequence[str] = (), semantic: bool = True) -> DataFrame:
+    """All signals of candidates from samples (sample_id, key, prompt, success, mean, spread, compliance, weight, tags, pixel, semantic).
+
+    References have reference_id, pixel and semantic. Pixels and learned embeddings count half each, invariant tags a
+    quarter of the similarity to the references. A candidate without usable samples has zeros and the usual weight.
+    """
+    ok = F.coalesce(F.col("success") & F.col("mean").isNotNull() & ~is_blank(F.col("mean"), F.col("spread")), F.lit(False))
+    usable = samples.where(ok)
+    found = candidate_signals(samples, key)
+    kinds = ["pixel", "semantic"] if semantic else ["pixel"]
+    names = ("reference_similarity", "nearest", "consistency", "prompt_similarity")
+    for kind in kinds:
+        rows = vector_signals(usable, references, key, kind)
+        found = found.join(rows.select(key, *(F.col(n).alias(f"{kind}_{n}") for n in names)), key, "left")
+    for n in names:
+        found = found.withColumn(n, sum((F.coalesce(f"{kind}_{n}", F.lit(0.0)) for kind in kinds), F.lit(0.0)) / len(kinds))
+    own = sorted({"_".join(re.findall("[a-z0-9]+", t.lower())) for t in invariants})
+    if own:
+        held = F.size(F.array_intersect(F.array_distinct(F.transform("tags", term)), F.array(*map(F.lit, own)))) / len(own)
+        found = found.join(usable.groupBy(key).agg(F.avg(held).alias("invariant_score")), key, "left")
+        blend = F.when(F.col("usable") > 0, 0.75 * F.col("reference_similarity") + 0.25 * F.col("invariant_score")).otherwise(F.col("reference_similarity"))
+        found = found.withColumn("reference_similarity", blend)
+    best = usable.withColumn("health", health(F.col("mean"), F.col("spread")))
+    found = found.join(recommended_weight(best, key), key, "left").withColumn("recommended_weight", F.coalesce("recommended_weight", F.lit(USUAL_WEIGHT)))
+    some = F.col("usable") > 0
+    return found.select(
+        key,
+        "n",
+        "usable",
+        clamp(F.col("reference_similarity")).alias("reference_similarity"),
+        clamp(F.col("prompt_compliance")).alias("prompt_compliance"),
+        F.when(some, clamp((1 - F.col("prompt_similarity")) * 5)).otherwise(F.lit(0.0)).alias("flexibility"),
+        clamp(F.col("consistency")).alias("consistency"),
+        "technical",
+        clamp(F.col("visual_heuristic")).alias("visual_heuristic"),
+        "failure_rate",
+        memorisation_risk(F.col("nearest")).alias("memorisation_risk"),
+        "recommended_weight",
+    )
+
+
 def memorisation_risk(nearest: Column) -> Column:
     """How near a sample is to a reference, from 0.985 to 1."""
     return clamp((nearest - 0.985) / 0.015)

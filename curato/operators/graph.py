@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder which driver and executors share, from ``spark.checkpoint.dir``; a new one only where that is unset."""
+    """The folder which driver and executors share, from ``spark.checkpoint.dir``; a new one only where that is unset and there are no executors but this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="curato-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -28,7 +28,8 @@ def hash_holdout(assets: DataFrame, key: str, wanted: int, seed: int = 42, clust
     """Adds ``split``: whole groups go to validation in the order of their hashes while that doesn't take the
     number further from ``wanted``; at least one group does.
 
-    With clusters the groups are read in order, a partition at a time, only until the number is reached.
+    With clusters the groups that may still be taken are read in order, a thousand at a time, until the number is reached:
+    of those read at once the first is taken, so the reads are no more than the groups held out.
     """
     own = F.coalesce(F.col(cluster).cast("string"), F.col(key).cast("string")) if cluster else F.col(key).cast("string")
     if wanted <= 0:
@@ -37,14 +38,18 @@ def hash_holdout(assets: DataFrame, key: str, wanted: int, seed: int = 42, clust
     if cluster is None:
         taken = groups.orderBy("rank", "_group").limit(wanted).select("_group")
     else:
-        taken, total = [], 0
-        # Groups arrive in order and the loop stops at the wanted number: skipped groups are larger than what is left.
-        for row in groups.orderBy("rank", "_group").toLocalIterator():
-            if total >= wanted:
+        taken, total, after = [], 0, None
+        while total < wanted:
+            # A group is taken if that leaves the number no further off: of those after the last one read, only such are asked for.
+            small = groups.where(F.col("n") <= 2 * (wanted - total)) if taken else groups
+            some = (small.where(F.struct("rank", "_group") > F.struct(*map(F.lit, after))) if after else small).orderBy("rank", "_group").limit(1000).collect()
+            if not some:
                 break
-            if not taken or abs(wanted - total - row.n) <= abs(wanted - total):
-                taken.append((row[0],))
-                total += row.n
+            for row in some:
+                after = (row["rank"], row["_group"])
+                if total < wanted and (not taken or abs(wanted - total - row.n) <= wanted - total):
+                    taken.append((row["_group"],))
+                    total += row.n
         taken = assets.sparkSession.createDataFrame(taken, "_group string")
     marked = assets.withColumn("_group", own).join(taken.withColumn("_held", F.lit(True)), "_group", "left")
     return marked.withColumn("split", F.when(F.col("_held"), "validation").otherwise("train")).drop("_group", "_held")
@@ -215,3 +220,73 @@ def sampling_matrix(checkpoints: DataFrame, prompts: DataFrame, weights: Sequenc
     rows = checkpoints.crossJoin(F.broadcast(grid)).crossJoin(F.broadcast(prompts))
     top = rows.orderBy("c", "w", "s", "p").limit(cap)
     return top.withColumn("ordinal", F.row_number().over(Window.orderBy("c", "w", "s", "p")))
+
+
+# Fixed values: (checkpoints, prompts, weights, seeds) of the three passes of a library run, in which 0 is all.
+LIBRARY_PASSES = ((0, 0, (0.8,), (101,)), (5, 4, (0.6, 0.7, 0.8, 0.9, 1.0), (202,)), (3, 4, (0.7, 0.8, 0.9), (303, 404, 505)))
+MOST_LIBRARY_SAMPLES = 256
+
+
+def library_matrix(checkpoints: DataFrame, prompts: DataFrame, most: int = MOST_LIBRARY_SAMPLES) -> DataFrame:
+    """(pass, c, weight, seed, p, ordinal): the first ``most`` samples of all passes over checkpoints (c) and prompts (p) by place.
+
+    Later passes take the first checkpoints and prompts. All passes together are cut at the limit.
+    """
+    spark, rows = checkpoints.sparkSession, None
+    for n, (some, texts, weights, seeds) in enumerate(LIBRARY_PASSES, 1):
+        own = checkpoints.where(F.col("place") < some) if some else checkpoints
+        asked = prompts.where(F.col("place") < texts) if texts else prompts
+        grid = spark.createDataFrame([(i, w, j, s) for i, w in enumerate(weights) for j, s in enumerate(seeds)], "i int, weight double, j int, seed int")
+        # The grid has nine rows at most, and prompts are a handful.
+        made = own.select(F.col("place").alias("cp"), "c").crossJoin(F.broadcast(grid)).crossJoin(F.broadcast(asked.select(F.col("place").alias("pp"), "p")))
+        made = made.orderBy("cp", "i", "j", "pp").limit(most).withColumn("pass", F.lit(n))
+        rows = made if rows is None else rows.unionByName(made)
+    # Three times the limit, at most.
+    order = Window.orderBy("pass", "cp", "i", "j", "pp")
+    return rows.withColumn("ordinal", F.row_number().over(order)).where(F.col("ordinal") <= most).select("pass", "c", "weight", "seed", "p", "ordinal")
+
+
+def all_passes(passes: Sequence[DataFrame]) -> DataFrame:
+    """The samples of all passes with ``pass``, the number of theirs from 1 on; repeated ones stay."""
+    rows = None
+    for n, made in enumerate(passes, 1):
+        own = made.withColumn("pass", F.lit(n))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
+def preferred_device(task: Column, selected: Column, preferred: Column) -> Column:
+    """The device for tagging: a preferred one that must be among those selected, else the first, or the second for generated images."""
+    turn = F.when(task == "generated_tag", 1).otherwise(0) % F.size(selected)
+    wrong = F.raise_error(F.concat(F.lit("not a selected device: "), preferred)).cast("string")
+    return F.when(preferred.isNull(), F.get(selected, turn)).when(F.array_contains(selected, preferred), preferred).otherwise(wrong)
+
+
+def previews(samples: DataFrame, chosen: DataFrame, key: str, place: str, most: int = 12, columns: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(first successful sample of each chosen key, the grid's cells: successful ones of the first ``most`` with row and column)."""
+    good = samples.where("success").join(chosen.select(key), key, "left_semi")
+    first = good.groupBy(key).agg(F.min(place).alias(place))
+    cells = samples.orderBy(place).limit(most).where("success")
+    cell = F.row_number().over(Window.orderBy(place)) - 1
+    return first, cells.withColumn("cell", cell).select(place, key, F.floor(F.col("cell") / columns).cast("int").alias("row"), (F.col("cell") % columns).alias("column"))
+
+
+# From which score a tagger's tag is taken, by its category.
+TAG_THRESHOLDS = {"general": 0.35, "character": 0.85, "rating": 0.0}
+
+
+def tagger_selection(scores: DataFrame) -> DataFrame:
+    """Adds ``selected`` to a tagger's scores (tag, score, model_category): over the threshold of its category."""
+    limit = F.lit(TAG_THRESHOLDS["general"])
+    for name in ("character", "rating"):
+        limit = F.when(F.col("model_category") == name, TAG_THRESHOLDS[name]).otherwise(limit)
+    return scores.withColumn("selected", F.col("score") > limit)
+
+
+def prompt_set(prompts: DataFrame, trigger: str, least: int = 8) -> DataFrame:
+    """(prompt_id, text) with the trigger in its place: fewer than ``least`` prompts, or one without a place for it, are errors."""
+    # A prompt set is a handful of rows.
+    n = F.count("*").over(Window.partitionBy())
+    wrong = lambda text: F.raise_error(F.lit(text)).cast("string")
+    text = F.when(n < least, wrong("too few prompts")).when(~F.contains("text", F.lit("{trigger}")), wrong("a prompt has no place for the trigger"))
+    return prompts.select("prompt_id", text.otherwise(F.replace("text", F.lit("{trigger}"), F.lit(trigger))).alias("text"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curato.functions.columns import aspect_ratio
+from curato.operators.statistics import exact_median
 
 REJECT, WARNING = "reject", "warning"
 
@@ -124,6 +125,10 @@ def distribution(assessed: DataFrame, column: str, by: Sequence[str] = ()) -> Da
     """Least, median (interpolated) and most of a column over accepted rows; 0 without any."""
     own = F.when(F.col("accepted"), F.col(column))
     zero = lambda x, name: F.coalesce(x, F.lit(0)).cast("double").alias(name)
+    if not by:
+        # One row each.
+        ends = assessed.agg(zero(F.min(own), "low"), zero(F.max(own), "high"))
+        return ends.crossJoin(F.broadcast(exact_median(assessed, own))).select("low", zero(F.col("median"), "mid"), "high")
     return assessed.groupBy(*by).agg(zero(F.min(own), "low"), zero(F.median(own), "mid"), zero(F.max(own), "high"))
 
 

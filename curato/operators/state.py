@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,26 +80,41 @@ def resolve_layers(rows: DataFrame, layers: list[str], keys: list[str]) -> DataF
 
 
 def throttled(samples: DataFrame, key: str, seconds: Column, interval: float) -> DataFrame:
-    """The samples taken when one is due again, an interval after the last taken one of the key.
+    """(key, at): the samples taken when one is due again, an interval after the last taken one of the key.
 
-    Which are taken depends on the one before, so each key's times are folded in order.
+    Which are taken depends on the one before: times come in order, and only the last taken one is kept in mind.
     """
-    times = samples.groupBy(key).agg(F.sort_array(F.collect_set(seconds.cast("double"))).alias("t"))
-    start = F.array().cast("array<double>")
-    taken = F.aggregate("t", start, lambda done, t: F.when((F.size(done) == 0) | (t - F.element_at(done, -1) >= interval), F.concat(done, F.array(t))).otherwise(done))
-    first = F.when(F.size("t") > 0, taken)
-    return times.select(key, F.explode(first).alias("at"))
 
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = None, 0.0
+        for batch in batches:
+            taken = []
+            for key, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if key != own or at - last >= interval:
+                    own, last = key, at
+                    taken.append(True)
+                else:
+                    taken.append(False)
+            yield batch.filter(pa.array(taken, pa.bool_()))
 
-def first_free_name(wanted: DataFrame, existing: DataFrame, most: int = 1000) -> DataFrame:
-    """Adds ``free`` to names: the name, or with the smallest suffix from _v2 on that doesn't exist."""
-    taken = existing.select("name", F.when(F.regexp_extract("name", "_v([0-9]+)$", 1) != "", F.regexp_extract("name", "_v([0-9]+)$", 1)).cast("int").alias("v"), F.regexp_replace("name", "_v[0-9]+$", "").alias("stem"))
-    used = taken.groupBy("stem").agg(F.collect_set(F.coalesce("v", F.lit(1))).alias("used"))
-    rows = wanted.join(used, wanted["name"] == used["stem"], "left").drop("stem")
-    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("used") + 2), F.col("used")))
-    has_plain = F.array_contains("used", 1)
-    free = F.when(has_plain, F.concat_ws("_v", F.col("name"), free.cast("string"))).otherwise(F.col("name"))
-    return rows.withColumn("free", F.when(F.col("used").isNull(), F.col("name")).otherwise(free)).drop("used")
+    times = samples.select(key, seconds.cast("double").alias("at")).where(F.col(key).isNotNull() & F.col("at").isNotNull())
+    return times.repartition(key).sortWithinPartitions(key, "at").mapInArrow(take, times.schema)
+
+
+def first_free_name(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """Adds ``free`` to names: the name, or with the smallest suffix from _v2 on that doesn't exist.
+
+    A wanted name that has such a suffix itself is a name like any other.
+    """
+    suffix = "^(.*)_v([1-9][0-9]{0,8})$"
+    taken = existing.select(F.regexp_extract("name", suffix, 1).alias("stem"), F.regexp_extract("name", suffix, 2).try_cast("int").alias("v")).where("v >= 2")
+    used = taken.groupBy("stem").agg(F.collect_set("v").alias("used"))
+    plain = existing.select("name").distinct().withColumn("there", F.lit(True))
+    rows = wanted.join(plain, "name", "left").join(used, F.col("name") == F.col("stem"), "left").drop("stem")
+    used = F.coalesce("used", F.array().cast("array<int>"))
+    number = F.array_min(F.array_except(F.sequence(F.lit(2), F.size(used) + 2), used))
+    free = F.when(F.col("there"), F.concat_ws("_v", F.col("name"), number.cast("string"))).otherwise(F.col("name"))
+    return rows.withColumn("free", free).drop("used", "there")
 
 
 def ordered_distinct(rows: DataFrame, value: str, place: str) -> DataFrame:
@@ -110,3 +126,59 @@ def adjacent_overlaps(ranges: DataFrame, key: str) -> DataFrame:
     """Ranges (start, end) that begin before the one ahead of them ends, by key."""
     before = F.lag("end").over(Window.partitionBy(key).orderBy("start", "end"))
     return ranges.withColumn("before", before).where(F.col("before") > F.col("start")).drop("before")
+
+
+def recovery_counts(runs: DataFrame, stages: DataFrame, leases: DataFrame) -> DataFrame:
+    """One row: stages, runs and leases that a recovery would end."""
+    count = lambda rows, name: rows.agg(F.count("*").alias(name))
+    # One row each.
+    return count(stages.where("status = 'running'"), "stages").crossJoin(F.broadcast(count(runs.where("status = 'active'"), "runs"))).crossJoin(F.broadcast(count(leases, "leases")))
+
+
+def mark_crashed(recovery: Column) -> Column:
+    """A recovery map with the marks of a crash, which win over what is there."""
+    marks = {"classification": "PROCESS_CRASH", "recoverable": "true", "retry_applied": "false"}
+    kept = F.map_filter(recovery, lambda k, v: ~k.isin(*marks))
+    return F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,string>")), F.create_map(*(F.lit(x) for pair in marks.items() for x in pair)))
+
+
+def lease_requests(requests: DataFrame, leases: DataFrame) -> DataFrame:
+    """(request_id, result) of requests (request_id, kind, uuid, owner): ok, conflict, or not_owner.
+
+    A device without a lease is given to the first request for it; a heartbeat or a release is the owner's own.
+    """
+    rows = requests.join(leases.select("uuid", F.col("owner").alias("holder")), "uuid", "left")
+    turn = F.min(F.when(F.col("kind") == "acquire", F.col("request_id"))).over(Window.partitionBy("uuid"))
+    gained = F.when(F.col("holder").isNull() & (F.col("request_id") == turn), "ok").otherwise("conflict")
+    return rows.select("request_id", F.when(F.col("kind") == "acquire", gained).when(F.col("holder") == F.col("owner"), "ok").otherwise("not_owner").alias("result"))
+
+
+def attempt_outcomes(started: DataFrame, ended: DataFrame) -> DataFrame:
+    """(run_id, attempt, status) of started attempts with what ended them, if anything.
+
+    A failure has the status that it names, else it is recoverable if a retry was applied, else fatal.
+    """
+    failed = F.coalesce("status", F.when(F.col("retry_applied"), "failed_recoverable").otherwise("failed_fatal"))
+    rows = started.join(ended.withColumn("_ended", F.lit(True)), ["run_id", "attempt"], "left")
+    return rows.select("run_id", "attempt", F.when(F.col("_ended").isNull(), "running").when(F.col("success"), "succeeded").otherwise(failed).alias("status"))
+
+
+def repeated_attempts(started: DataFrame) -> DataFrame:
+    """(run_id, attempt) that were started more than once, which none may be."""
+    return started.groupBy("run_id", "attempt").agg(F.count("*").alias("n")).where("n > 1").select("run_id", "attempt")
+
+
+def recent_projects(projects: DataFrame, preferred: DataFrame, most: int = 20) -> DataFrame:
+    """(project_id, status, run_id): the latest changed projects (project_id, modified_at, draft).
+
+    A draft has no run; others have the status of their preferred run (project_id, run_id, status), or are just created.
+    """
+    runs = preferred.select("project_id", "run_id", F.lower("status").alias("_status"))
+    latest = projects.orderBy(F.desc("modified_at"), "project_id").limit(most).join(runs, "project_id", "left")
+    shown = F.when(F.col("draft"), "draft").otherwise(F.coalesce("_status", F.lit("created")))
+    return latest.select("project_id", shown.alias("status"), F.when(~F.col("draft"), F.col("run_id")).alias("run_id"), "modified_at")
+
+
+def run_summary(steps: DataFrame) -> DataFrame:
+    """(run_id, completed, any_impact): the last completed step and whether any change touched quality."""
+    return steps.groupBy("run_id").agg(F.coalesce(F.max("step"), F.lit(0)).alias("completed"), F.coalesce(F.bool_or("impact"), F.lit(False)).alias("any_impact"))

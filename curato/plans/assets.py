@@ -209,7 +209,7 @@ QUERIES = {
     "asset_exact_duplicates": (asset_exact_duplicates, f"WITH {ASSETS} SELECT sha, min(asset_id) AS representative, count(*) AS n, substr(sha256(sha || chr(0) || CAST(min(asset_id) AS VARCHAR)), 1, 16) AS cluster_id FROM assets GROUP BY sha HAVING count(*) > 1"),
     "asset_dedup_accepted": (asset_dedup_accepted, f"WITH {ASSETS} SELECT min(asset_id) AS asset_id, sha FROM assets GROUP BY sha"),
     "duplicate_representative": (duplicate_representative, f"WITH {ASSETS}, twice AS (SELECT *, min(asset_id) OVER (PARTITION BY sha) AS f, count(*) OVER (PARTITION BY sha) AS n FROM assets), t AS (SELECT substr(sha256(sha || chr(0) || CAST(f AS VARCHAR)), 1, 16) AS cluster_id, asset_id, {_TOTAL} AS t FROM twice WHERE n > 1 WINDOW c AS (PARTITION BY sha)) SELECT cluster_id, asset_id, round(t, 6) AS total, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY t DESC, asset_id) AS INTEGER) AS rank FROM t"),
-    "hamming_pairs": (hamming_pairs, f"WITH {ASSETS}, {_HASHED}, {_NEAR} SELECT a, b, CAST(distance AS INTEGER) AS distance FROM near"),
+    "hamming_pairs": (hamming_pairs, f"WITH {ASSETS}, {_HASHED}, {_NEAR}, firsts AS (SELECT asset_id, min(asset_id) OVER (PARTITION BY h) AS f FROM hashed) SELECT a, b, CAST(min(distance) AS INTEGER) AS distance FROM (SELECT least(fa, fb) AS a, greatest(fa, fb) AS b, distance FROM (SELECT f.f AS fa, g.f AS fb, distance FROM near JOIN firsts f ON f.asset_id = near.a JOIN firsts g ON g.asset_id = near.b WHERE f.f <> g.f) UNION ALL SELECT f, asset_id, 0 FROM firsts WHERE f <> asset_id) GROUP BY a, b"),
     "hamming_clusters": (hamming_clusters, f"WITH RECURSIVE {ASSETS}, {_HASHED}, {_NEAR}, {_GROUPS} SELECT node AS asset_id, least(node, min(other)) AS cluster FROM reach GROUP BY node"),
     "duplicate_summary": (duplicate_summary, f"WITH RECURSIVE {ASSETS}, {_HASHED}, {_NEAR}, {_GROUPS}, m AS (SELECT node AS asset_id, least(node, min(other)) AS cluster FROM reach GROUP BY node), t AS (SELECT asset_id, sha, cluster, {_TOTAL} AS t FROM assets JOIN m USING (asset_id) WINDOW c AS (PARTITION BY cluster)), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY t DESC, asset_id) AS rank FROM t) SELECT cluster, CASE WHEN count(DISTINCT sha) = 1 THEN 'exact' ELSE 'near' END AS kind, count(*) AS n, arg_min(asset_id, rank) AS representative, count(*) - count(DISTINCT sha) AS rejected FROM r GROUP BY cluster"),
     "manifest_sources": (manifest_sources, f"WITH {ASSETS} SELECT sha, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(*) AS n_files FROM assets GROUP BY sha"),

@@ -23,14 +23,14 @@ MOST_HEADER = 128 << 20
 
 
 def scan_images(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
-    """(path, length, content) of the images in folders, in the order of their paths in lower case.
+    """(path, length, content) of the images in folders, in the order of their paths in lower case, then as they are.
 
     Empty files aren't listed by this source: they have to be found by a listing of their own.
     """
     source = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     files = source.load(paths)
     kind = F.lower(F.concat(F.lit("."), F.substring_index("path", ".", -1)))
-    return files.where(kind.isin(*SUFFIXES)).select("path", "length", "content")
+    return files.where(kind.isin(*SUFFIXES)).select("path", "length", "content").orderBy(F.lower("path"), "path")
 
 
 def image_size(head: bytes) -> tuple[int, int] | None:
@@ -197,9 +197,17 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_devices(lines: DataFrame, line: str) -> DataFrame:
-    """(device_index, uuid, name, driver, total_mb, free_mb, capability) of lines of seven comma-separated fields."""
+    """(device_index, uuid, name, driver, total_mb, free_mb, capability) of lines of seven comma-separated fields.
+
+    Blank lines are skipped; any other line, and an index or uuid that comes twice, is an error.
+    """
     parts = F.transform(F.split(line, ","), lambda p: F.trim(p))
-    rows = lines.withColumn("p", parts).where(F.size("p") == 7)
+    wrong = F.raise_error(F.concat(F.lit("not a device: "), F.col(line))).cast("array<string>")
+    rows = lines.where(F.trim(line) != "").withColumn("p", F.when(F.size(parts) == 7, parts).otherwise(wrong))
+    for i in (0, 1):
+        # A host's devices: a handful of rows.
+        again = F.count("*").over(Window.partitionBy(F.col("p")[i])) > 1
+        rows = rows.withColumn("p", F.when(again, F.raise_error(F.concat(F.lit("a device comes twice: "), F.col("p")[i])).cast("array<string>")).otherwise(F.col("p")))
     return rows.select(F.col("p")[0].cast("int").alias("device_index"), F.col("p")[1].alias("uuid"), F.col("p")[2].alias("name"), F.col("p")[3].alias("driver"), F.col("p")[4].cast("int").alias("total_mb"), F.col("p")[5].cast("int").alias("free_mb"), F.col("p")[6].alias("capability")).orderBy("device_index")
 
 
