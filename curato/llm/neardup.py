@@ -319,8 +319,9 @@ def known_words(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Da
 def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
     """The pairs whose texts are similar enough, with their similarity."""
     words = known_words(pairs, docs, doc_id, text)
-    left = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")).hint("merge"), "b")
-    both = left.join(words.select(F.col("node").alias("a"), F.col("words").alias("x")).hint("merge"), "a").select("a", "b", "x", "y")
+    left = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("x")).hint("merge"), "a")
+    # A hub has many partners, a partner few hubs: joined by the partner last, alignments are spread evenly.
+    both = left.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
