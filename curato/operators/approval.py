@@ -79,7 +79,7 @@ def decided_tags(drafts: DataFrame, approvals: DataFrame) -> DataFrame:
 def approval_problems(drafts: DataFrame, approvals: DataFrame, trigger: str, class_token: str | None = None, invariants: Sequence[str] = (), style: bool = False) -> DataFrame:
     """(asset_id, problem) of an approval: undecided assets, else the first issue of the final caption, or no content in it."""
     decided = decided_tags(drafts, approvals)
-    fixed = [trigger] + [class_token.replace("_", " ")] * bool(class_token)
+    fixed = [trigger, *([class_token.replace("_", " ")] if class_token else [])]
     caption = F.array_join(F.concat(_fixed(fixed), F.transform("tags", lambda t: ontology.display(t))), ", ")
     audited = audit(decided.where("problem IS NULL").select("asset_id", caption.alias("caption")), trigger, class_token, invariants, style)
     found = audited.select("asset_id", F.coalesce(F.try_element_at("issues", F.lit(1)), F.when(~F.col("semantic"), "no_content")).alias("problem"))

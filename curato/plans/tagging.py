@@ -211,6 +211,15 @@ def batch_packing_bytes(spark, sf):
 
 
 _R = "round({0}, 6) AS {0}"
+_FULL = "items = 8 OR used + n_chars > 120000"
+_KNOWN = ", ".join(f"'{t}'" for t in [*ontology.CATEGORY_OF, "zzz_unknown"])
+_CLOSED = ", ".join(f"'{t}'" for t, c in ontology.CATEGORY_OF.items() if c in ontology.SOURCES)
+VALIDATED = f"""{PROPOSALS}, e AS (SELECT asset_id, decision, original, list_transform(effective, lambda t: CASE t WHEN 'Sword' THEN 'sword' WHEN 'smiling' THEN 'smile' WHEN 'not in it' THEN 'not_in_it' ELSE t END) AS c FROM proposals),
+x AS (SELECT asset_id, original, unnest(c) AS tag, unnest(range(0, len(c))) AS place FROM e), y AS (SELECT *, row_number() OVER (PARTITION BY asset_id, tag ORDER BY place) AS k, list_contains(original, tag) AS own FROM x),
+z AS (SELECT *, CASE WHEN k > 1 THEN 'duplicate' WHEN contains(tag, ',') THEN 'separator' WHEN own THEN NULL WHEN tag NOT IN ({_KNOWN}) THEN 'unknown' WHEN tag IN ({_CLOSED}) THEN 'forbidden' END AS why FROM y),
+n AS (SELECT *, count(*) FILTER (why IS NULL AND own) OVER (PARTITION BY asset_id) AS owned, count(*) FILTER (why IS NULL AND NOT own) OVER (PARTITION BY asset_id ORDER BY place) AS nth FROM z),
+f AS (SELECT *, CASE WHEN why IS NULL AND NOT own AND nth > greatest(6 - owned, 0) THEN 'too_many' ELSE why END AS end_ FROM n),
+g AS (SELECT asset_id, coalesce(string_agg(tag, '|' ORDER BY place) FILTER (end_ IS NULL), '') AS a, coalesce(string_agg(tag || ':' || end_, '|' ORDER BY place) FILTER (end_ IS NOT NULL), '') AS r FROM f GROUP BY 1)"""
 QUERIES = {
     "tag_normalize": (tag_normalize, f"WITH {SCORES} SELECT asset_id, tag, score, category FROM usable"),
     "tag_classify": (tag_classify, f"WITH {SCORES} SELECT raw AS tag, canonical, category FROM tagged"),
@@ -226,8 +235,8 @@ QUERIES = {
     "tag_signal_rules": (tag_signal_rules, f"WITH {SCORES}, f AS (SELECT asset_id, CASE WHEN tag IN ('text', 'watermark', 'signature', 'logo') THEN 'text_watermark' ELSE 'multi_subject' END AS code, tag, score FROM norm WHERE tag IN ('text', 'watermark', 'signature', 'logo', '2girls', '2boys', 'multiple_girls', 'multiple_boys', 'group')) SELECT asset_id, code, 'warning' AS severity, arg_max(tag, score) AS tag, max(score) AS score FROM f GROUP BY asset_id, code HAVING max(score) >= CASE WHEN code = 'text_watermark' THEN 0.65 ELSE 0.7 END"),
     "refinement_diff": (refinement_diff, f"WITH {PROPOSALS} SELECT asset_id, array_to_string(list_filter(effective, lambda t: NOT list_contains(original, t)), '|') AS added, array_to_string(list_filter(original, lambda t: NOT list_contains(effective, t)), '|') AS removed FROM proposals"),
     "refinement_contract": (refinement_contract, f"WITH {PROPOSALS}, sent AS (SELECT asset_id FROM drafts WHERE asset_id % 5 <> 0 UNION ALL SELECT asset_id FROM drafts WHERE asset_id % 7 = 0 UNION ALL SELECT -asset_id FROM drafts WHERE asset_id % 9 = 0), c AS (SELECT asset_id, count(*) AS n FROM sent GROUP BY 1) SELECT * FROM (SELECT coalesce(c.asset_id, d.asset_id) AS asset_id, CASE WHEN n IS NULL THEN 'missing' WHEN d.asset_id IS NULL THEN 'unknown' WHEN n > 1 THEN 'duplicate' END AS problem FROM drafts d FULL JOIN c ON c.asset_id = d.asset_id) WHERE problem IS NOT NULL"),
-    "proposal_validation": (proposal_validation, None),
+    "proposal_validation": (proposal_validation, f"WITH {VALIDATED} SELECT asset_id, CASE WHEN decision = 'keep' AND c <> original THEN array_to_string(original, '|') ELSE coalesce(a, '') END AS accepted, CASE WHEN decision = 'keep' AND c <> original THEN '*:keep_changed' ELSE coalesce(r, '') END AS rejected FROM e LEFT JOIN g USING (asset_id)"),
     "trigger_candidates": (trigger_candidates, "WITH c AS (SELECT n_nationkey AS place, n_name AS value FROM nation UNION ALL VALUES (-2, 'ok word'), (-1, 'OK Word')) SELECT CAST(place AS INTEGER) AS place, value FROM (SELECT *, row_number() OVER (PARTITION BY lower(value) ORDER BY place) AS k FROM c) WHERE k = 1 ORDER BY place LIMIT 5"),
     "batch_packing_items": (batch_packing_items, "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch FROM documents"),
-    "batch_packing_bytes": (batch_packing_bytes, None),
+    "batch_packing_bytes": (batch_packing_bytes, f"WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), t AS (SELECT source, doc_id, r, 0 AS batch, 1 AS items, n_chars AS used FROM o WHERE r = 1 UNION ALL SELECT o.source, o.doc_id, o.r, CASE WHEN {_FULL} THEN batch + 1 ELSE batch END, CASE WHEN {_FULL} THEN 1 ELSE items + 1 END, CASE WHEN {_FULL} THEN n_chars ELSE used + n_chars END FROM t JOIN o ON o.source = t.source AND o.r = t.r + 1) SELECT source, doc_id, CAST(batch AS BIGINT) AS batch FROM t"),
 }

@@ -43,7 +43,7 @@ def embedding_clusters(spark, sf):
 
 def embedding_label_nearest(spark, sf):
     rows = _vectors(spark, sf)
-    return embeddings.nearest(rows, rows.where("vec_id % 5 = 0"), "vec_id", "embedding").select("vec_id", "other", F.round("cosine", 5).alias("cosine"))
+    return embeddings.nearest(rows, rows, "vec_id", "embedding").select("vec_id", "other", F.round("cosine", 5).alias("cosine"))
 
 
 def cluster_merge(spark, sf):
@@ -299,10 +299,10 @@ QUERIES = {
     "embedding_outliers": (embedding_outliers, f"WITH {_SIM}, t AS (SELECT least(0.75, greatest(0, med - greatest(0, 0.9 * mad))) AS t FROM mads) SELECT vec_id, round(s, 6) AS similarity, round(t, 6) AS threshold FROM sims, t WHERE s < t"),
     "embedding_near_pairs": (embedding_near_pairs, f"WITH {_UNIT}, {_COS} SELECT a, b, round(c, 5) AS cosine FROM pairs"),
     "embedding_clusters": (embedding_clusters, f"WITH RECURSIVE {_UNIT}, {_COS}, {_REACH.format(e='a AS node, b AS other FROM pairs UNION SELECT b, a FROM pairs')} SELECT node AS vec_id, least(node, min(other)) AS cluster FROM reach GROUP BY node"),
-    "embedding_label_nearest": (embedding_label_nearest, f"WITH {_UNIT}, n AS (SELECT x.vec_id, y.vec_id AS other, list_inner_product(x.v, y.v) AS c FROM u x JOIN u y ON x.vec_id <> y.vec_id AND y.vec_id % 5 = 0) SELECT vec_id, arg_max(other, (c, -other)) AS other, round(max(c), 5) AS cosine FROM n GROUP BY vec_id"),
+    "embedding_label_nearest": (embedding_label_nearest, f"WITH {_UNIT}, n AS (SELECT x.vec_id, y.vec_id AS other, list_inner_product(x.v, y.v) AS c FROM u x JOIN u y ON x.vec_id <> y.vec_id) SELECT vec_id, arg_max(other, (c, -other)) AS other, round(max(c), 5) AS cosine FROM n GROUP BY vec_id"),
     "cluster_merge": (cluster_merge, f"WITH RECURSIVE {_UNIT}, {_COS}, f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS f FROM documents), e AS (SELECT f AS a, doc_id AS b FROM f WHERE f <> doc_id UNION SELECT a, b FROM pairs), {_REACH.format(e='a AS node, b AS other FROM e UNION SELECT b, a FROM e')} SELECT node AS member, least(node, min(other)) AS cluster FROM reach GROUP BY node"),
     "holdout_hash_split": (holdout_hash_split, _HASHED_SPLIT),
-    "holdout_cluster_split": (holdout_cluster_split, None),
+    "holdout_cluster_split": (holdout_cluster_split, "WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || '-' || lang ELSE CAST(doc_id AS VARCHAR) END AS k FROM documents), g AS (SELECT k, count(*) AS n, row_number() OVER (ORDER BY sha256('42' || chr(0) || k), k) AS r FROM d GROUP BY k), t AS (SELECT r, k, n AS total, true AS held FROM g WHERE r = 1 UNION ALL SELECT g.r, g.k, CASE WHEN total < 40 AND abs(40 - total - n) <= 40 - total THEN total + n ELSE total END, total < 40 AND abs(40 - total - n) <= 40 - total FROM t JOIN g ON g.r = t.r + 1) SELECT doc_id, CASE WHEN held THEN 'validation' ELSE 'train' END AS split FROM d JOIN t USING (k)"),
     "holdout_batches": (holdout_batches, f"WITH s AS ({_HASHED_SPLIT}), b AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch FROM s WHERE split = 'validation') SELECT batch, count(*) AS n, min(doc_id) AS \"first\" FROM b GROUP BY batch"),
     "holdout_sizes": (holdout_sizes, "SELECT p_partkey AS n, CAST(CASE WHEN p_partkey < 24 THEN 0 ELSE least(50, greatest(2, floor(p_partkey * CAST(0.1 AS DOUBLE) + 0.5))) END AS BIGINT) AS half_up, CAST(CASE WHEN p_partkey < 24 THEN 0 ELSE least(50, greatest(2, round_even(p_partkey * CAST(0.1 AS DOUBLE), 0))) END AS BIGINT) AS half_even FROM part"),
     "bucket_assignment": (bucket_assignment, f"WITH {_BUCKETS} SELECT * FROM buckets"),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curato.functions import columns, tags as ontology
-from curato.operators import captions, constraints, diversity, duplicates, embeddings, evaluation, graph, ingest, logs, planning, quality, state, tags
+from curato.operators import captions, constraints, diversity, duplicates, embeddings, evaluation, graph, ingest, joins, logs, planning, quality, state, statistics, tags
 from curato.plans.stages import Pipeline, Stage
 from curato.sources import files
 from curato.streaming import events
@@ -320,7 +320,7 @@ def test_vocabulary_and_devices(spark, tmp_path):
     (tmp_path / "w.csv").write_text("name,category\nSmile,0\nsmile,0\n")
     with pytest.raises(ValueError, match="repeated"):
         files.read_vocabulary(spark, str(tmp_path / "w.csv"))
-    lines = spark.createDataFrame([("1, GPU-b, card, 5.0, 100, 60, 8.9",), ("0, GPU-a, card, 5.0, 100, 50, 8.9",), ("broken",)], "line string")
+    lines = spark.createDataFrame([("1, GPU-b, card, 5.0, 100, 60, 8.9",), ("0, GPU-a, card, 5.0, 100, 50, 8.9",), (" ",)], "line string")
     assert [r.uuid for r in files.parse_devices(lines, "line").collect()] == ["GPU-a", "GPU-b"]
     samples, missing = files.parse_telemetry(spark.createDataFrame([("GPU-a, 5, 1, 2, 40, [N/A]",), ("GPU-x, 1, 1, 1, 1, 1",)], "line string"), "line", spark.createDataFrame([("GPU-a",), ("GPU-b",)], "uuid string"))
     assert [(r.uuid, r.watts) for r in samples.collect()] == [("GPU-a", None)] and [r.uuid for r in missing.collect()] == ["GPU-b"]
@@ -354,3 +354,70 @@ def test_sinks(spark, tmp_path):
     scored = spark.createDataFrame([("c1", 0.9, True), ("c2", 0.8, True), ("c3", 0.99, False)], "k string, score double, gate_passed boolean")
     digests = spark.createDataFrame([(f"c{i}", f"d{i}") for i in (1, 2, 3)], "k string, digest string")
     assert {tuple(r) for r in sinks.package_manifest(scored, digests, "k").collect()} == {("c1", "final", "d1"), ("c2", "alternative", "d2")}
+
+
+def test_links_of_many_equal_rows(spark):
+    """Twenty thousand equal hashes, and as many vectors in few directions, make as many links and no more."""
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 4 == 0, F.lit(7)).otherwise(F.lit(1 << 40)).alias("hash"))
+    pairs = duplicates.hamming_pairs(rows, "id", "hash", 3, bits=60)
+    assert pairs.count() == 20_000 - 2 + 0 and duplicates.cluster_pairs(pairs).select("label").distinct().count() == 2
+    axis = lambda k: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when(i == k, F.lit(1.0)).otherwise(F.lit(0.0)))
+    vectors = spark.range(20_000).select("id", F.transform(F.zip_with(axis(F.col("id") % 16), F.sequence(F.lit(0), F.lit(15)), lambda x, i: x * 50 + F.pmod(F.xxhash64("id", i), F.lit(100)) / 100.0), lambda x: x).alias("v"))
+    found = duplicates.cosine_pairs(vectors.where("id < 3000"), "id", "v", 0.9995, block=128)
+    own = np.array([r.v for r in vectors.where("id < 3000").orderBy("id").collect()])
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(own @ own.T >= 0.9995, 1))
+    assert {(r.a, r.b) for r in found.collect()} == set(zip(a.tolist(), b.tolist())) and len(a)
+    same = spark.range(20_000).select("id", axis(F.col("id") % 16).alias("v"))
+    assert duplicates.cosine_pairs(same, "id", "v", 0.9).count() == 20_000 - 16
+    with pytest.raises(ValueError, match="pairs"):
+        duplicates.cosine_pairs(same, "id", "v", 0.9, budget=duplicates.PAIR_BUDGET)
+
+
+@pytest.mark.parametrize("values", [[], [3.0], [1.0, 9.0], [5.0] * 999, [float(i * 7919 % 1013) for i in range(5000)]])
+def test_exact_median(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    assert statistics.exact_median(rows, F.col("v")).first().median == (float(np.median(values)) if values else None)
+
+
+def test_free_names(spark):
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    found = state.first_free_name(names("a", "a_v3", "b", "c"), names("a_v3", "a", "a_v2", "c", "c_v3", "b_v2"))
+    assert {r.name: r.free for r in found.collect()} == {"a": "a_v4", "a_v3": "a_v3_v2", "b": "b", "c": "c_v2"}
+
+
+def test_trigger_candidates_need_three(spark):
+    rows = spark.createDataFrame([(1, "abc one"), (2, "ABC one"), (3, "xyz"), (4, "1girl")], "place int, value string")
+    with pytest.raises(Exception, match="trigger candidates"):
+        captions.trigger_candidates(rows).collect()
+    more = rows.union(spark.createDataFrame([(5, "third")], "place int, value string"))
+    assert [r.value for r in captions.trigger_candidates(more).orderBy("place").collect()] == ["abc one", "xyz", "third"]
+
+
+def test_devices_that_are_not_ones(spark):
+    line = "0, GPU-a, n, 1, 8, 4, 9.0"
+    for lines in (["0, GPU-a"], [line, line.replace("GPU-a", "GPU-b")], [line, line.replace("0,", "1,", 1)]):
+        with pytest.raises(Exception, match="device"):
+            files.parse_devices(spark.createDataFrame([(x,) for x in lines], "line string"), "line").collect()
+
+
+def test_strict_joins(spark):
+    left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string")
+    for joined in (joins.one_to_one(left, right, "k"), joins.complete(left, right, "k"), joins.one_to_one(right.union(right), right.withColumnRenamed("v", "w"), "k")):
+        with pytest.raises(Exception, match="missing|one to one"):
+            joined.collect()
+
+
+def test_prompts_and_devices_that_fail(spark):
+    few = spark.createDataFrame([(i, "{trigger} x") for i in range(7)], "prompt_id int, text string")
+    with pytest.raises(Exception, match="too few"):
+        planning.prompt_set(few, "tok").collect()
+    with pytest.raises(Exception, match="no place"):
+        planning.prompt_set(few.union(few).limit(8).withColumn("text", F.lit("plain")), "tok").collect()
+    with pytest.raises(Exception, match="selected"):
+        spark.range(1).select(planning.preferred_device(F.lit("tag"), F.array(F.lit("g0")), F.lit("g9"))).collect()
+
+
+def test_decoded_lines(spark):
+    rows = spark.createDataFrame([(b"\xef\xbb\xbfstep 1",), (b"a\xffb",), ("\u00e9".encode(),)], "raw binary")
+    assert [r.t for r in rows.select(columns.decode_line(F.col("raw")).alias("t")).collect()] == ["step 1", "a\ufffdb", "\u00e9"]
