@@ -250,7 +250,7 @@ def neighbours(rows: DataFrame, sketched: DataFrame, turn: int, least: float) ->
     buckets, are left out, and pairs that share several hash functions' keys count in the first of these. Ranges of keys
     and sums make the tasks, so that none gets all of a key.
     """
-    held = rows.select("key", "node", "label").join(sketched.select("node", "size", "bag", "bands", F.col("sums")[turn % SIGNS].alias("at")).hint("merge"), "node")
+    held = rows.select("key", "node", "label").join(sketched.select("node", "size", "bag", "bands", F.col("sums")[turn % SIGNS].alias("at")), "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -304,7 +304,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def known_words(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(node, words) of the documents in pairs, words as 32 bits each."""
     # A table of its own, so that Spark knows its size: few nodes are broadcast, and no texts are shuffled then.
-    nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    ends = (pairs.select(F.col(end).alias("node")).distinct() for end in ("a", "b"))
+    nodes = materialise(next(ends).union(next(ends)).distinct(), "nodes")
     texts = docs.select(node_of(doc_id, text).alias("node"), raw(text).alias("t")).join(nodes, "node", "left_semi")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +337,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     rows = materialise(sketches(docs, doc_id, text), "sketches")
     total = rows.count()
     reps = materialise(rows.groupBy("sha").agg(F.min("node").alias("rep"), F.count("*").alias("n_key")), "texts")
-    keyed = rows.join(reps.select(F.col("rep").alias("node"), "sha").hint("merge"), ["node", "sha"]).select("node", "size", "bag", "sums", "bands", "keys").distinct()
+    # Representatives are a table of their own, so that Spark knows its size: few are broadcast.
+    keyed = rows.join(reps.select(F.col("rep").alias("node"), "sha"), ["node", "sha"]).select("node", "size", "bag", "sums", "bands", "keys")
     keyed = materialise(keyed, "keyed")
     left = keyed.select("node", F.explode("keys").alias("key")).distinct()
     compared = materialise(candidates(left), "pairs")
