@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -94,9 +95,28 @@ HOMOGLYPHS = dict(
         "aeopcyxijshdqABEKMHOPCTXI" "oavipABEZHIKMNOPTYXig",
     )
 )
-#: Full-width forms follow ASCII by a fixed distance, and digits of some scripts run from zero to nine.
-HOMOGLYPHS |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
-HOMOGLYPHS |= {chr(zero + d): chr(48 + d) for zero in (0x0660, 0x06F0, 0x0966) for d in range(10)}
+
+
+class _Glyphs(dict):
+    """What a character outside ASCII reads as: by the list, as a digit of its script, nothing if it isn't visible, or by its compatibility form."""
+
+    def __missing__(self, c: str) -> str | None:
+        form = unicodedata.normalize("NFKC", c)
+        digit = unicodedata.decimal(c, None)
+        if c in HOMOGLYPHS:
+            found = HOMOGLYPHS[c]
+        elif digit is not None:
+            found = str(digit)
+        elif unicodedata.category(c) == "Cf":
+            found = ""
+        else:
+            found = HOMOGLYPHS.get(form, form if form.isascii() else None)
+        self[c] = found
+        return found
+
+
+_GLYPHS = _Glyphs()
+
 
 # The digits' names in the four languages of the corpus.
 SPELLED = {
@@ -111,12 +131,13 @@ SPELLED = {
 } | {"oh": "0"}
 
 _NAMES = "|".join(sorted(SPELLED, key=len, reverse=True))
-_GLYPH = re.compile("[" + "".join(map(re.escape, sorted(HOMOGLYPHS))) + "]+")
-#: Runs of seven or more spelled digits, told apart by at most one blank, dash or dot; a leading "plus" counts.
-_RUN = re.compile(rf"(?<!\w)(?:plus[ -])?(?:{_NAMES})(?:[ .-](?:{_NAMES})){{6,}}(?!\w)", re.IGNORECASE)
-_NAME = re.compile(rf"plus[ -]|[ .-]?(?:{_NAMES})", re.IGNORECASE)
+_TOKEN = rf"(?:(?:double|triple)[ -])?(?:{_NAMES})(?!\w)|[0-9]+(?!\w)"
+#: Digits, spelled or not, told apart by a blank, dash or dot or by the word "dot"; a leading "plus" counts.
+_RUN = re.compile(rf"(?<!\w)(?:plus[ -]|\+ ?)?(?:{_TOKEN})(?:(?: (?:dot|point) |[ .-])(?:{_TOKEN}))+", re.IGNORECASE)
+_PIECE = re.compile(rf"(?P<plus>plus[ -]|\+ ?)|(?P<dot> (?:dot|point) )|(?P<mark>[ .-])|(?P<token>{_TOKEN})", re.IGNORECASE)
 _BRACKETS = re.compile(r"[ ]?[(\[{<][ ]?(at|dot|@|\.)[ ]?[)\]}>][ ]?", re.IGNORECASE)
-_WORDY = re.compile(r"(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9]))", re.IGNORECASE)
+_HOST = r"[A-Za-z0-9-]{1,63}(?:(?: dot |\.)[A-Za-z0-9-]{1,63}){0,3}(?: dot |\.)[A-Za-z]{2,24}(?![A-Za-z0-9])"
+_WORDY = re.compile(rf"(?<=[A-Za-z0-9]) at (?={_HOST})", re.IGNORECASE)
 _DOT = re.compile(r" dot ", re.IGNORECASE)
 _AFTER_AT = re.compile(r"@[A-Za-z0-9-]{1,63}(?:(?: dot |\.)[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
 
@@ -174,54 +195,71 @@ class Tape:
         return i >= 0 and self.changes[i][1] > start
 
 
-def _digits(run: re.Match) -> str:
-    return "".join("+" if m[0][:4].lower() == "plus" else SPELLED[m[0].strip(" .-").lower()] for m in _NAME.finditer(run[0]))
+def _digits(run: str) -> str | None:
+    """A run's digits; null if none is spelled and no dot either. Marks beside a spelled digit go, but for the three dots of an address."""
+    pieces = [(m.lastgroup, m[0]) for m in _PIECE.finditer(run)]
+    if not any(kind == "dot" or (kind == "token" and not text.isdigit()) for kind, text in pieces):
+        return None
+    address = sum(kind == "dot" or text == "." for kind, text in pieces) == 3
+    out = []
+    for i, (kind, text) in enumerate(pieces):
+        if kind == "plus":
+            out.append("+")
+        elif kind == "token":
+            times, name = 1, text.lower()
+            for word, n in (("double", 2), ("triple", 3)):
+                if name.startswith(word):
+                    times, name = n, name[len(word) + 1 :]
+            out.append(name if name.isdigit() else SPELLED[name] * times)
+        elif kind == "dot" or (text == "." and address):
+            out.append(".")
+        elif pieces[i - 1][1].isdigit() and pieces[i + 1][1].isdigit():
+            out.append(text)
+    return "".join(out)
+
+
+def _glyphs(text: str) -> list[tuple[int, int, str]]:
+    strange = {c: g for c in set(text) if c > "\x7f" and (g := _GLYPHS[c]) is not None}
+    if not strange:
+        return []
+    pattern = re.compile("[" + "".join(map(re.escape, strange)) + "]")
+    return [(m.start(), m.end(), strange[m[0]]) for m in pattern.finditer(text)]
 
 
 def normalised(text: str) -> Tape:
-    """The text after the three transducers, in order: homoglyphs, spelled digits, at/dot disguises."""
+    """The text after the transducers, in order: glyphs, at/dot disguises, spelled digits. Each reads what the one before wrote."""
     tape = Tape(text)
     if not text.isascii():
-        tape = tape.apply([(m.start(), m.end(), "".join(map(HOMOGLYPHS.__getitem__, m[0]))) for m in _GLYPH.finditer(text)])
-    if sum(map(_IS_NAME, tape.text.lower().replace("-", " ").replace(".", " ").split())) >= 7:
-        tape = tape.apply([(m.start(), m.end(), _digits(m)) for m in _RUN.finditer(tape.text)])
-    edits = [(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETS.finditer(tape.text)] if any(c in tape.text for c in "([{<") else []
-    tape = tape.apply(edits)
-    if " dot " in tape.text.lower():
+        tape = tape.apply(_glyphs(text))
+    if any(c in tape.text for c in "([{<"):
+        tape = tape.apply([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETS.finditer(tape.text)])
+    low = tape.text.lower()
+    if " at " in low:
         tape = tape.apply([(m.start(), m.end(), "@") for m in _WORDY.finditer(tape.text)])
-        dots = [(d.start() + m.start(), d.end() + m.start(), ".") for m in _AFTER_AT.finditer(tape.text) for d in _DOT.finditer(m[0])]
-        tape = tape.apply(dots)
+    if " dot " in low and "@" in tape.text:
+        tape = tape.apply([(d.start() + m.start(), d.end() + m.start(), ".") for m in _AFTER_AT.finditer(tape.text) for d in _DOT.finditer(m[0])])
+    if " dot " in low or " point " in low or not _NAMELESS(low.replace("-", " ").replace(".", " ").split()):
+        tape = tape.apply([(m.start(), m.end(), new) for m in _RUN.finditer(tape.text) if (new := _digits(m[0])) is not None])
     return tape
 
 
-_IS_NAME = frozenset(SPELLED).__contains__
-
-
-def disguised(text: str) -> bool:
-    """Whether some transducer may change the text: a cheap test before the exact ones."""
-    low = text.lower()
-    return (
-        (not text.isascii() and _GLYPH.search(text) is not None)
-        or (any(c in text for c in "([{<") and _BRACKETS.search(text) is not None)
-        or (" dot " in low and " at " in low)
-        or sum(map(_IS_NAME, low.replace("-", " ").replace(".", " ").split())) >= 7
-    )
+_NAMELESS = frozenset(SPELLED).isdisjoint
 
 
 def all_spans(text: str, plain: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
     """Plain spans and those found by normalising, by kind, then start.
 
-    A span of the normalised text counts if it has a rewritten piece and meets no plain span of its kind.
+    A span of the normalised text counts if it has a rewritten piece and lies in no plain span of its kind.
     """
     plain = base_spans(text) if plain is None else plain
-    tape = normalised(text) if disguised(text) else Tape(text)
+    tape = normalised(text)
     if not tape.changes:
         return plain
     found = list(plain)
     for kind, start, end in base_spans(tape.text):
         if tape.changed(start, end):
             first, last = tape.source(start, False), tape.source(end, True)
-            if not any(k == kind and s < last and first < e for k, s, e in found):
+            if not any(k == kind and s <= first and last <= e for k, s, e in found):
                 found.append((kind, first, last))
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 

@@ -130,6 +130,13 @@ def test_plain_spans_equal_the_patterns(spark, sf):
         ("pay " + "four" + " one" * 15, [("card", "four" + " one" * 15)]),
         ("ip 192[.]168[.]1[.]1!", [("ip", "192[.]168[.]1[.]1")]),
         ("we met at noon and the dot was one two three", []),
+        ("write john at foo.com now", [("email", "john at foo.com")]),
+        ("jane@foo dot com", [("email", "jane@foo dot com")]),
+        ("\U0001d423ohn@fo\u200bo.com!", [("email", "\U0001d423ohn@fo\u200bo.com")]),
+        ("tel +four 9 one two 3 four double five six 7", [("phone", "+four 9 one two 3 four double five six 7")]),
+        ("ip one nine two dot one six eight dot 1 dot one ok", [("ip", "one nine two dot one six eight dot 1 dot one")]),
+        ("192 dot one six eight dot 1 dot 1", [("ip", "192 dot one six eight dot 1 dot 1")]),
+        ("+\u0664\u0669 123 456 7890", [("phone", "+\u0664\u0669 123 456 7890")]),
         ("look at the dot com", []),
     ],
 )
@@ -142,6 +149,32 @@ def test_disguises_map_to_the_source(text, found):
     assert set(pii.base_spans(text)) <= set(spans)
 
 
+def test_disguises_by_brute_force():
+    """Plain identifiers, disguised piece by piece at random between plain words, are found where they were put."""
+    rng = random.Random(6)
+    names = "zero one two three four five six seven eight nine".split()
+    strange = {"a": "а", "e": "е", "o": "о", "c": "с", "p": "р", "m": "\U0001d426", "1": "\uff11", "n": "n\u200b"}
+    filler = lambda: " ".join(rng.choice(["the", "a", "house", "été", "42", "run,", "low."]) for _ in range(rng.randint(1, 6)))
+    for _ in range(400):
+        kind = rng.choice(pii.KINDS)
+        if kind == "email":
+            parts = ["joe.mann", rng.choice(["@", " at ", " (at) ", "[at]"]), "acme", rng.choice([".", " dot ", " [dot] "]), "com"]
+            glyph = rng.random() < 0.5
+            hidden = "".join(strange.get(c, c) if glyph and c.isalpha() and part not in (" at ", " dot ", " (at) ", "[at]", " [dot] ") and rng.random() < 0.5 else c for part in parts for c in part)
+        elif kind == "ip":
+            dot = rng.choice([".", " dot "])
+            hidden = dot.join(" ".join(names[int(d)] for d in str(n)) if rng.random() < 0.5 else str(n) for n in (10, 2, 255, rng.randrange(256)))
+        else:
+            digits = "4111111111111111" if kind == "card" else "".join(rng.choice("23456789") for _ in range(11))
+            hidden = ("+" if kind == "phone" else "") + " ".join(names[int(d)] if rng.random() < 0.7 else d for d in digits)
+        before = filler() + ". So: "
+        text = before + hidden + " ! " + filler()
+        start = len(before)
+        found = pii.all_spans(text)
+        assert any(k == kind and s <= start < e and abs(e - start - len(hidden)) <= 1 and s >= start - 1 for k, s, e in found) or (kind, start, start + len(hidden)) in found, (text, found)
+        assert set(pii.base_spans(text)) <= set(found)
+
+
 def test_pii_of_odd_rows(spark):
     docs = _odd_docs(spark).withColumn("pii", F.lit(1))
     rows = pii.find_pii(docs).collect()
