@@ -79,9 +79,12 @@ class Voters:
 
     def project(self, texts: list[bytes]) -> np.ndarray:
         """Unit vectors in the latent space; zero for a text without terms."""
-        out = np.zeros((len(texts), self.axes.shape[1]))
-        for i, text in enumerate(texts):
-            columns, values = vector(text, self.seen)
+        return self.place([vector(text, self.seen) for text in texts])
+
+    def place(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The unit vectors of (columns, values)."""
+        out = np.zeros((len(rows), self.axes.shape[1]))
+        for i, (columns, values) in enumerate(rows):
             if len(columns):
                 out[i] = (values * self.weights[columns]) @ self.axes[columns]
         return _unit(out).astype(np.float32)
@@ -107,13 +110,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(length > 0, length, 1)
 
 
-def fit(texts: list[bytes], labels: list[int], axes: int = AXES) -> Voters:
-    """The latent space of a bounded sample: the Gram matrix of its terms has a fixed size."""
-    if not texts:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], axes: int = AXES) -> Voters:
+    """The latent space of a bounded sample's (columns, values): the Gram matrix of its terms has a fixed size."""
+    if not rows:
         return Voters(np.ones(TERMS), np.zeros((TERMS, axes)), np.zeros((0, axes), np.float32), np.zeros(0), 0.5)
-    rows, seen = [], {}
-    for text in texts:
-        rows.append(vector(text, seen))
     spread = np.bincount(np.concatenate([c for c, _ in rows]), minlength=TERMS)
     weights = np.log((1 + len(rows)) / (1 + spread)) + 0.3
     dense = np.zeros((len(rows), TERMS), np.float32)
@@ -123,14 +123,27 @@ def fit(texts: list[bytes], labels: list[int], axes: int = AXES) -> Voters:
     _, vectors = np.linalg.eigh(dense.T @ dense)
     found = vectors[:, ::-1][:, :axes].astype(float)
     made = Voters(weights, found, np.zeros((0, axes), np.float32), np.array(labels, float), float(np.mean(labels)))
-    made.vectors = made.project(texts)
+    made.vectors = made.place(rows)
     return made
 
 
+_ROW = T.StructType([T.StructField("columns", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
+
+
+def _vectors(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    seen: dict[bytes, tuple[int, ...]] = {}
+    for batch in texts:
+        rows = [vector(t.as_py(), seen) for t in batch]
+        yield pa.StructArray.from_arrays([pa.array([c for c, _ in rows], pa.list_(pa.int64())), pa.array([v for _, v in rows], pa.list_(pa.float64()))], ["columns", "values"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, training=None) -> Voters:
-    """Fits on a bounded sample of labelled rows, drawn by a hash of the id; equal inputs give equal voters."""
-    rows = sampled(docs, labels, "quality", sample, training).orderBy("doc_id").toPandas()
-    return fit([bytes(t) for t in rows["text"]], [int(x) for x in rows["label"]])
+    """Fits on a bounded sample of labelled rows, drawn by a hash of the id; equal inputs give equal voters.
+
+    The driver gets as many numbers of a row as there are terms, at most, and no texts.
+    """
+    rows = sampled(docs, labels, "quality", sample, training).select("doc_id", "label", F.arrow_udf(_vectors, _ROW).asNondeterministic()("text").alias("f")).orderBy("doc_id").select("label", "f.*").collect()
+    return fit([(np.array(r.columns, np.int64), np.array(r["values"], float)) for r in rows], [int(r.label) for r in rows])
 
 
 def score(docs: DataFrame, voters: Voters, text: str = "text") -> DataFrame:

@@ -66,8 +66,14 @@ class Ordinal:
         return 1 / (1 + np.exp(self.thresholds - np.clip(self.weights[columns] @ values, -30, 30)))
 
 
-def grade_of(toxic: list[int], texts: list[bytes], grades: int = GRADES) -> tuple[np.ndarray, dict[bytes, float]]:
-    """Severity grades of a sample whose labels are 0 or 1 only.
+def stems(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, counts) of a text's stems, each as the number that its four bytes make."""
+    counts = Counter(w[:4].ljust(4, b"\0") for w in words_of(text))
+    return np.fromiter((int.from_bytes(w, "big") for w in counts), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+
+
+def grade_of(toxic: list[int], held: list[tuple[np.ndarray, np.ndarray]], grades: int = GRADES) -> tuple[np.ndarray, dict[int, float]]:
+    """Severity grades of a sample, by its rows' stems, whose labels are 0 or 1 only.
 
     Grade 0 is not toxic. Toxic ones are graded 1 to ``grades`` - 1 by how many words they hold whose stem marks toxic
     documents: its smoothed odds of being in a toxic document are at least twenty times those in another.
@@ -76,27 +82,25 @@ def grade_of(toxic: list[int], texts: list[bytes], grades: int = GRADES) -> tupl
     if max(toxic, default=0) > 1:
         return np.minimum(np.array(toxic), grades - 1), {}
     inside: tuple[Counter, Counter] = (Counter(), Counter())
-    for label, text in zip(toxic, texts):
-        inside[label].update({w[:4] for w in words_of(text)})
+    for label, (numbers, _) in zip(toxic, held):
+        inside[label].update(numbers.tolist())
     n1, n0 = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
     marks = {w: r for w, c in inside[1].items() if c >= 3 and (r := (c + 0.1) / n1 / ((inside[0][w] + 0.1) / n0)) >= 20}
-    hits = np.array([sum(w[:4] in marks for w in words_of(t)) for t in texts])
-    out = np.zeros(len(texts), int)
+    out = np.zeros(len(held), int)
     for i, label in enumerate(toxic):
         if label:
-            out[i] = 1 + min(grades - 2, int(np.log2(max(1, hits[i]))))
+            hits = sum(c for w, c in zip(held[i][0].tolist(), held[i][1].tolist()) if w in marks)
+            out[i] = 1 + min(grades - 2, int(np.log2(max(1, hits))))
     return out, marks
 
 
-def fit(toxic: list[int], texts: list[bytes], grades: int = GRADES, rounds: int = 200, ridge: float = 4e-4) -> Ordinal:
-    """Maximum likelihood of the cumulative-link model by full-batch Adam, on a bounded sample."""
-    y, _ = grade_of(toxic, texts, grades)
-    rows = [features(t) for t in texts]
+def fit(y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], grades: int = GRADES, rounds: int = 200, ridge: float = 4e-4) -> Ordinal:
+    """Maximum likelihood of the cumulative-link model by full-batch Adam, on the grades and features of a bounded sample."""
     sizes = np.array([len(c) for c, _ in rows], int)
     row = np.repeat(np.arange(len(rows)), sizes)
     column = np.concatenate([c for c, _ in rows]) if rows else np.zeros(0, int)
     value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
-    n, w = max(1, len(texts)), np.zeros(BUCKETS)
+    n, w = max(1, len(rows)), np.zeros(BUCKETS)
     theta = np.array([np.log((np.sum(y <= k) + 1) / (np.sum(y > k) + 1)) for k in range(grades - 1)])
     # The first threshold and the logarithms of the gaps keep the thresholds in order.
     p = np.concatenate((theta[:1], np.log(np.maximum(np.diff(theta), 0.05))))
@@ -125,12 +129,26 @@ def fit(toxic: list[int], texts: list[bytes], grades: int = GRADES, rounds: int
     return Ordinal(w, theta)
 
 
+_ROW = T.StructType([T.StructField(name, T.ArrayType(kind)) for name, kind in (("columns", T.LongType()), ("values", T.DoubleType()), ("stems", T.LongType()), ("counts", T.LongType()))])
+
+
+def _features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    for batch in texts:
+        rows = [(*features(t.as_py()), *stems(t.as_py())) for t in batch]
+        yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.list_(kind)) for i, kind in enumerate(kinds)], ["columns", "values", "stems", "counts"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, training=None) -> Ordinal:
-    """Fits the model on a bounded sample of labelled documents; without labels every text gets a severity near 0."""
-    rows = sampled(docs, labels, "toxic", sample, training).orderBy("doc_id").toPandas()
-    if not len(rows):
+    """Fits the model on a bounded sample of labelled documents; without labels every text gets a severity near 0.
+
+    Features are made in tasks: the driver gets those, and no texts.
+    """
+    rows = sampled(docs, labels, "toxic", sample, training).select("doc_id", "label", F.arrow_udf(_features, _ROW).asNondeterministic()("text").alias("f")).orderBy("doc_id").select("label", "f.*").collect()
+    if not rows:
         return Ordinal(np.zeros(BUCKETS), np.full(GRADES - 1, 10.0) + np.arange(GRADES - 1))
-    return fit([int(x) for x in rows["label"]], [bytes(t) for t in rows["text"]])
+    y, _ = grade_of([int(r.label) for r in rows], [(np.array(r.stems, np.int64), np.array(r.counts, np.int64)) for r in rows])
+    return fit(y, [(np.array(r.columns, np.int64), np.array(r["values"], float)) for r in rows])
 
 
 _TYPE = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("toxicity", T.DoubleType()), T.StructField("grade", T.IntegerType())])

@@ -43,7 +43,7 @@ def test_knn_quality_on_held_out_rows(spark):
 
 def test_blocked_cosines_equal_plain_ones():
     texts = [f"a{i % 7} b{i % 5} c{i % 3} !!".encode() for i in range(90)] + [b""]
-    voters = quality.fit(texts[:60], [i % 2 for i in range(60)])
+    voters = quality.fit([quality.vector(t, {}) for t in texts[:60]], [i % 2 for i in range(60)])
     scores = voters.score(texts)
     for text, got in zip(texts, scores):
         cosines = voters.vectors @ voters.project([text])[0]
@@ -56,6 +56,44 @@ def test_blocked_cosines_equal_plain_ones():
             assert 0 <= got <= 1 and (len(near) > quality.NEIGHBOURS or got == pytest.approx((w * voters.labels[near]).sum() / w.sum(), abs=1e-5))
 
 
+def _plain_loss(w, theta, y, rows, ridge=4e-4):
+    """The penalised negative log-likelihood, document by document."""
+    total = 0.0
+    for grade, (columns, values) in zip(y, rows):
+        z = sum(w[c] * v for c, v in zip(columns, values))
+        above = [1.0, *(1 / (1 + np.exp(t - z)) for t in theta), 0.0]
+        total -= np.log(max(above[grade] - above[grade + 1], 1e-12))
+    return total / len(y) + ridge / 2 * float((w**2).sum())
+
+
+def test_fit_is_near_the_optimum_of_the_plain_likelihood():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["mild", "bad", "worse", "tree", "lake", "hill"], 12)).encode() for _ in range(150)]
+    y = np.array([min(3, (t.count(b"bad") + 2 * t.count(b"worse")) // 3) for t in texts])
+    rows = [toxicity.features(t) for t in texts]
+    model = toxicity.fit(y, rows)
+    best = _plain_loss(model.weights, model.thresholds, y, rows)
+    used = np.flatnonzero(model.weights)
+    assert best < _plain_loss(np.zeros(toxicity.BUCKETS), np.log([(np.sum(y <= k) + 1) / (np.sum(y > k) + 1) for k in range(3)]), y, rows) / 2
+    for step in (1e-3, -1e-3):
+        for c in used[:12]:
+            w = model.weights.copy()
+            w[c] += step
+            assert _plain_loss(w, model.thresholds, y, rows) > best - 2e-4
+        for k in range(3):
+            theta = model.thresholds.copy()
+            theta[k] += step
+            assert _plain_loss(model.weights, theta, y, rows) > best - 2e-4
+
+
+def test_grades_against_plain_counts():
+    texts = [b"scum idiot tree", b"scum scum scum scum", b"tree lake", b"lake scum idiot idiot scum idiot scum scum idiot"] * 3 + [b"tree hill lake"] * 40
+    toxic = [int(b"scum" in t) for t in texts]
+    grades, marks = toxicity.grade_of(toxic, [toxicity.stems(t) for t in texts])
+    plain = [0 if not x else 1 + min(2, int(np.log2(max(1, sum(w[:4] in (b"scum", b"idio") for w in t.split()))))) for x, t in zip(toxic, texts)]
+    assert grades.tolist() == plain and {int.from_bytes(b"scum", "big"), int.from_bytes(b"idio", "big")} == set(marks)
+
+
 @pytest.mark.parametrize("column,adder,trainer", [("tox", toxicity.score, toxicity.train), ("quality_score", quality.score, quality.train)])
 def test_classifiers_on_odd_rows(spark, column, adder, trainer):
     docs = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "a " * 50_000)], "doc_id long, text string").withColumn(column, F.lit(1)).withColumn("row", F.lit(2))
