@@ -28,6 +28,8 @@ SHORT, TINY = 20, 5
 PARTS = 64
 #: Nodes of a key that each is held against in a further round, and rows held against each other at a time.
 NEIGHBOURS, BLOCK = 96, 20_000
+#: Rounds end when one adds no more than this part of the links there are.
+GAIN = 100
 #: Ways to sum a bag's counts, of which each further round takes the next.
 SIGNS = 8
 #: Buckets of a text's bag of words: each edit changes two of them by one at most, which bounds the edits from below.
@@ -250,7 +252,8 @@ def neighbours(rows: DataFrame, sketched: DataFrame, turn: int, least: float) ->
     buckets, are left out, and pairs that share several hash functions' keys count in the first of these. Ranges of keys
     and sums make the tasks, so that none gets all of a key.
     """
-    held = rows.select("key", "node", "label").join(sketched.select("node", "size", "bag", "bands", F.col("sums")[turn % SIGNS].alias("at")), "node")
+    # A table of its own: dealing by ranges reads it twice.
+    held = materialise(rows.select("key", "node", "label").join(sketched.select("node", "size", "bag", "bands", F.col("sums")[turn % SIGNS].alias("at")), "node"), "held")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -350,10 +353,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
         pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
         pairs = materialise(pairs.join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         more = materialise(verified(pairs, docs, doc_id, text, least), "links")
-        if not more.limit(1).count():
-            break
+        found_now, found_before = more.count(), links.count()
         links, compared = links.unionByName(more), compared.unionByName(pairs)
-        labels, turn = components(links), turn + 1
+        labels, turn = components(links) if found_now else labels, turn + 1
+        if found_now * GAIN <= found_before:
+            break
         # Whole keys of few nodes are done.
         large = F.col("n") > NEIGHBOURS + 1
         left = rest.where(large).select("key", "node").unionByName(found.where("b IS NULL").select("key", F.col("a").alias("node"))).distinct()
@@ -369,7 +373,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Equal texts are one class before anything else, a null text being empty; texts without words are like nothing else.
     Ids are whole numbers; rows with one id count as one document, so that their texts share a class; a null id stands
     for the text, and a class of such rows alone has no id. A class is a component of similar pairs that share a key: a
-    first round compares few pairs of each key, further rounds those that it left in different classes. Links are the
+    first round compares few pairs of each key, further rounds neighbours among those that it left in different classes,
+    until a round adds a hundredth of the links at most. Links are the
     distinct similar texts met on the way for the row's own: pairs of one class are not all compared, so they are at
     most the similar texts there are. An empty table gives no rows.
     """
