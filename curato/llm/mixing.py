@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 TREE = ("domain", "lang", "source")
 SEED = "mix"
 BLANK = "[^ \\t\\n\\r\\f\\x0B]+"
+SPACE = "[ \\t\\n\\r\\f\\x0B]*"
 
 # Fixed values of the registered query: relative weights, and the share of all tokens to take.
 WEIGHTS = {"domain": {"web": 5.0, "reference": 3.0, "books": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}}
@@ -76,12 +77,14 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: Ma
         key("lang"),
         key("source"),
         F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(BLANK)).cast("long").alias("n_tokens"),
+        # Orders rows of one id, and draws for those without one.
+        F.xxhash64("text").alias("tie"),
         *([F.struct("*").alias("row")] if carry else []),
     )
     planned = targets(rows.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens")), share, epochs, weights)
 
     drawn = rows.where("n_tokens > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    drawn = drawn.withColumn("draw", F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+    drawn = drawn.withColumn("draw", F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("tie").cast("string")))).cast("binary")))
     drawn = drawn.withColumn("b1", F.substring("draw", 1, 2)).withColumn("b2", F.substring("draw", 3, 2))
     leaf = [*TREE, "epoch"]
     before = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -92,16 +95,17 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: Ma
     bins = fine.withColumn("inside", before([*leaf, "b1"], "b2")).join(coarse, [*leaf, "b1"])
     bins = bins.select(*leaf, "b1", "b2", "target", (F.col("earlier") + F.col("inside")).alias("at")).where("at < target")
 
-    place = Window.partitionBy(*leaf, "b1", "b2").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    place = Window.partitionBy(*leaf, "b1", "b2").orderBy("draw", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     taken = drawn.join(bins, [*leaf, "b1", "b2"]).withColumn("start", F.col("at") + F.coalesce(F.sum("n_tokens").over(place), F.lit(0)))
     taken = taken.where("start < target").withColumn("take", F.least("n_tokens", F.col("target") - F.col("start")))
     return taken.select("doc_id", *leaf, "start", "n_tokens", "take", *(["row"] if carry else []))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents taken, with their own columns; a document taken in part keeps its first ``take`` tokens."""
+    """The documents taken, with their own columns; a document taken in part is cut where its first ``take`` tokens end."""
     taken = mix(docs, carry=True, **options)
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(BLANK), F.lit(0)), F.lit(1), F.col("take").cast("int")), " ")
+    # Each token with the blanks before it.
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(f"{SPACE}{BLANK}"), F.lit(0)), F.lit(1), F.col("take").cast("int")), "")
     text = F.when(F.col("take") < F.col("n_tokens"), part).otherwise(F.col("row.text"))
     return taken.select(*(text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 

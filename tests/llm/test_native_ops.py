@@ -94,3 +94,16 @@ def test_mixing_epochs_and_documents(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     native = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in native and "CartesianProduct" not in native
+
+
+def test_mixing_of_ties_null_ids_and_lines(spark):
+    """Rows of one id and rows without one have one order, however they are dealt; a cut text keeps its lines."""
+    rows = [(7, f"line {i}\n of\ttext {i}  x") for i in range(12)] + [(None, f"none {i} a b c") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'web' AS source")
+    found = [sorted((str(r.doc_id), r.start, r.n_tokens, r["take"]) for r in mixing.mix(docs.repartition(n), share=0.4, epochs=1).collect()) for n in (1, 7)]
+    assert found[0] == found[1]
+    starts = sorted(r[1:] for r in found[0])
+    assert all(b[0] == a[0] + a[2] for a, b in zip(starts, starts[1:]))
+    texts = {t for _, t in rows}
+    kept = [r.text for r in mixing.mixed_documents(docs, share=0.4, epochs=1).collect()]
+    assert all(any(t.startswith(k) for t in texts) for k in kept)

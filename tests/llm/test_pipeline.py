@@ -47,3 +47,19 @@ def test_stages_against_brute_force(spark, sf):
         at += len(ids)
     again = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null, empty, long and repeated texts, null ids and clashing columns go through all stages; an empty table gives no rows."""
+    rows = [(1, None), (2, ""), (3, "long text " * 15_000), (4, "same words here"), (4, "same words here"), (5, "same words here"), (None, "no id at all"), (6, "a benchmark text of ten words or more stands in here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'web' AS source", "cast(length(text) as long) AS n_chars", "1 AS node", "'x' AS label", "2 AS row")
+    spark.createDataFrame([(1, 1, 0), (4, 0, 1), (3, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "benchmark text of ten words or more stands in here"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for own, empty in ((docs, False), (docs.limit(0), True)):
+        for name, stage in corpus_pipeline.STAGES:
+            made = materialise(stage(spark, own, str(tmp_path)), name)
+            assert made.count() <= own.count() and (made.count() == 0) == empty
+            if name != "token_output":
+                assert made.columns == own.columns
+            own = made
+        assert {r.doc_id for r in own.collect()} <= {None, 1, 2, 3, 4, 6}
