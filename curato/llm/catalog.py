@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from functools import wraps
 
-from curato.llm import decontaminate, mixing, neardup, passages, pii, pitmanyor, quality, syncmers, tokenfile, toxicity
+from curato.llm import chatformat, conversationtrie, decontaminate, filteraudit, mixing, neardup, passages, pii, pitmanyor, quality, syncmers, tokenfile, toxicity
 
 
 def ship(spark) -> None:
@@ -44,10 +44,19 @@ def queries() -> dict:
         "op8_lm": pitmanyor.op8_lm,
         "op9_pii": pii.op9_pii,
         "op7_token_output": tokenfile.op7_token_output,
+        "op11_conversation_trie": conversationtrie.op11_conversation_trie,
+        "op12_chat_format": chatformat.op12_chat_format,
+        "op13_filter_audit": filteraudit.op13_filter_audit,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict:
     """The SQL of the corpus queries that SQL can express."""
-    return {"op1_decontamination": decontaminate.OP1_SQL, "op4_mixing": mixing.OP4_SQL}
+    return {
+        "op1_decontamination": decontaminate.OP1_SQL,
+        "op4_mixing": mixing.OP4_SQL,
+        "op11_conversation_trie": conversationtrie.OP11_SQL,
+        "op12_chat_format": chatformat.OP12_SQL,
+        "op13_filter_audit": filteraudit.OP13_SQL,
+    }
