@@ -91,8 +91,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 HOMOGLYPHS = dict(
     zip(
         "аеорсухіјѕһԁԛАВЕКМНОРСТХІ"
-        "οανιρΑΒΕΖΗΙΚΜΝΟΡΤΥΧıɡ",
-        "aeopcyxijshdqABEKMHOPCTXI" "oavipABEZHIKMNOPTYXig",
+        "οανιρΑΒΕΖΗΙΚΜΝΟΡΤΥΧıɡİ",
+        "aeopcyxijshdqABEKMHOPCTXI" "oavipABEZHIKMNOPTYXigI",
     )
 )
 
@@ -137,7 +137,15 @@ _RUN = re.compile(rf"(?<!\w)(?:plus[ -]|\+ ?)?(?:{_TOKEN})(?:(?: (?:dot|point) |
 _PIECE = re.compile(rf"(?P<plus>plus[ -]|\+ ?)|(?P<dot> (?:dot|point) )|(?P<mark>[ .-])|(?P<token>{_TOKEN})", re.IGNORECASE)
 _BRACKETS = re.compile(r"[ ]?[(\[{<][ ]?(at|dot|@|\.)[ ]?[)\]}>][ ]?", re.IGNORECASE)
 _HOST = r"[A-Za-z0-9-]{1,63}(?:(?: dot |\.)[A-Za-z0-9-]{1,63}){0,3}(?: dot |\.)[A-Za-z]{2,24}(?![A-Za-z0-9])"
-_WORDY = re.compile(rf"(?<=[A-Za-z0-9]) at (?={_HOST})", re.IGNORECASE)
+# Words before " at " that are no mailbox but prose.
+PROSE = frozenset(
+    "a all also am an and any anyone are around as available back be been being best both bought but by call check click contact do done download each else ever everyone "
+    "few find first for found free from get go good had happened has have he held help her here hers him his home hosted how i in info information is it its join just last listed "
+    "live located log look looked looking looks made me meet meeting met more my new news no not now of on one online only open or order our ours out over own page published read "
+    "registered released reading said sale see seen she shop sign site sold some someone start started stay still stop stored team that the their them then there these they this those "
+    "time to today tomorrow up us visit visited visiting was watch we web website welcome went were what when where who will with work worked working works you your yours yourself".split()
+)
+_WORDY = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<box>[A-Za-z0-9._%+-]*[A-Za-z0-9])(?P<at> at )(?!www\b)(?={_HOST})", re.IGNORECASE)
 _DOT = re.compile(r" dot ", re.IGNORECASE)
 _AFTER_AT = re.compile(r"@[A-Za-z0-9-]{1,63}(?:(?: dot |\.)[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
 
@@ -196,7 +204,7 @@ class Tape:
 
 
 def _digits(run: str) -> str | None:
-    """A run's digits; null if none is spelled and no dot either. Marks beside a spelled digit go, but for the three dots of an address."""
+    """A run's digits; null if none is spelled and no dot either, or a word is no digit's name. Marks beside a spelled digit go, but for the three dots of an address."""
     pieces = [(m.lastgroup, m[0]) for m in _PIECE.finditer(run)]
     if not any(kind == "dot" or (kind == "token" and not text.isdigit()) for kind, text in pieces):
         return None
@@ -210,6 +218,9 @@ def _digits(run: str) -> str | None:
             for word, n in (("double", 2), ("triple", 3)):
                 if name.startswith(word):
                     times, name = n, name[len(word) + 1 :]
+            # Matching without case knows letters that have no lower case of their own among the names.
+            if not name.isdigit() and name not in SPELLED:
+                return None
             out.append(name if name.isdigit() else SPELLED[name] * times)
         elif kind == "dot" or (text == "." and address):
             out.append(".")
@@ -235,7 +246,7 @@ def normalised(text: str) -> Tape:
         tape = tape.apply([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETS.finditer(tape.text)])
     low = tape.text.lower()
     if " at " in low:
-        tape = tape.apply([(m.start(), m.end(), "@") for m in _WORDY.finditer(tape.text)])
+        tape = tape.apply([(*m.span("at"), "@") for m in _WORDY.finditer(tape.text) if m["box"].lower() not in PROSE])
     if " dot " in low and "@" in tape.text:
         tape = tape.apply([(d.start() + m.start(), d.end() + m.start(), ".") for m in _AFTER_AT.finditer(tape.text) for d in _DOT.finditer(m[0])])
     if " dot " in low or " point " in low or not _NAMELESS(low.replace("-", " ").replace(".", " ").split()):

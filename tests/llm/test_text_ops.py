@@ -179,3 +179,30 @@ def test_pii_of_odd_rows(spark):
     docs = _odd_docs(spark).withColumn("pii", F.lit(1))
     rows = pii.find_pii(docs).collect()
     assert len(rows) == 6 and all(r.pii.spans == "" for r in rows)
+
+
+def test_no_character_beside_a_spelled_digit_is_an_error():
+    for c in map(chr, (p for p in range(0x11000) if not 0xD800 <= p < 0xE000)):
+        if c.lower() != c or c.upper() != c or c < "⺀":
+            for text in (f"f{c}ve six one five", f"five {c}ix one two {c}"):
+                assert all(0 <= s < e <= len(text) for _, s, e in pii.all_spans(text))
+
+
+def test_random_texts_are_no_error():
+    rng = random.Random(12)
+    bits = ["five", "SIX", "zéro", "fünf", " at ", " dot ", ".", "@", "-", " ", "+", "plus ", "double ", "(at)", "[dot]", "example", "org", "7", "İ", "ſ", "K", "ß", "日", "🙂", "​", "٣", "İve"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits) if rng.random() < 0.9 else chr(rng.randrange(0xD800)) for _ in range(rng.randrange(14)))
+        plain = pii.base_spans(text)
+        found = pii.all_spans(text, plain)
+        assert set(plain) <= set(found) and all(0 <= s < e <= len(text) for _, s, e in found)
+
+
+def test_prose_with_at_is_no_address():
+    prose = ["Meet us at example.org today", "You can look at www.example.com", "It was published at news.example.net.", "They are online at example.de", "see more at example.com/x"]
+    for text in prose:
+        assert pii.all_spans(text) == [], text
+    for name in ("john", "jane.doe", "sales", "r2d2", "m_m"):
+        for host in ("example.org", "mail dot example dot com"):
+            text = f"write {name} at {host} now"
+            assert pii.all_spans(text) == [("email", 6, 6 + len(name) + 4 + len(host))], text
