@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from curato.plans import assets, review, state, tagging, training
+from curato.plans import assets, pictures, review, state, tagging, training
 
-_ALL = {**assets.QUERIES, **tagging.QUERIES, **training.QUERIES, **state.QUERIES, **review.QUERIES}
+_ALL = {**assets.QUERIES, **tagging.QUERIES, **training.QUERIES, **state.QUERIES, **review.QUERIES, **pictures.QUERIES}
 
 
 def flagship(spark, sf_dir):

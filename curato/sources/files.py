@@ -97,41 +97,6 @@ def luminance_metrics(gray: np.ndarray) -> dict[str, float]:
     return out
 
 
-METRICS = "path string, width int, height int, channels int, luminance_mean double, luminance_stddev double, luminance_range double, sharpness double, compression_blockiness double, alpha_fraction double"
-
-
-def image_metrics(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A row of metrics for each picture which Spark's image source decodes; undecodable ones have null metrics."""
-    rows = spark.read.format("image").option("dropInvalid", "false").load(paths)
-    flat = rows.select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for path, width, height, channels, data in batch.itertuples(index=False):
-                row = {"path": path, "width": width, "height": height, "channels": channels}
-                if width > 0 and height > 0:
-                    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
-                    gray = pixels[:, :, 0] if channels == 1 else pixels[:, :, 2] * 0.299 + pixels[:, :, 1] * 0.587 + pixels[:, :, 0] * 0.114
-                    row |= luminance_metrics(np.round(gray))
-                    row["alpha_fraction"] = float((pixels[:, :, 3] < 255).mean()) if channels == 4 else 0.0
-                out.append(row)
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in METRICS.split(", ")])
-
-    return flat.mapInPandas(measure, METRICS)
-
-
-def perceptual_hash(gray: np.ndarray) -> int:
-    """64 bits: of a 32 by 32 picture's cosine transform, the low 8 by 8 terms that are over their median."""
-    rows, columns = (np.array_split(np.arange(n), 32) for n in gray.shape)
-    small = np.array([[gray[np.ix_(r, c)].mean() if len(r) and len(c) else 0.0 for c in columns] for r in rows])
-    k, n = np.arange(32)[:, None], np.arange(32)[None, :]
-    basis = np.cos(np.pi * k * (2 * n + 1) / 64)
-    low = (basis @ small @ basis.T)[:8, :8]
-    bits = (low > np.median(low)).ravel()
-    return int(np.packbits(bits).view(">u8")[0])
-
-
 TENSORS = "path string, key string, dtype string, start long, end long, metadata map<string,string>, error string"
 
 

@@ -140,8 +140,14 @@ def test_hamming_bands_equal_all_pairs(spark):
     base = [rng.getrandbits(63) for _ in range(60)]
     values = base + [b ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for b in base] + base[:5]
     want = {(i, j, (values[i] ^ values[j]).bit_count()) for j in range(len(values)) for i in range(j) if (values[i] ^ values[j]).bit_count() <= 4}
-    found = duplicates.hamming_pairs(spark.createDataFrame(list(enumerate(values)), "id long, h long"), "id", "h", 4)
+    rows = spark.createDataFrame(list(enumerate(values)), "id long, h long")
+    found = duplicates.hamming_pairs(rows, "id", "h", 4, all_pairs=True)
     assert {(r.a, r.b, r.distance) for r in found.collect()} == want
+    # Pairs of representatives and each hash's members put the same rows together.
+    few = duplicates.hamming_pairs(rows, "id", "h", 4)
+    assert few.count() < len(want)
+    classes = lambda pairs: {tuple(r) for r in duplicates.cluster_pairs(pairs).collect()}
+    assert classes(few) == classes(found)
 
 
 def test_merged_groupings(spark):
@@ -287,12 +293,8 @@ def test_image_sources(spark, tmp_path):
     (tmp_path / "note.txt").write_bytes(b"x")
     found = files.image_headers(files.scan_images(spark, [str(tmp_path)])).select(F.substring_index("path", "/", -1).alias("f"), "width", "height", "error").collect()
     assert {tuple(r) for r in found} == {("noise.png", 56, 40, None), ("black.png", 32, 32, None), ("bad.webp", None, None, "unsafe_image")}
-    metrics = {r.path.rsplit("/", 1)[-1]: r for r in files.image_metrics(spark, [str(tmp_path / "*.png")]).collect()}
-    assert metrics["black.png"].luminance_mean == 0 and metrics["noise.png"].sharpness > 1000 and metrics["noise.png"].compression_blockiness == pytest.approx(1, abs=0.2)
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x10\x00\x20" + bytes(9)
     assert files.image_size(jpeg) == (32, 16) and files.image_size(b"") is None
-    gray = np.kron(rng.normal(0, 50, (8, 10)), np.ones((8, 8)))
-    assert (files.perceptual_hash(gray) ^ files.perceptual_hash(gray + rng.normal(0, 0.2, gray.shape))).bit_count() <= 8
 
 
 def test_model_headers(spark, tmp_path):
