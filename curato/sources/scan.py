@@ -123,8 +123,11 @@ class _Reader(DataSourceReader):
                 parts.append(_Part(number, 0, root, root, "file" if os.path.isfile(root) else "odd"))
         return parts
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
+    def read(self, partition: _Part | None) -> Iterator[tuple]:
         p = partition
+        # Spark reads one partition even where there are none.
+        if p is None:
+            return
 
         def row(seq: int, kind: str, path: str, size: int | None = None, code: str | None = None) -> tuple:
             return p.number, p.part, seq, kind, p.root, path, size, code
