@@ -9,6 +9,10 @@ from curato.functions.columns import hex_digest, version_tuple
 from curato.operators import constraints, generate, ingest, logs, state
 from curato.plans.assets import read
 from curato.streaming import events as streams
+from curato.streaming import stateful
+
+#: Bytes of a chunk of output.
+CHUNK = 4096
 
 RANKS = {"view": 0, "click": 1, "error": 2, "purchase": 3, "signup": 4}
 
@@ -155,8 +159,8 @@ def redact_text(spark, sf):
 
 
 def sanitize_paths(spark, sf):
-    rows = read(spark, sf, "pages").select("page_id", F.concat(F.lit("see /home/u/"), F.substring("url", 9, 12), F.lit("\tand C:\\x\\y\tok")).alias("text"))
-    return rows.select("page_id", F.when(F.col("page_id") % 3 == 0, logs.mask_paths(F.lit("/abs/path"))).otherwise(logs.mask_paths(F.col("text"))).alias("text"))
+    rows = read(spark, sf, "pages").select("page_id", "url", F.concat(F.lit("see /home/u/"), F.col("url"), F.lit("\tand C:\\x\\"), F.col("url"), F.lit("\tok")).alias("text"))
+    return rows.select("page_id", F.when(F.col("page_id") % 3 == 0, logs.mask_paths(F.concat(F.lit("/abs/"), F.col("url")))).otherwise(logs.mask_paths(F.col("text"))).alias("text"))
 
 
 def device_aliases(spark, sf):
@@ -203,6 +207,35 @@ def stream_throttled(spark, sf):
     return rows.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "user_id", "event_id")
 
 
+def stream_throttle_exact(spark, sf):
+    rows = streams.read_events(spark, f"{sf}/events.parquet").withColumn("second", F.floor(F.unix_micros("ts") / 1e6))
+    taken = stateful.drained(stateful.throttled(rows, "user_id", "second", 86_400.0))
+    return taken.select("user_id", F.col("at").cast("long").alias("taken"))
+
+
+def stream_lines(spark, sf):
+    """Documents as the output of processes, in chunks that end anywhere, some lines ending with a carriage return."""
+    data = F.replace("text", F.lit(". "), F.lit(".\r")).cast("binary")
+    rows = read(spark, sf, "documents").where("doc_id is not null").select("doc_id", F.coalesce(data, F.lit(b"")).alias("whole"))
+    last = F.floor(F.octet_length("whole") / CHUNK).cast("int")
+    chunks = rows.select("doc_id", "whole", last.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("seq"))
+    chunks = chunks.select("doc_id", "seq", F.substring("whole", F.col("seq") * CHUNK + 1, F.lit(CHUNK)).alias("data"), (F.col("seq") == F.col("n")).alias("last"))
+    folder = stateful.fresh_folder(spark)
+    chunks.write.parquet(folder)
+    stream = spark.readStream.schema(chunks.schema).parquet(folder)
+    return stateful.drained(stateful.lines_of(stream, ["doc_id"]))
+
+
+def stream_run_stages(spark, sf):
+    events = streams.read_events(spark, f"{sf}/events.parquet")
+    staged = events.select(F.col("user_id").alias("run_id"), "event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("stage"))
+    runs = read(spark, sf, "events").select(F.col("user_id").alias("run_id")).distinct().where("run_id % 7 != 0").withColumn("current_stage", F.lit("CREATED"))
+    sink = stateful.RunSink(spark, stateful.fresh_folder(spark), runs)
+    query = sink.start(staged)
+    query.awaitTermination()
+    return sink.current()
+
+
 def loss_curves(spark, sf):
     key = F.col("s_suppkey")
     runs = read(spark, sf, "supplier").select(key.alias("run_id"), (key % 9 + 1).cast("int").alias("epochs"), (key * 31 % 900 + 100).alias("total_steps"))
@@ -255,6 +288,9 @@ QUERIES = {
     "stream_event_counts": (stream_event_counts, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL"),
     "stream_last_state": (stream_last_state, "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL"),
     "stream_throttled": (stream_throttled, "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, user_id, min(event_id) AS event_id FROM events GROUP BY ALL"),
+    "stream_throttle_exact": (stream_throttle_exact, "WITH RECURSIVE e AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), r AS (SELECT user_id, min(t) AS taken FROM e GROUP BY user_id UNION ALL SELECT r.user_id, (SELECT min(t) FROM e WHERE e.user_id = r.user_id AND t >= r.taken + 86400) FROM r WHERE r.taken IS NOT NULL) SELECT user_id, taken FROM r WHERE taken IS NOT NULL"),
+    "stream_lines": (stream_lines, "WITH p AS (SELECT doc_id, regexp_split_to_array(replace(text, '. ', '.' || chr(13)), '\r\n|\r|\n') AS p FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS p FROM p) SELECT doc_id, unnest(range(0, len(p))) AS line_no, unnest(p) AS line FROM c"),
+    "stream_run_stages": (stream_run_stages, "SELECT user_id AS run_id, coalesce(arg_max(event_type, event_id) FILTER (event_id % 3 <> 0), 'CREATED') AS current_stage FROM events WHERE user_id % 7 <> 0 GROUP BY user_id"),
     "loss_curves": (loss_curves, "WITH r AS (SELECT s_suppkey AS run_id, s_suppkey % 9 + 1 AS epochs, s_suppkey * 31 % 900 + 100 AS total FROM supplier), e AS (SELECT *, unnest(range(1, epochs + 1)) AS epoch FROM r), s AS (SELECT *, greatest(1, ceil(total * epoch / CAST(epochs AS DOUBLE))) AS step FROM e) SELECT run_id, CAST(epoch AS INTEGER) AS epoch, CAST(step AS BIGINT) AS step, round(greatest(0.02, 0.65 * exp(-2.2 * step / total)), 6) AS train_loss, round(greatest(0.03, 0.58 * exp(-1.7 * step / total) + epoch * 0.002), 6) AS validation_loss FROM s"),
     "target_epochs": (target_epochs, "SELECT s_suppkey, array_to_string(list_sort(list_distinct([CAST(greatest(1, ceil((s_suppkey % 23 + 1) * f)) AS INTEGER) FOR f IN [0.25, 0.5, 0.75, 1.0]])), ',') AS epochs FROM supplier"),
     "drawn_tags": (drawn_tags, f"WITH d AS (SELECT doc_id AS asset_id, sha256(unhex(sha256(text))) AS seed FROM documents), v AS (SELECT {generate.DRAWN_TAGS} AS tags), h AS (SELECT asset_id, seed, tags, [tags[i + 1] FOR i IN range(0, 12) IF CAST('0x' || substr(seed, 2 * i + 1, 2) AS INTEGER) % 5 = 0] AS hit FROM d, v), c AS (SELECT asset_id, seed, CASE WHEN len(hit) >= 3 THEN hit[1:5] ELSE list_concat(hit, [t FOR t IN tags IF NOT list_contains(hit, t)])[1:3] END AS chosen FROM h), l AS (SELECT asset_id, seed, unnest(chosen) AS tag, unnest(range(0, len(chosen))) AS i FROM c) SELECT asset_id, tag, CAST(0.55 AS DOUBLE) + CAST('0x' || substr(seed, 2 * i + 1, 2) AS INTEGER) / CAST(1024 AS DOUBLE) AS score FROM l UNION ALL SELECT asset_id, '1girl', CAST(0.97 AS DOUBLE) FROM d UNION ALL SELECT asset_id, 'solo', CAST(0.92 AS DOUBLE) FROM d"),
