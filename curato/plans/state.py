@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curato.functions.columns import hex_digest, version_tuple
-from curato.operators import constraints, generate, ingest, logs, state
+from curato.operators import constraints, generate, ingest, logs, projections, state
 from curato.plans.assets import read
 from curato.streaming import events as streams
 from curato.streaming import stateful
@@ -236,6 +236,34 @@ def stream_run_stages(spark, sf):
     return sink.current()
 
 
+def stage_projections(spark, sf):
+    """What some stages over all documents leave in the tables, some of them applied twice."""
+    store, run = projections.Store(spark, stateful.fresh_folder(spark), 8), projections.Context("p", "r", trigger="tok")
+    docs = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("asset_id"), "doc_id", "text", "lang", "source", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("n_chars").alias("size_bytes"))
+    assets = docs.select("asset_id", F.concat("asset_id", F.lit(".png")).alias("stored_filename"), "sha256", "size_bytes", F.lit(".png").alias("extension"))
+    sources = docs.select("asset_id", F.concat(F.lit("/in/"), "source").alias("original_path"), F.col("source").alias("original_filename"))
+    store.apply("importing", {"assets": assets, "sources": sources}, run)
+    more = sources.where("cast(asset_id as long) % 2 = 0").withColumn("original_path", F.when(F.col("asset_id").cast("long") % 4 == 0, F.lit("/late")).otherwise(F.col("original_path"))).withColumn("original_filename", F.lit("late"))
+    store.apply("importing", {"assets": assets.withColumn("size_bytes", F.lit(7)).where("cast(asset_id as long) % 3 = 0"), "sources": more}, run)
+    items = docs.select("asset_id", F.concat(F.lit("working/"), "asset_id").alias("path"), "sha256", "size_bytes", F.lit(1).alias("width"), F.lit(2).alias("height"), F.array().cast("array<string>").alias("warnings"))
+    store.apply("normalizing", {"items": items}, run)
+    store.apply("captioning", {"captions": docs.select("asset_id", F.col("lang").alias("caption"), F.lit("{}").alias("audit"))}, run)
+    store.apply("captioning", {"captions": docs.where("doc_id % 5 = 0").select("asset_id", F.lit("again").alias("caption"), F.lit("{}").alias("audit"))}, run)
+    for n in (3, 10):
+        store.apply("planning", {"split": docs.select("asset_id", F.when(F.col("doc_id") % n == 0, "validation").otherwise("training").alias("split"), F.lit(42).alias("seed"))}, run)
+    shown = {
+        "assets": ("id", F.concat_ws(":", "kind", F.col("size_bytes").cast("string"))),
+        "source_files": ("asset_id", F.concat_ws(":", "original_path", "original_filename")),
+        "captions": ("asset_id", F.concat_ws(":", "trigger_token", "caption")),
+        "dataset_splits": ("asset_id", F.col("split")),
+    }
+    rows = None
+    for table, (key, value) in shown.items():
+        own = store.table(table).select(F.lit(table).alias("table_name"), F.col(key).alias("id"), value.alias("value"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
 def loss_curves(spark, sf):
     key = F.col("s_suppkey")
     runs = read(spark, sf, "supplier").select(key.alias("run_id"), (key % 9 + 1).cast("int").alias("epochs"), (key * 31 % 900 + 100).alias("total_steps"))
@@ -291,6 +319,10 @@ QUERIES = {
     "stream_throttle_exact": (stream_throttle_exact, "WITH RECURSIVE e AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), r AS (SELECT user_id, min(t) AS taken FROM e GROUP BY user_id UNION ALL SELECT r.user_id, (SELECT min(t) FROM e WHERE e.user_id = r.user_id AND t >= r.taken + 86400) FROM r WHERE r.taken IS NOT NULL) SELECT user_id, taken FROM r WHERE taken IS NOT NULL"),
     "stream_lines": (stream_lines, "WITH p AS (SELECT doc_id, regexp_split_to_array(replace(text, '. ', '.' || chr(13)), '\r\n|\r|\n') AS p FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS p FROM p) SELECT doc_id, unnest(range(0, len(p))) AS line_no, unnest(p) AS line FROM c"),
     "stream_run_stages": (stream_run_stages, "SELECT user_id AS run_id, coalesce(arg_max(event_type, event_id) FILTER (event_id % 3 <> 0), 'CREATED') AS current_stage FROM events WHERE user_id % 7 <> 0 GROUP BY user_id"),
+    "stage_projections": (stage_projections, """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, * FROM documents), s AS (SELECT id, doc_id, '/in/' || source AS path, source AS name FROM d)
+SELECT 'assets' AS table_name, id, 'raw:' || CASE WHEN doc_id % 3 = 0 THEN 7 ELSE n_chars END AS value FROM d UNION ALL SELECT 'assets', 'working-' || id, 'normalized:' || n_chars FROM d
+UNION ALL SELECT 'source_files', id, path || ':' || name FROM s UNION ALL SELECT 'source_files', id, '/late:late' FROM s WHERE doc_id % 4 = 0
+UNION ALL SELECT 'captions', id, 'tok:' || CASE WHEN doc_id % 5 = 0 THEN 'again' ELSE lang END FROM d UNION ALL SELECT 'dataset_splits', id, CASE WHEN doc_id % 10 = 0 THEN 'validation' ELSE 'training' END FROM d"""),
     "loss_curves": (loss_curves, "WITH r AS (SELECT s_suppkey AS run_id, s_suppkey % 9 + 1 AS epochs, s_suppkey * 31 % 900 + 100 AS total FROM supplier), e AS (SELECT *, unnest(range(1, epochs + 1)) AS epoch FROM r), s AS (SELECT *, greatest(1, ceil(total * epoch / CAST(epochs AS DOUBLE))) AS step FROM e) SELECT run_id, CAST(epoch AS INTEGER) AS epoch, CAST(step AS BIGINT) AS step, round(greatest(0.02, 0.65 * exp(-2.2 * step / total)), 6) AS train_loss, round(greatest(0.03, 0.58 * exp(-1.7 * step / total) + epoch * 0.002), 6) AS validation_loss FROM s"),
     "target_epochs": (target_epochs, "SELECT s_suppkey, array_to_string(list_sort(list_distinct([CAST(greatest(1, ceil((s_suppkey % 23 + 1) * f)) AS INTEGER) FOR f IN [0.25, 0.5, 0.75, 1.0]])), ',') AS epochs FROM supplier"),
     "drawn_tags": (drawn_tags, f"WITH d AS (SELECT doc_id AS asset_id, sha256(unhex(sha256(text))) AS seed FROM documents), v AS (SELECT {generate.DRAWN_TAGS} AS tags), h AS (SELECT asset_id, seed, tags, [tags[i + 1] FOR i IN range(0, 12) IF CAST('0x' || substr(seed, 2 * i + 1, 2) AS INTEGER) % 5 = 0] AS hit FROM d, v), c AS (SELECT asset_id, seed, CASE WHEN len(hit) >= 3 THEN hit[1:5] ELSE list_concat(hit, [t FOR t IN tags IF NOT list_contains(hit, t)])[1:3] END AS chosen FROM h), l AS (SELECT asset_id, seed, unnest(chosen) AS tag, unnest(range(0, len(chosen))) AS i FROM c) SELECT asset_id, tag, CAST(0.55 AS DOUBLE) + CAST('0x' || substr(seed, 2 * i + 1, 2) AS INTEGER) / CAST(1024 AS DOUBLE) AS score FROM l UNION ALL SELECT asset_id, '1girl', CAST(0.97 AS DOUBLE) FROM d UNION ALL SELECT asset_id, 'solo', CAST(0.92 AS DOUBLE) FROM d"),

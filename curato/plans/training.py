@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from curato.operators import captions, duplicates, embeddings, evaluation, planning
+from curato.operators import captions, duplicates, embeddings, evaluation, planning, trainplan
 from curato.plans.assets import read
 
 
@@ -293,6 +293,98 @@ def holdout_batches(spark, sf):
 
 _HASHED_SPLIT = "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY sha256('42' || chr(0) || CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR)) <= (SELECT least(50, greatest(2, floor(count(*) * 0.1 + 0.5))) FROM documents) THEN 'validation' ELSE 'train' END AS split FROM documents"
 _PASSES = {n: _pass(n) for n in (1, 2, 3)}
+def _planned_runs(spark, sf):
+    key = F.col("p_partkey")
+    some = lambda divisor, value, kind: F.when(key % divisor == 0, value).otherwise(F.lit(None)).cast(kind)
+    gpu = lambda uuid, index, ok, free, total, bf16: F.struct(F.lit(uuid).alias("uuid"), F.lit(index).alias("index"), ok.alias("compatible"), free.cast("int").alias("free_mb"), F.lit(total).alias("total_mb"), bf16.alias("bf16"))
+    return read(spark, sf, "part").select(
+        key.alias("run_id"),
+        (key % 90 + 5).cast("int").alias("accepted"),
+        F.when(key % 6 == 0, key % 11).otherwise(0).cast("int").alias("validation_count"),
+        (key % 100 / 100).alias("diversity"),
+        (key * 53 % 1200).cast("int").alias("short_p10"),
+        F.lit(900).alias("short_median"),
+        F.array(gpu("a", 0, key % 13 != 0, key * 37 % 30 * 1024, 24576, key % 3 != 0), gpu("b", 1, key % 2 == 0, key * 11 % 24 * 1024, 24576, F.lit(True))).alias("gpus"),
+        F.when(key % 17 == 0, F.array(F.lit("a"), F.lit("c"))).when(key % 5 == 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("selected"),
+        F.when(key % 4 == 0, F.array(F.lit("network_dim"), F.lit("repeats"))).otherwise(F.array().cast("array<string>")).alias("locked"),
+        F.when(key % 19 == 0, F.array(F.lit("Prodigy"))).when(key % 2 == 0, F.array(F.lit("AdamW"), F.lit("AdamW8bit"))).otherwise(F.array(F.lit("AdamW"))).alias("optimizers"),
+        (key % 3 == 0).alias("has_class_token"),
+        some(7, F.lit("a"), "string").alias("probe_gpu"),
+        some(7, F.lit(2), "int").alias("probe_batch"),
+        some(7, F.lit("p1"), "string").alias("probe_version"),
+        some(4, F.lit(64), "int").alias("want_network_dim"),
+        some(22, F.lit(40), "int").alias("want_network_alpha"),
+        some(9, F.lit(896), "int").alias("want_resolution"),
+        some(10, F.lit(2), "int").alias("want_batch_size"),
+        some(8, F.lit(3), "int").alias("want_repeats"),
+        some(12, F.lit(9), "int").alias("want_epochs"),
+        some(23, F.lit("Lion"), "string").alias("want_optimizer"),
+        some(29, F.lit("bf16"), "string").alias("want_precision"),
+        some(31, F.lit(0.0005), "double").alias("want_unet_lr"),
+    )
+
+
+def training_plans(spark, sf):
+    rows = trainplan.training_plan(_planned_runs(spark, sf), "run_id", trainplan.CHARACTER)
+    plan = F.col("plan")
+    shown = ("resolution", "batch_size", "gradient_accumulation", "repeats", "epochs", "estimated_steps", "network_dim", "network_alpha", "optimizer", "precision", "no_half_vae", "keep_tokens", "validation_images", "gpu", "estimated_disk_mb")
+    sources = ("network_dim", "batch_size", "repeats", "optimizer", "unet_lr")
+    return rows.select("run_id", *(plan[n].alias(n) for n in shown), F.round(plan["unet_lr"], 8).alias("unet_lr"), F.concat_ws(",", *(F.col("provenance")[n] for n in sources)).alias("sources"), "error")
+
+
+_TRAINING_PLANS = """r AS (SELECT p_partkey AS k, CAST(p_partkey % 90 + 5 AS INTEGER) AS accepted, CASE WHEN p_partkey % 6 = 0 THEN p_partkey % 11 ELSE 0 END AS vc, p_partkey % 100 / CAST(100 AS DOUBLE) AS diversity, p_partkey * 53 % 1200 AS p10,
+  p_partkey % 13 <> 0 AND p_partkey % 5 <> 0 AS ok_a, p_partkey * 37 % 30 * 1024 AS free_a, p_partkey % 2 = 0 AND p_partkey % 17 <> 0 AS ok_b, p_partkey * 11 % 24 * 1024 AS free_b FROM part),
+r1 AS (SELECT *, CASE WHEN k % 17 = 0 THEN (CASE WHEN k % 13 <> 0 THEN 'a' END) WHEN ok_a AND (NOT ok_b OR free_a >= free_b) THEN 'a' WHEN ok_b THEN 'b' END AS gpu FROM r),
+r2 AS (SELECT *, CASE gpu WHEN 'a' THEN free_a WHEN 'b' THEN free_b END AS free, CASE gpu WHEN 'a' THEN k % 3 <> 0 WHEN 'b' THEN true END AS bf16, CASE WHEN k % 4 = 0 THEN 64 ELSE 32 END AS rank, CASE WHEN k % 22 = 0 THEN 40 ELSE 16 END AS alpha FROM r1),
+r3 AS (SELECT *, CASE WHEN p10 = 0 THEN 900 ELSE p10 END AS side, CASE WHEN free < 10240 THEN 768 WHEN free < 16384 THEN 896 ELSE 1024 END AS mem FROM r2),
+r4 AS (SELECT *, CASE WHEN k % 9 = 0 THEN 896 ELSE least(CASE WHEN side >= 960 THEN 1024 WHEN side >= 832 THEN 896 ELSE 768 END, CASE WHEN rank >= 64 AND mem > 768 THEN 896 ELSE mem END) END AS resolution FROM r3),
+r5 AS (SELECT *, CASE WHEN k % 10 = 0 THEN 2 WHEN k % 7 = 0 THEN 2 ELSE greatest(1, CASE WHEN resolution = 1024 THEN CASE WHEN free >= 20480 THEN 2 ELSE 1 END WHEN resolution = 896 THEN CASE WHEN free >= 24576 THEN 4 WHEN free >= 14336 THEN 2 ELSE 1 END ELSE CASE WHEN free >= 20480 THEN 4 WHEN free >= 10240 THEN 2 ELSE 1 END END // CASE WHEN rank <= 32 THEN 1 ELSE 2 END) END AS batch FROM r4),
+r6 AS (SELECT *, greatest(1, CAST(ceil(4 / CAST(batch AS DOUBLE)) AS INTEGER)) AS acc, CASE WHEN accepted < 24 THEN 0 ELSE least(8, greatest(2, CAST(round_even(accepted * CAST(0.1 AS DOUBLE), 0) AS INTEGER))) END AS planned FROM r5),
+r7 AS (SELECT *, CASE WHEN vc > 0 THEN vc ELSE planned END AS held, 1000 + CAST(round_even(1200 * least(1, accepted / CAST(40 AS DOUBLE)) * (0.75 + 0.25 * diversity), 0) AS BIGINT) AS target FROM r6),
+r8 AS (SELECT *, greatest(accepted - held, 1) AS images, CAST(target * batch * acc AS DOUBLE) AS work FROM r7),
+r9 AS (SELECT *, CASE WHEN k % 8 = 0 THEN 3 ELSE greatest(1, least(100, ceil(work / (images * CASE WHEN k % 12 = 0 THEN 9 ELSE 8 END)))) END AS repeats FROM r8),
+r10 AS (SELECT *, CASE WHEN k % 12 = 0 THEN 9 ELSE greatest(8, least(100, ceil(work / (images * repeats)))) END AS epochs, CASE WHEN k % 23 = 0 THEN 'Lion' WHEN k % 19 = 0 THEN NULL WHEN k % 2 = 0 THEN 'AdamW8bit' ELSE 'AdamW' END AS optimizer,
+  CASE WHEN k % 29 = 0 OR bf16 THEN 'bf16' ELSE 'fp16' END AS precision FROM r9),
+e AS (SELECT *, CASE WHEN accepted < 8 THEN 'fewer than 8 accepted images' WHEN k % 17 = 0 THEN 'a selected device is missing: c' WHEN gpu IS NULL THEN 'no selected device can run' WHEN alpha > rank THEN 'network_alpha over network_dim'
+  WHEN k % 10 <> 0 AND k % 7 = 0 AND gpu <> 'a' THEN 'the batch size was tried on another device' WHEN vc > 0 AND planned = 0 THEN 'validation images below the threshold' WHEN vc > 0 AND vc NOT BETWEEN 2 AND 8 THEN 'validation images out of limits'
+  WHEN held >= accepted THEN 'no training images are left' WHEN k % 23 = 0 THEN 'the optimizer isn''t there' WHEN optimizer IS NULL THEN 'no optimizer is there' WHEN precision = 'bf16' AND NOT bf16 THEN 'the device has no bf16' END AS error FROM r10)
+SELECT k AS run_id, CASE WHEN error IS NULL THEN CAST(resolution AS INTEGER) END AS resolution, CASE WHEN error IS NULL THEN CAST(batch AS INTEGER) END AS batch_size, CASE WHEN error IS NULL THEN acc END AS gradient_accumulation, CASE WHEN error IS NULL THEN CAST(repeats AS INTEGER) END AS repeats,
+  CASE WHEN error IS NULL THEN CAST(epochs AS INTEGER) END AS epochs, CASE WHEN error IS NULL THEN CAST(ceil(images * repeats * epochs / (batch * acc)) AS BIGINT) END AS estimated_steps, CASE WHEN error IS NULL THEN rank END AS network_dim, CASE WHEN error IS NULL THEN alpha END AS network_alpha,
+  CASE WHEN error IS NULL THEN optimizer END AS optimizer, CASE WHEN error IS NULL THEN precision END AS precision, CASE WHEN error IS NULL THEN precision = 'fp16' END AS no_half_vae, CASE WHEN error IS NULL THEN CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END END AS keep_tokens,
+  CASE WHEN error IS NULL THEN CAST(held AS INTEGER) END AS validation_images, CASE WHEN error IS NULL THEN gpu END AS gpu, CASE WHEN error IS NULL THEN CAST(greatest(256, 8 * rank * 12 + accepted * resolution * resolution // 1000000) AS BIGINT) END AS estimated_disk_mb,
+  CASE WHEN error IS NULL THEN CASE WHEN k % 31 = 0 THEN 0.0005 ELSE 0.0001 END::DOUBLE END AS unet_lr,
+  CASE WHEN error IS NULL THEN concat_ws(',', CASE WHEN k % 4 = 0 THEN 'user_lock' ELSE 'preset' END, CASE WHEN k % 10 = 0 THEN 'user_override' WHEN k % 7 = 0 THEN 'batch_probe:p1' ELSE 'gpu_plan_pending_probe' END,
+    CASE WHEN k % 8 = 0 THEN 'user_lock' ELSE 'dataset_step_plan' END, 'runtime_capability', CASE WHEN k % 31 = 0 THEN 'user_override' ELSE 'preset' END) ELSE '' END AS sources, error FROM e"""
+
+
+def recovery_plans(spark, sf):
+    """Up to nine failures of each run, tried to the end of the ladder."""
+    key, none = F.col("p_partkey"), F.array().cast("array<string>")
+    gpu = lambda uuid, free: F.struct(F.lit(uuid).alias("uuid"), F.lit(True).alias("compatible"), free.cast("int").alias("free_mb"), F.lit(24000).alias("total_mb"))
+    plan = {
+        "resolution": F.when(key % 3 == 0, 1024).otherwise(896), "batch_size": key % 5 + 1, "gradient_accumulation": F.lit(2), "network_dim": F.when(key % 4 == 0, 8).otherwise(64), "network_alpha": F.lit(40), "unet_lr": F.lit(0.0001), "text_encoder_lr": F.lit(0.00001),
+        "optimizer": F.when(key % 2 == 0, "AdamW").otherwise("AdamW8bit"), "no_half_vae": key % 7 == 0, "gradient_checkpointing": key % 3 != 0, "gpu": F.lit("a"),
+    }
+    failures = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.when((key + i) % 6 == 0, "nan_loss").when((key % 50 == 0) & (i == 3), "disk_full").otherwise("cuda_oom"))
+    runs = read(spark, sf, "part").select(
+        key.alias("run_id"), F.struct(*(v.alias(n) for n, v in plan.items())).alias("plan"), failures.alias("failures"), F.array(gpu("a", F.lit(24000)), gpu("b", F.when(key % 8 == 0, 23000).otherwise(9000))).alias("gpus"),
+        F.when(key % 11 == 0, F.array(F.lit("batch_size"))).when(key % 13 == 0, F.array(F.lit("unet_lr"), F.lit("network_alpha"))).otherwise(none).alias("locked"),
+    )
+    found = trainplan.recoveries(runs, "run_id", most=9)
+    return found.select("run_id", "attempt", "failure", "change", "quality_impact", *(F.col("plan")[n].alias(n) for n in ("resolution", "batch_size", "gradient_accumulation", "network_dim", "network_alpha", "optimizer", "no_half_vae", "gradient_checkpointing", "gpu")), F.round(F.col("plan.unet_lr") * 1e9).alias("unet_lr"))
+
+
+_RECOVERIES = """s AS (SELECT p_partkey AS k, 0 AS attempt, NULL::VARCHAR AS failure, 'start'::VARCHAR AS change, CASE WHEN p_partkey % 3 = 0 THEN 1024 ELSE 896 END AS res, CAST(p_partkey % 5 + 1 AS INTEGER) AS batch, 2 AS acc, CASE WHEN p_partkey % 4 = 0 THEN 8 ELSE 64 END AS dim, 40 AS alpha, 0.0001::DOUBLE AS lr,
+  CASE WHEN p_partkey % 2 = 0 THEN 'AdamW' ELSE 'AdamW8bit' END AS opt, p_partkey % 7 = 0 AS vae, p_partkey % 3 <> 0 AS ckpt, 'a' AS gpu, false AS moved FROM part
+UNION ALL SELECT k, attempt, failure, change, CASE WHEN change = 'resolution' THEN CASE WHEN res = 1024 THEN 896 ELSE 768 END ELSE res END, CASE WHEN change = 'batch_size' THEN greatest(1, batch // 2) ELSE batch END, CASE WHEN change = 'batch_size' THEN acc * 2 ELSE acc END,
+  CASE WHEN change = 'network_dim' THEN greatest(8, dim // 2) ELSE dim END, CASE WHEN change = 'network_dim' THEN least(alpha, greatest(8, dim // 2)) ELSE alpha END, CASE WHEN change = 'learning_rate' THEN lr * 0.5 ELSE lr END, CASE WHEN change = 'optimizer' THEN 'AdamW' ELSE opt END,
+  vae OR coalesce(change = 'no_half_vae', false), ckpt OR coalesce(change = 'gradient_checkpointing', false), CASE WHEN change = 'gpu_fallback' THEN 'b' ELSE gpu END, moved OR coalesce(change = 'gpu_fallback', false)
+FROM (SELECT *, CASE WHEN attempt >= 9 THEN NULL WHEN failure = 'cuda_oom' THEN CASE WHEN k % 8 = 0 AND gpu = 'a' AND NOT moved THEN 'gpu_fallback' WHEN k % 11 <> 0 AND batch > 1 AND acc <= 32 THEN 'batch_size' WHEN NOT ckpt THEN 'gradient_checkpointing' WHEN opt <> 'AdamW' THEN 'optimizer'
+    WHEN dim > 8 AND (NOT (k % 13 = 0 AND k % 11 <> 0) OR alpha <= greatest(8, dim // 2)) THEN 'network_dim' WHEN res > 768 THEN 'resolution' END
+  WHEN failure = 'nan_loss' THEN CASE WHEN NOT vae THEN 'no_half_vae' WHEN NOT (k % 13 = 0 AND k % 11 <> 0) THEN 'learning_rate' END END AS change
+  FROM (SELECT k, attempt + 1 AS attempt, CASE WHEN (k + attempt + 1) % 6 = 0 THEN 'nan_loss' WHEN k % 50 = 0 AND attempt + 1 = 3 THEN 'disk_full' ELSE 'cuda_oom' END AS failure, res, batch, acc, dim, alpha, lr, opt, vae, ckpt, gpu, moved FROM s WHERE change IS NOT NULL AND attempt < 9)))"""
+
+
 QUERIES = {
     "embedding_centroid_similarity": (embedding_centroid_similarity, f"WITH {_SIM} SELECT vec_id, round(s, 6) AS similarity FROM sims"),
     "embedding_outlier_threshold": (embedding_outlier_threshold, f"WITH {_SIM} SELECT round(med, 6) AS median, round(mad, 6) AS mad, round(least(0.75, greatest(0, med - greatest(0.1, 3.5 * mad))), 6) AS threshold FROM mads"),
@@ -310,6 +402,8 @@ QUERIES = {
     "plan_batch": (plan_batch, f"WITH {_PLAN} SELECT run_id, CAST(resolution AS INTEGER) AS resolution, CAST(batch AS INTEGER) AS batch, CAST(CASE resolution WHEN 768 THEN 6144 WHEN 896 THEN 8192 ELSE 10240 END + (batch - 1) * 1536 + greatest(rank - 32, 0) * 8 + CASE WHEN run_id % 2 = 0 THEN 2048 ELSE 0 END AS BIGINT) AS vram_mb FROM p3"),
     "plan_steps": (plan_steps, f"WITH {_PLAN} SELECT run_id, target, CAST(repeats AS BIGINT) AS repeats, CAST(epochs AS BIGINT) AS epochs, CAST(ceil(images * repeats * epochs / 4) AS BIGINT) AS steps FROM s3"),
     "vram_ladder": (vram_ladder, "WITH l AS (SELECT s_suppkey AS run_id, (s_suppkey * 37) % 30 * 1024 AS free_mb, list_filter([(s_suppkey % 32 + 1) // d FOR d IN [1, 2, 4, 8, 16, 32]], lambda x: x >= 1) AS ladder FROM supplier) SELECT run_id, array_to_string(ladder, ',') AS ladder, CAST(list_max(list_filter(ladder, lambda b: 8192 + (b - 1) * 1536 <= free_mb)) AS INTEGER) AS batch FROM l"),
+    "training_plans": (training_plans, f"WITH {_TRAINING_PLANS}"),
+    "recovery_plans": (recovery_plans, f"WITH RECURSIVE {_RECOVERIES} SELECT k AS run_id, CAST(attempt AS INTEGER) AS attempt, failure, change, coalesce(change IN ('network_dim', 'resolution', 'learning_rate'), false) AS quality_impact, CAST(res AS INTEGER) AS resolution, CAST(batch AS INTEGER) AS batch_size, CAST(acc AS INTEGER) AS gradient_accumulation, CAST(dim AS INTEGER) AS network_dim, CAST(alpha AS INTEGER) AS network_alpha, opt AS optimizer, vae AS no_half_vae, ckpt AS gradient_checkpointing, gpu, round(lr * 1e9) AS unet_lr FROM s WHERE attempt > 0"),
     "recovery_ladder": (recovery_ladder, f"WITH {_RECOVERY}"),
     "shard_round_robin": (shard_round_robin, f"WITH {_DEVICES}, d AS (SELECT uuid, row_number() OVER (ORDER BY free_mb DESC, device_index) - 1 AS slot, count(*) OVER () AS n FROM devices WHERE compatible), i AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer) SELECT c_custkey, uuid AS device FROM i JOIN d ON place % n = slot"),
     "gpu_assign": (gpu_assign, f"WITH {_DEVICES}, f AS (SELECT * FROM devices WHERE compatible AND device_index % 4 <> 1), t AS (SELECT s_suppkey AS task_id, s_suppkey % 2 = 0 AS train, s_suppkey % 26 * 1024 AS need, CASE WHEN s_suppkey % 3 = 0 THEN 'gpu-' || (s_suppkey % 25) END AS preferred FROM supplier), r AS (SELECT task_id, uuid, row_number() OVER (PARTITION BY task_id ORDER BY CASE WHEN uuid = preferred THEN 0 ELSE 1 END, CASE WHEN train THEN -free_mb ELSE busy END, CASE WHEN train THEN busy ELSE -free_mb END, device_index) AS k FROM t LEFT JOIN f ON free_mb >= need) SELECT task_id, uuid FROM r WHERE k = 1"),
