@@ -6,11 +6,12 @@ from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curato.functions.columns import clamp, hamming, normalize_log
+from curato.functions.columns import clamp, hamming, normalize_log, unit
 from curato.operators.graph import components, materialise
 
 #: Fixed value: comparisons which an all-pairs operator may make; it can be lowered, never raised.
@@ -73,53 +74,83 @@ def hamming_pairs(hashes: DataFrame, key: str, value: str, distance: int, bits:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
-def cosine_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = 512, cells: int = 1024, budget: int | None = None) -> DataFrame:
-    """(a, b, cosine) of all pairs of distinct vectors at or over the threshold, and of each vector's smallest key with the others that have it.
+def cosine_blocks(vectors: DataFrame, threshold: float, block: int = 2048, cells: int = 1024) -> DataFrame:
+    """(cell, kind, i, j, left, right): blocks of vectors (k, v) to be held against each other, every pair of vectors in one of them at most.
 
-    Vectors belong to the cell of the nearest of ``cells`` pivots at most, and visit each cell whose pivot isn't further
-    off than their own and twice the threshold's angle: two vectors within that angle always meet. Cells are cut into
-    blocks, each of which is held against those of its cell. ``budget``, if given, is the number of comparisons that
-    all pairs would make at most.
+    Vectors belong to the cell of the nearest of ``cells`` pivots at most, and visit the later cells whose pivot isn't further
+    off than their own and twice the threshold's angle: of two vectors within that angle the one of the earlier cell visits the other's.
+    A cell's vectors are held against each other and against its visitors. Where the threshold is too low to rule out a cell,
+    that is each pair once. Blocks carry the pair of blocks that they are for, so that no cell is one task's.
     """
-    if budget is not None:
-        check_pair_budget(vectors, budget)
-    first, links = _representatives(vectors, key, vector)
-    first = materialise(first.select(F.col("a").alias("k"), F.col("h").alias("v")), "vectors")
-    n = first.count()
-    pivots = np.array([r.v for r in first.orderBy(F.xxhash64("k"), "k").select("v").limit(min(cells, max(1, n // block))).collect()], float)
-    pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300) if len(pivots) else 1
+    vectors = materialise(vectors.select("k", unit(F.col("v")).alias("v")), "vectors")
+    n = vectors.count()
+    pivots = np.array([r.v for r in vectors.orderBy(F.xxhash64("k"), "k").select("v").limit(min(cells, max(1, n // block))).collect()], float)
     angle = 2 * np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+    kind = {"bigint": pa.int64(), "int": pa.int32()}.get(dict(vectors.dtypes)["k"], pa.string())
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.array(batch["v"].tolist(), float)
-            own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
-            far = np.arccos(np.clip(own @ pivots.T, -1, 1))
+            own = rows_of(batch.column("v"))
+            far = np.arccos(np.clip(own @ pivots.T, -1, 1)) if len(own) else np.zeros((0, len(pivots)))
             home = far.argmin(axis=1)
-            i, cell = np.nonzero(far <= far.min(axis=1)[:, None] + angle)
-            yield pd.DataFrame({"k": batch["k"].to_numpy()[i], "v": list(own[i]), "cell": cell, "home": cell == home[i]})
-
-    if not n:
-        return links.select("a", "b", F.lit(1.0).alias("cosine"))
-    rows = materialise(first.mapInPandas(visit, "k long, v array<double>, cell int, home boolean"), "cells")
-    sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / block).alias("blocks"))
+            later = np.arange(len(pivots))[None, :] > home[:, None]
+            i, cell = np.nonzero((far <= far.min(axis=1, initial=np.inf)[:, None] + angle) & later)
+            at = np.concatenate((np.arange(len(own)), i))
+            data = pa.array([x.tobytes() for x in own], pa.binary())
+            columns = [batch.column("k").cast(kind).take(pa.array(at)), data.take(pa.array(at)), pa.array(np.concatenate((home, cell)).astype(np.int32)), pa.array(np.arange(len(at)) < len(own))]
+            yield pa.record_batch(columns, ["k", "v", "cell", "home"])
+
+    rows = materialise(vectors.mapInArrow(visit, f"k {dict(vectors.dtypes)['k']}, v binary, cell int, home boolean"), "cells")
+    sizes = rows.groupBy("cell").agg(*(F.ceil(F.count_if(c) / block).cast("int").alias(name) for c, name in ((F.col("home"), "homes"), (~F.col("home"), "visits"))))
     # As many rows as there are cells.
-    dealt = rows.join(F.broadcast(sizes), "cell").withColumn("i", F.pmod(F.xxhash64("k"), F.col("blocks")))
-    packed = dealt.groupBy("cell", "i").agg(F.collect_list(F.struct("k", "v", "home")).alias("rows"))
-    both = packed.select("cell", "i", F.col("rows").alias("left")).join(packed.select("cell", F.col("i").alias("j"), F.col("rows").alias("right")), "cell").where("i <= j")
+    dealt = rows.join(F.broadcast(sizes), "cell").withColumn("at", F.pmod(F.xxhash64("k"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("visits"))).cast("int"))
+    packed = materialise(dealt.groupBy("cell", "home", "homes", "visits", "at").agg(F.collect_list(F.struct("k", "v")).alias("rows")), "blocks")
+    own, guests = packed.where("home"), packed.where("not home")
+    upto = lambda low, high: F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
+    at, zero = F.col("at"), F.lit(0)
+    left = own.select("cell", "rows", F.explode(F.concat(F.transform(upto(at, F.col("homes")), lambda j: F.struct(F.lit("own").alias("kind"), at.alias("i"), j.alias("j"))), F.transform(upto(zero, F.col("visits")), lambda j: F.struct(F.lit("guest").alias("kind"), at.alias("i"), j.alias("j"))))).alias("p"))
+    right = own.select("cell", "rows", F.lit("own").alias("kind"), F.explode(upto(zero, at + 1)).alias("i"), at.alias("j")).unionByName(guests.select("cell", "rows", F.lit("guest").alias("kind"), F.explode(upto(zero, F.col("homes"))).alias("i"), at.alias("j")))
+    return left.select("cell", "p.*", F.col("rows").alias("left")).join(right.withColumnRenamed("rows", "right"), ["cell", "kind", "i", "j"])
+
+
+def rows_of(vectors: pa.Array) -> np.ndarray:
+    """A matrix of an Arrow array of lists of equal length."""
+    if not len(vectors):
+        return np.zeros((0, 0))
+    return np.asarray(vectors.flatten()).astype(float).reshape(len(vectors), -1)
+
+
+def packed_rows(block: pa.Scalar) -> tuple[pa.Array, np.ndarray]:
+    """(keys, matrix) of a block of (k, v) whose vectors are the bytes of doubles."""
+    keys, data = block.values.field("k"), block.values.field("v").to_pylist()
+    return keys, np.frombuffer(b"".join(data), float).reshape(len(data), -1)
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = lambda rows: (np.array([r["k"] for r in rows]), np.array([r["v"] for r in rows], float), np.array([r["home"] for r in rows]))
+
+def cosine_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = 2048, cells: int = 1024, budget: int | None = None) -> DataFrame:
+    """(a, b, cosine) of all pairs of distinct vectors at or over the threshold, and of each vector's smallest key with the others that have it.
+
+    Vectors meet in blocks (see ``cosine_blocks``), each pair once at most. A vector of zeros is an error. ``budget``, if given, is the
+    number of comparisons that all pairs would make at most.
+    """
+    if budget is not None:
+        check_pair_budget(vectors, budget)
+    first, links = _representatives(vectors, key, vector)
+    blocks = cosine_blocks(first.select(F.col("a").alias("k"), F.col("h").alias("v")), threshold, block, cells)
+    kind = dict(vectors.dtypes)[key]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, left, right in batch.itertuples(index=False):
-                (k1, v1, own1), (k2, v2, own2) = unpack(left), unpack(right)
+            for row in range(len(batch)):
+                (k1, v1), (k2, v2) = packed_rows(batch.column("left")[row]), packed_rows(batch.column("right")[row])
                 found = v1 @ v2.T
-                # A pair that meets in several cells counts in the home of its smaller key.
-                home = np.where(k1[:, None] < k2[None, :], own1[:, None], own2[None, :])
-                a, b = np.nonzero((found >= threshold) & home & ((k1[:, None] < k2[None, :]) if i == j else True))
-                yield pd.DataFrame({"a": np.minimum(k1[a], k2[b]), "b": np.maximum(k1[a], k2[b]), "cosine": found[a, b]})
-
-    pairs = both.select("i", "j", "left", "right").mapInPandas(multiply, "a long, b long, cosine double")
+                hit = found >= threshold
+                if batch.column("kind")[row].as_py() == "own" and batch.column("i")[row] == batch.column("j")[row]:
+                    hit = np.triu(hit, 1)
+                x, y = np.nonzero(hit)
+                a, b = k1.take(pa.array(x)), k2.take(pa.array(y))
+                yield pa.record_batch([pc.if_else(pc.less(a, b), a, b), pc.if_else(pc.less(a, b), b, a), pa.array(found[x, y])], ["a", "b", "cosine"])
+
+    pairs = blocks.select("kind", "i", "j", "left", "right").mapInArrow(multiply, f"a {kind}, b {kind}, cosine double")
     return pairs.unionByName(links.select("a", "b", F.lit(1.0).alias("cosine")))
 
 

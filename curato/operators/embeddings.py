@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curato.functions.columns import clamp, dot, unit
+from curato.operators.duplicates import rows_of
 from curato.operators.statistics import exact_median
 
 #: Limits of the robust outlier threshold.
@@ -47,27 +48,31 @@ def outliers(vectors: DataFrame, key: str, vector: str, **limits) -> DataFrame:
 def nearest(queries: DataFrame, references: DataFrame, key: str, vector: str, block: int = 1024, skip_self: bool = True) -> DataFrame:
     """(key, other, cosine): the nearest reference of each query, ties to the smallest key; with ``skip_self`` none has its own key.
 
-    References go in blocks: each block is compared with all queries, and the best of the blocks is taken.
+    Queries and references go in blocks, and each block of queries carries the block of references that it is for: all of them are
+    compared, in as many tasks as there are pairs of blocks, and the best of the blocks is taken. A vector of zeros is an error.
     """
-    n = max(1, -(-references.count() // block))
-    packed = references.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("b"), F.struct(F.col(key).alias("k"), F.col(vector).alias("v")).alias("r")).groupBy("b").agg(F.collect_list("r").alias("rows"))
-    rows = queries.select(F.col(key).alias("k"), F.col(vector).alias("v"))
-    chunks = rows.withColumn("c", F.pmod(F.xxhash64("k"), F.lit(max(1, -(-queries.count() // block))))).groupBy("c").agg(F.collect_list(F.struct("k", "v")).alias("own"))
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(rows: DataFrame, other: int, own: str, mate: str) -> DataFrame:
+        n = max(1, -(-rows.count() // block))
+        unit_rows = rows.select(F.col(key).alias("k"), unit(F.col(vector)).alias("v")).withColumn(own, F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
+        blocks = unit_rows.groupBy(own).agg(F.collect_list(F.struct("k", "v")).alias(f"{own}_rows"))
+        return blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(mate))
+
+    counts = [max(1, -(-rows.count() // block)) for rows in (queries, references)]
+    pairs = packed(queries, counts[1], "q", "r").join(packed(references, counts[0], "r", "q"), ["q", "r"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, other in zip(batch["own"], batch["rows"]):
-                k1, v1 = np.array([r["k"] for r in own]), np.array([r["v"] for r in own], float)
-                k2, v2 = np.array([r["k"] for r in other]), np.array([r["v"] for r in other], float)
+            for row in range(len(batch)):
+                (k1, v1), (k2, v2) = ((np.asarray(s.values.field("k")), rows_of(s.values.field("v"))) for s in (batch.column(c)[row] for c in ("q_rows", "r_rows")))
                 order = np.argsort(k2)
-                k2, v2 = k2[order], v2[order]
-                found = (v1 / np.linalg.norm(v1, axis=1, keepdims=True)) @ (v2 / np.linalg.norm(v2, axis=1, keepdims=True)).T
+                k2 = k2[order]
+                found = v1 @ v2[order].T
                 if skip_self:
                     found[k1[:, None] == k2[None, :]] = -2
                 at = found.argmax(axis=1)
-                yield pd.DataFrame({"k": k1, "other": k2[at], "cosine": found[np.arange(len(k1)), at]})
+                yield pa.record_batch([pa.array(k1), pa.array(k2[at]), pa.array(found[np.arange(len(k1)), at])], ["k", "other", "cosine"])
 
-    # Every block of queries meets every block of references: a stated set of queries against all rows.
-    pairs = chunks.crossJoin(packed).select("own", "rows").mapInPandas(best, "k long, other long, cosine double")
-    top = pairs.groupBy("k").agg(F.max(F.struct("cosine", (-F.col("other")).alias("o"))).alias("t"))
+    compared = pairs.select("q_rows", "r_rows").mapInArrow(best, "k long, other long, cosine double").where("cosine > -2")
+    top = compared.groupBy("k").agg(F.max(F.struct("cosine", (-F.col("other")).alias("o"))).alias("t"))
     return top.select(F.col("k").alias(key), (-F.col("t.o")).alias("other"), F.col("t.cosine").alias("cosine"))

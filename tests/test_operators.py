@@ -150,6 +150,52 @@ def test_hamming_bands_equal_all_pairs(spark):
     assert classes(few) == classes(found)
 
 
+@pytest.mark.parametrize("threshold,block", [(0.9, 40), (0.4, 40), (-0.5, 64), (0.995, 7)])
+def test_cosine_pairs_are_compared_once(spark, threshold, block):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(150, 6))
+    vectors = np.concatenate((base, base[:60] + rng.normal(0, 0.05, (60, 6)), base[:5]))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>").repartition(4)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    first = {v.tobytes(): i for i, v in reversed(list(enumerate(vectors)))}
+    own = sorted(first.values())
+    want = {(i, j): float(unit[i] @ unit[j]) for i in own for j in own if i < j and unit[i] @ unit[j] >= threshold}
+    want |= {(first[v.tobytes()], j): 1.0 for j, v in enumerate(vectors) if first[v.tobytes()] != j}
+    found = duplicates.cosine_pairs(rows, "id", "v", threshold, block=block).collect()
+    assert len(found) == len(want) and {(r.a, r.b): r.cosine for r in found} == pytest.approx(want)
+
+
+def test_comparisons_of_many_vectors(spark):
+    # Twenty thousand vectors: at a low threshold every pair meets once, at a high one few do.
+    rows = spark.range(1, 20_001).select(F.col("id").alias("k"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("id") * i * 12.9898)).alias("v"))
+    n = 20_000
+    for threshold, share in ((0.4, 1.0), (0.999, 0.6)):
+        blocks = duplicates.cosine_blocks(rows, threshold)
+        sizes = blocks.select("kind", "i", "j", F.size("left").cast("long").alias("l"), F.size("right").cast("long").alias("r"))
+        same = (F.col("kind") == "own") & (F.col("i") == F.col("j"))
+        made = sizes.agg(F.sum(F.when(same, F.col("l") * (F.col("l") - 1) / 2).otherwise(F.col("l") * F.col("r")))).first()[0]
+        assert made <= share * n * (n - 1) / 2
+
+
+def test_nearest_and_vectors_of_zeros(spark):
+    rng = np.random.default_rng(5)
+    q, r = rng.normal(size=(70, 5)), rng.normal(size=(90, 5))
+    r[7] = r[3]
+    frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>").repartition(3)
+    u, w = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (q, r))
+    for skip in (True, False):
+        cos = u @ w.T
+        if skip:
+            cos[np.arange(70), np.arange(70)] = -2
+        found = {x.id: (x.other, x.cosine) for x in embeddings.nearest(frame(q), frame(r), "id", "v", block=16, skip_self=skip).collect()}
+        assert found == {i: (int(c.argmax()), pytest.approx(float(c.max()))) for i, c in enumerate(cos)}
+    assert embeddings.nearest(frame(q[:1]), frame(q[:1]), "id", "v").collect() == []
+    with pytest.raises(Exception, match="zero"):
+        embeddings.nearest(frame(np.zeros((2, 3))), frame(np.ones((3, 3))), "id", "v").collect()
+    with pytest.raises(Exception, match="zero"):
+        duplicates.cosine_pairs(frame(np.zeros((2, 3))), "id", "v", 0.5).collect()
+
+
 def test_merged_groupings(spark):
     one = spark.createDataFrame([("a", "1"), ("b", "1"), ("single", "2")], "member string, group string")
     two = spark.createDataFrame([("b", "x"), ("c", "x")], "member string, group string")
