@@ -28,8 +28,8 @@ SHORT, TINY = 20, 5
 PARTS = 64
 #: Nodes of a key that each is held against in a further round, and rows held against each other at a time.
 NEIGHBOURS, BLOCK = 96, 20_000
-#: Rounds end when one adds no more than this part of the links there are.
-GAIN = 100
+#: Rounds of a large key before it is left as it is when a round links none of its texts.
+ROUNDS = 2
 #: Ways to sum a bag's counts, of which each further round takes the next.
 SIGNS = 8
 #: Buckets of a text's bag of words: each edit changes two of them by one at most, which bounds the edits from below.
@@ -245,15 +245,16 @@ def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, sketched: DataFrame, turn: int, least: float) -> DataFrame:
-    """(a, b, key): pairs of nodes of a key with different labels; a row (node, null, key) for each of a key cut by the end of a block.
+    """(a, b, key): pairs of nodes of a key with different labels.
 
     The nodes of a key are sorted by a sum of their bags' counts with the turn's signs, which differ little where texts
     do, and each is held against the NEIGHBOURS after it. Pairs too unlike by their numbers of words, in all or in the
-    buckets, are left out, and pairs that share several hash functions' keys count in the first of these. Ranges of keys
-    and sums make the tasks, so that none gets all of a key.
+    buckets, are left out, and pairs that share several hash functions' keys count in the first of these. Keys of no more
+    nodes than are held against each other are whole in a task; of larger ones ranges of sums make the tasks, so that none
+    gets all of a key.
     """
     # A table of its own: dealing by ranges reads it twice.
-    held = materialise(rows.select("key", "node", "label").join(sketched.select("node", "size", "bag", "bands", F.col("sums")[turn % SIGNS].alias("at")), "node"), "held")
+    held = materialise(rows.select("key", "node", "label", "n").join(sketched.select("node", "size", "bag", "bands", F.col("sums")[turn % SIGNS].alias("at")), "node"), "held")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -280,14 +281,25 @@ def neighbours(rows: DataFrame, sketched: DataFrame, turn: int, least: float) ->
                     out.append((node[some], node[some + shift], key[some]))
             a, b, of = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
             a, b = np.minimum(a, b), np.maximum(a, b)
-            # The first and the last key of a block may go on beyond it.
-            cut = np.flatnonzero(((key == key[0]) | (key == key[-1])) & (np.arange(len(key)) >= old))
-            nulls = np.concatenate((np.zeros(len(a), bool), np.ones(len(cut), bool)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, node[cut]))), pa.array(np.concatenate((b, node[cut])), mask=nulls), pa.array(np.concatenate((of, key[cut])))], ["a", "b", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(of)], ["a", "b", "key"])
             kept = [c[-NEIGHBOURS:] for c in (key, node, label, size, bags, bands)]
 
-    ordered = held.repartitionByRange("key", "at", "node").sortWithinPartitions("key", "at", "node")
-    return ordered.mapInArrow(compare, "a:long,b:long,key:long")
+    order = ("key", "at", "node")
+    whole = held.where(F.col("n") <= NEIGHBOURS + 1).repartition("key").sortWithinPartitions(*order)
+    parted = held.where(F.col("n") > NEIGHBOURS + 1).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = (part.mapInArrow(compare, "a:long,b:long,key:long") for part in (whole, parted))
+    return next(found).unionByName(next(found))
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, label) after further links (a, b): only labels that a link joins are looked at again."""
+    own = lambda node: labels.select(F.col("node").alias(node), F.col("label").alias(f"{node}_label"))
+    ends = links.select("a", "b").join(own("a").hint("merge"), "a", "left").join(own("b").hint("merge"), "b", "left")
+    ends = materialise(ends.select("a", "b", F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y")), "ends")
+    joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("further"))
+    fresh = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("label")), F.struct(F.col("b").alias("node"), F.col("y").alias("label")))).alias("s")).select("s.*").where("node = label").distinct()
+    every = labels.unionByName(fresh.join(labels.select("node").hint("merge"), "node", "left_anti"))
+    return materialise(every.join(joined.hint("merge"), "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,17 +362,22 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     while True:
         rest = mixed(left, labels)
         found = materialise(neighbours(rest, keyed, turn, least), "neighbours")
-        pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
-        pairs = materialise(pairs.join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        pairs = materialise(found.select("a", "b").distinct().join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         more = materialise(verified(pairs, docs, doc_id, text, least), "links")
-        found_now, found_before = more.count(), links.count()
-        links, compared = links.unionByName(more), compared.unionByName(pairs)
-        labels, turn = components(links) if found_now else labels, turn + 1
-        if found_now * GAIN <= found_before:
+        turn += 1
+        linked = more.limit(1).count() > 0
+        if linked:
+            links, labels = links.unionByName(more), relabelled(labels, more)
+        compared = compared.unionByName(pairs)
+        # Small keys are done. A large one goes on while its rounds link texts of it, whatever the others do.
+        large = rest.where(F.col("n") > NEIGHBOURS + 1).select("key", "node")
+        if turn >= ROUNDS:
+            if not linked:
+                break
+            large = large.join(found.join(more.select("a", "b").hint("merge"), ["a", "b"]).select("key").distinct().hint("merge"), "key", "left_semi")
+        left = materialise(large, "left")
+        if not left.limit(1).count():
             break
-        # Whole keys of few nodes are done.
-        large = F.col("n") > NEIGHBOURS + 1
-        left = rest.where(large).select("key", "node").unionByName(found.where("b IS NULL").select("key", F.col("a").alias("node"))).distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     made = reps.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").join(degree, "rep", "left")
     made = materialise(made.select("sha", "n_key", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
@@ -374,7 +391,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Ids are whole numbers; rows with one id count as one document, so that their texts share a class; a null id stands
     for the text, and a class of such rows alone has no id. A class is a component of similar pairs that share a key: a
     first round compares few pairs of each key, further rounds neighbours among those that it left in different classes,
-    until a round adds a hundredth of the links at most. Links are the
+    key by key, until a round links none of a key's texts. Links are the
     distinct similar texts met on the way for the row's own: pairs of one class are not all compared, so they are at
     most the similar texts there are. An empty table gives no rows.
     """

@@ -118,6 +118,24 @@ def test_pairs_among_thousands_with_a_common_passage(spark):
     assert sum(found[5000 + i] == found[i] for i in range(100)) >= 90 and len(set(found.values())) >= 5000
 
 
+def test_what_else_is_there_changes_no_links(spark):
+    """Pairs among texts that share sixty words are the same whether many easy pairs lie elsewhere or not."""
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [passage + [f"t{rng.randrange(10**7)}" for _ in range(40)] for _ in range(1500)]
+    texts += [passage + _edited(t[60:], rng, 8) for t in texts[:300]]
+    easy = [[f"e{rng.randrange(10**8)}" for _ in range(30)] for _ in range(5000)]
+    easy += [t[:-1] + ["other"] for t in easy]
+    found = []
+    for more in ([], easy):
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + more)], "doc_id long, text string")
+        classes = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+        found.append([classes[i] for i in range(len(texts))])
+        assert sum(classes[1500 + i] == classes[i] for i in range(300)) >= 285
+        assert sum(classes[len(texts) + i] == classes[len(texts) + 5000 + i] for i in range(5000 if more else 0)) == (5000 if more else 0)
+    assert sum(a != b for a, b in zip(*found)) <= 3
+
+
 def test_recall_on_the_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
