@@ -55,7 +55,8 @@ def picture_embeddings(spark, sf):
 
 def picture_tags(spark, sf):
     rows = models.tag_pictures(embedding_pictures(spark, sf), "vec_id", models.ColourTagger())
-    return rows.select("vec_id", "model_id", "place", "tag", F.round("score", 6).alias("score"), "model_category", "selected")
+    # Scores are sums of 1024 bytes over their greatest: whole numbers have no ties to round.
+    return rows.select("vec_id", "model_id", "place", "tag", F.round(F.col("score") * (255 * SIDE * SIDE)).cast("long").alias("level"), "model_category", "selected")
 
 
 _PIXELS = f"""px AS (SELECT vec_id * {{n}} + copy AS vec_id, c, x, y, CAST(greatest(0, least(255, floor(127.5 + 400 * CAST(embedding[1 + CASE c WHEN 0 THEN (y // 4) * 8 + x // 4 WHEN 1 THEN 63 - (y // 4) * 8 - x // 4 ELSE (x // 4) * 8 + y // 4 END] AS DOUBLE)) + (x * (c + 2) + y * 3) % 32 - 16 + copy * (x % 3) * 4)) AS BIGINT) AS v
@@ -103,7 +104,7 @@ lum AS (SELECT vec_id, x, y, ((sum(v * CASE c WHEN 0 THEN 19595 WHEN 1 THEN 3847
 s AS (SELECT vec_id, c AS place, avg(v) / 255 AS score FROM px GROUP BY ALL UNION ALL SELECT vec_id, 3, avg(l) FROM lum GROUP BY ALL UNION ALL SELECT vec_id, 4, max(l) - min(l) FROM lum GROUP BY ALL)"""
 
 QUERIES = {
-    "picture_tags": (picture_tags, f"WITH {_TAGS} SELECT vec_id, 'curato/colour' AS model_id, CAST(place AS INTEGER) AS place, ['red', 'green', 'blue', 'bright', 'contrast'][place + 1] AS tag, round(score, 6) AS score, CASE WHEN place < 3 THEN 'general' WHEN place = 3 THEN 'rating' ELSE 'character' END AS model_category, score > CASE WHEN place < 3 THEN 0.35 WHEN place = 3 THEN 0 ELSE 0.85 END AS selected FROM s"),
+    "picture_tags": (picture_tags, f"WITH {_TAGS} SELECT vec_id, 'curato/colour' AS model_id, CAST(place AS INTEGER) AS place, ['red', 'green', 'blue', 'bright', 'contrast'][place + 1] AS tag, CAST(round(score * 261120) AS BIGINT) AS level, CASE WHEN place < 3 THEN 'general' WHEN place = 3 THEN 'rating' ELSE 'character' END AS model_category, score > CASE WHEN place < 3 THEN 0.35 WHEN place = 3 THEN 0 ELSE 0.85 END AS selected FROM s"),
     "picture_hashes": (picture_hashes, f"WITH {_HASHES.format(n=1)} SELECT vec_id, phash FROM hashes"),
     "picture_hash_pairs": (picture_hash_pairs, f"WITH {_HASHES.format(n=2)}, f AS (SELECT phash, min(vec_id) AS a FROM hashes GROUP BY phash) SELECT least(x.a, y.a) AS a, greatest(x.a, y.a) AS b, CAST(bit_count(xor(x.phash, y.phash)) AS INTEGER) AS distance FROM f x JOIN f y ON x.phash < y.phash AND bit_count(xor(x.phash, y.phash)) <= {NEAR} UNION ALL SELECT a, vec_id, 0 FROM hashes JOIN f USING (phash) WHERE vec_id <> a"),
     "picture_descriptors": (picture_descriptors, f"WITH {_DESCRIPTORS} SELECT vec_id, CAST(place AS INTEGER) AS place, round(x, 6) AS x FROM descriptors"),
