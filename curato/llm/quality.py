@@ -127,14 +127,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], axes: int
     return made
 
 
-_ROW = T.StructType([T.StructField("columns", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
+#: What a sampled text becomes: arrays as their bytes, so that the driver holds no number as an object.
+_ROW = T.StructType([T.StructField("columns", T.BinaryType()), T.StructField("values", T.BinaryType())])
 
 
 def _vectors(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     seen: dict[bytes, tuple[int, ...]] = {}
     for batch in texts:
         rows = [vector(t.as_py(), seen) for t in batch]
-        yield pa.StructArray.from_arrays([pa.array([c for c, _ in rows], pa.list_(pa.int64())), pa.array([v for _, v in rows], pa.list_(pa.float64()))], ["columns", "values"])
+        yield pa.StructArray.from_arrays([pa.array([c.astype(np.int32).tobytes() for c, _ in rows], pa.binary()), pa.array([v.astype(np.float64).tobytes() for _, v in rows], pa.binary())], ["columns", "values"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, training=None) -> Voters:
@@ -143,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, training=Non
     The driver gets as many numbers of a row as there are terms, at most, and no texts.
     """
     rows = sampled(docs, labels, "quality", sample, training).select("doc_id", "label", F.arrow_udf(_vectors, _ROW).asNondeterministic()("text").alias("f")).orderBy("doc_id").select("label", "f.*").collect()
-    return fit([(np.array(r.columns, np.int64), np.array(r["values"], float)) for r in rows], [int(r.label) for r in rows])
+    return fit([(np.frombuffer(r.columns, np.int32).astype(np.int64), np.frombuffer(r["values"], float)) for r in rows], [int(r.label) for r in rows])
 
 
 def score(docs: DataFrame, voters: Voters, text: str = "text") -> DataFrame:

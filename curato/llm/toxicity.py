@@ -129,14 +129,15 @@ def fit(y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], grades: int =
     return Ordinal(w, theta)
 
 
-_ROW = T.StructType([T.StructField(name, T.ArrayType(kind)) for name, kind in (("columns", T.LongType()), ("values", T.DoubleType()), ("stems", T.LongType()), ("counts", T.LongType()))])
+#: What a sampled text becomes: arrays as their bytes, so that the driver holds no number as an object.
+_KINDS = {"columns": np.int32, "values": np.float64, "stems": np.int64, "counts": np.int32}
+_ROW = T.StructType([T.StructField(name, T.BinaryType()) for name in _KINDS])
 
 
 def _features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
     for batch in texts:
         rows = [(*features(t.as_py()), *stems(t.as_py())) for t in batch]
-        yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.list_(kind)) for i, kind in enumerate(kinds)], ["columns", "values", "stems", "counts"])
+        yield pa.StructArray.from_arrays([pa.array([r[i].astype(kind).tobytes() for r in rows], pa.binary()) for i, kind in enumerate(_KINDS.values())], list(_KINDS))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, training=None) -> Ordinal:
@@ -147,8 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, training=Non
     rows = sampled(docs, labels, "toxic", sample, training).select("doc_id", "label", F.arrow_udf(_features, _ROW).asNondeterministic()("text").alias("f")).orderBy("doc_id").select("label", "f.*").collect()
     if not rows:
         return Ordinal(np.zeros(BUCKETS), np.full(GRADES - 1, 10.0) + np.arange(GRADES - 1))
-    y, _ = grade_of([int(r.label) for r in rows], [(np.array(r.stems, np.int64), np.array(r.counts, np.int64)) for r in rows])
-    return fit(y, [(np.array(r.columns, np.int64), np.array(r["values"], float)) for r in rows])
+    array = lambda row, name: np.frombuffer(row[name], _KINDS[name])
+    y, _ = grade_of([int(r.label) for r in rows], [(array(r, "stems"), array(r, "counts")) for r in rows])
+    return fit(y, [(array(r, "columns"), array(r, "values")) for r in rows])
 
 
 _TYPE = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("toxicity", T.DoubleType()), T.StructField("grade", T.IntegerType())])
