@@ -12,9 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curato.llm.common import materialise
+
 K, S = 4, 2
-#: Ids of a bucket are consecutive; neighbours across buckets are found from one row for each bucket.
-BUCKET_BITS = 10
+#: Rows of a bucket of consecutive ids, and how many buckets there are at most; beyond that they get larger.
+PER_BUCKET, BUCKETS = 1024, 1 << 14
+#: Stands for a null id.
+LEAST = -(1 << 63)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -66,24 +70,61 @@ def anchor_positions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return docs.select(F.col(doc_id), F.explode(found).alias("a")).select(doc_id, "a.position", "a.anchor")
 
 
-def with_next(docs: DataFrame, doc_id: str, text: str, bits: int = BUCKET_BITS) -> DataFrame:
+def _cuts(ids: DataFrame, per_bucket: int, most: int) -> tuple[list[int], dict[int, int]]:
+    """Where buckets of ids begin, and the number of slices of each id that holds a bucket's share of rows or more.
+
+    The driver gets a few numbers for each of ``most`` buckets, whatever the rows: ids drawn by their hash, of which
+    every eighth is a cut, and the hot ids, which are buckets of their own.
+    """
+    total = ids.count()
+    n = min(most, max(1, total // per_bucket))
+    if n == 1:
+        return [], {}
+    counts = ids.groupBy("id").agg(F.count("*").alias("c"))
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(8 * n * (1 << 40) // total)
+    found = sorted((r["id"], r.c) for r in counts.where(drawn | (F.col("c") * n >= total)).collect())
+    slices = {i: -(-c * n // total) for i, c in found if c * n >= total}
+    after = {i + 1 for i in slices if i < -(LEAST + 1)}
+    return sorted({i for i, _ in found[4::8]} | set(slices) | after), slices
+
+
+def _placed(rows: DataFrame, cuts: list[int], slices: dict[int, int]) -> DataFrame:
+    """Adds the ``bucket`` of ``id`` and, for hot ids, the ``slice`` of ``tie``; both go up with what they cut."""
+    bucket, at = F.lit(0), F.lit(0)
+    if cuts:
+        starts = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+        steps = F.array(*(F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)))
+        bucket = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(starts, low + step - 1) <= F.col("id"), low + step).otherwise(low))
+    if slices:
+        hot = rows.sparkSession.createDataFrame(list(slices.items()), "id long, n_slices long")
+        rows = rows.join(F.broadcast(hot), "id", "left")
+        high = F.shiftright("tie", 32) + F.lit(1 << 31)
+        at = F.shiftright(high * F.coalesce("n_slices", F.lit(1)), 32).cast("int")
+    return rows.select("doc_id", "id", "tie", "text", bucket.alias("bucket"), at.alias("slice"))
+
+
+def with_next(docs: DataFrame, doc_id: str, text: str, per_bucket: int = PER_BUCKET, most: int = BUCKETS) -> DataFrame:
     """(doc_id, text, next): next is the text of the following row by descending id; after the last comes the first.
 
-    Rows with one id follow each other by descending text, a null id comes last, a null text is empty. Ids go to
-    buckets of consecutive ones; the first text of each bucket, and of each bucket of buckets, links them.
+    Ids are long numbers, a null one counts as the least of all, a null text is empty. Rows of one id follow each other
+    by descending hash of their text, repeated rows one after another. Ids go to buckets of about as many rows, however
+    they are spread; a hot id is cut by that hash. Only the first row's key of each bucket goes to one task.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("b1", F.coalesce(F.shiftright("doc_id", bits), F.lit(-(1 << 62))))
-    order = [F.desc_nulls_last("doc_id"), F.desc("text")]
-    first = lambda by, value: F.max_by("text", F.struct(*by)).alias(value)
-    heads = rows.groupBy("b1").agg(first([F.coalesce("doc_id", F.lit(-(1 << 62))), "text"], "text")).withColumn("b2", F.shiftright("b1", bits))
-    tops = heads.groupBy("b2").agg(first(["b1"], "text"))
-    turn = Window.orderBy(F.desc("b2"))
+    number = F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST)).alias("id")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), number, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = _placed(rows.withColumn("tie", F.xxhash64("text")), *_cuts(docs.select(number), per_bucket, most))
+    place = ["bucket", "slice"]
+    heads = materialise(rows.groupBy(*place).agg(F.max(F.struct("id", "tie")).alias("key")).select(*place, "key.*"), "heads")
+    turn = Window.orderBy(*map(F.desc, place))
     whole = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = tops.select("b2", F.coalesce(F.lead("text").over(turn), F.first("text").over(whole)).alias("after"))
-    heads = heads.select("b1", "b2", F.lead("text").over(Window.partitionBy("b2").orderBy(F.desc("b1"))).alias("n")).join(tops, "b2").select("b1", F.coalesce("n", "after").alias("after"))
-    inside = rows.withColumn("next", F.lead("text").over(Window.partitionBy("b1").orderBy(*order)))
-    return inside.join(heads, "b1").select("doc_id", "text", F.coalesce("next", "after").alias("next"))
+    following = lambda c: F.coalesce(F.lead(c).over(turn), F.first(c).over(whole)).alias(c)
+    # At most a few keys for each of ``most`` buckets.
+    keys = F.broadcast(heads.select("id", "tie"))
+    texts = rows.join(keys, ["id", "tie"]).groupBy("id", "tie").agg(F.max("text").alias("after"))
+    after = heads.select(*place, following("id"), following("tie")).join(texts, ["id", "tie"]).select(*place, "after")
+    order = [F.desc("id"), F.desc("tie"), F.desc("text")]
+    inside = rows.withColumn("next", F.lead("text").over(Window.partitionBy(*place).orderBy(*order)))
+    return inside.join(after, place).select("doc_id", "text", F.coalesce("next", "after").alias("next"))
 
 
 def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -38,7 +38,7 @@ def test_fingerprints_equal_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") * 97 - 3000).alias("doc_id"), "text")
     odd = spark.createDataFrame([(10**7, None), (10**7 + 1, ""), (10**7 + 2, "x y " * 9000), (10**7 + 2, "tie"), (None, "no id")], docs.schema)
     docs = docs.unionByName(odd)
-    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""), reverse=True)
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, _signed(_h([(r.text or "").encode()]))), reverse=True)
     want = {}
     for row, after in zip(rows, rows[1:] + rows[:1]):
         text, other = row.text or "", after.text or ""
@@ -55,6 +55,34 @@ def test_fingerprints_equal_brute_force(spark, sf):
     assert syncmers.fingerprint_edits(docs.limit(0)).count() == 0
 
 
+def _followed(rows):
+    """The (id, text, next text) of all rows, by sorting them on the spot."""
+    key = lambda r: (-(1 << 63) if r[0] is None else r[0], _signed(_h([(r[1] or "").encode()])))
+    own = sorted(rows, key=key, reverse=True)
+    return sorted(((i, t or "", n or "") for (i, t), (_, n) in zip(own, own[1:] + own[:1])), key=repr)
+
+
+@pytest.mark.parametrize("per_bucket", [1, 16, 10_000])
+def test_next_documents_of_sparse_hot_and_null_ids(spark, per_bucket):
+    """Hashed ids, an id and nulls that hold a third of all rows each, repeated rows, and both ends of the numbers."""
+    rows = [(_signed(_h([i])), f"text {i}") for i in range(400)] + [(77, f"hot {i % 350}") for i in range(400)] + [(None, f"none {i}") for i in range(398)]
+    rows += [((1 << 63) - 1, "last"), (-(1 << 63), "first")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("next", F.lit("clash"))
+    found = syncmers.with_next(docs.repartition(5), "doc_id", "text", per_bucket)
+    assert sorted(map(tuple, found.collect()), key=repr) == _followed(rows)
+
+
+def test_buckets_of_ids_are_even(spark):
+    """Neither hashed ids nor a hot one put many rows in a bucket, and what one task puts in order has no texts."""
+    ids = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.xxhash64("id")).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    rows = ids.select("doc_id", F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("tie"))
+    cuts, slices = syncmers._cuts(rows.select("id"), 256, 1 << 14)
+    assert set(slices) == {5}
+    sizes = [r["count"] for r in syncmers._placed(rows, cuts, slices).groupBy("bucket", "slice").count().collect()]
+    assert max(sizes) < 256 * 5 and len(sizes) > 120
+    assert len(syncmers._cuts(rows.select("id"), 1, 64)[0]) < 64 * 3
+
+
 def test_anchor_positions(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, None), (3, "x x x x")], "doc_id long, text string")
     found = syncmers.anchor_positions(docs).collect()
