@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from curato.functions.columns import clamp, dot, unit
 from curato.operators.duplicates import rows_of
-from curato.operators.statistics import exact_median
+from curato.operators.graph import materialise
+from curato.operators.statistics import median_of
 
 #: Limits of the robust outlier threshold.
 MOST, LEAST_GAP, SPREADS = 0.75, 0.10, 3.5
@@ -32,17 +33,22 @@ def centroid_similarity(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def outlier_threshold(similarities: DataFrame, most: float = MOST, least_gap: float = LEAST_GAP, spreads: float = SPREADS) -> DataFrame:
-    """One row: median, median absolute deviation and the threshold below which a similarity is an outlier."""
-    median = exact_median(similarities, F.col("similarity"))
-    mad = exact_median(similarities.crossJoin(F.broadcast(median)), F.abs(F.col("similarity") - F.col("median"))).withColumnRenamed("median", "mad")
-    # One row each.
-    return median.crossJoin(F.broadcast(mad)).withColumn("threshold", F.least(F.lit(most), F.greatest(F.lit(0.0), F.col("median") - F.greatest(F.lit(least_gap), spreads * F.col("mad")))))
+    """One row: median, median absolute deviation and the threshold below which a similarity is an outlier; null without similarities."""
+    return _threshold(materialise(similarities.select("similarity"), "similarities"), most, least_gap, spreads)
+
+
+def _threshold(written: DataFrame, most: float = MOST, least_gap: float = LEAST_GAP, spreads: float = SPREADS) -> DataFrame:
+    median = median_of(written, F.col("similarity"))
+    mad = None if median is None else median_of(written, F.abs(F.col("similarity") - F.lit(median)))
+    limit = None if median is None else min(most, max(0.0, median - max(least_gap, spreads * mad)))
+    return written.sparkSession.createDataFrame([(median, mad, limit)], "median double, mad double, threshold double")
 
 
 def outliers(vectors: DataFrame, key: str, vector: str, **limits) -> DataFrame:
     """(key, similarity, threshold) of the outliers. Advice only: nothing is rejected."""
-    rows = centroid_similarity(vectors, key, vector)
-    return rows.crossJoin(F.broadcast(outlier_threshold(rows, **limits))).where("similarity < threshold").select(key, "similarity", "threshold")
+    rows = materialise(centroid_similarity(vectors, key, vector), "similarities")
+    limit = F.lit(_threshold(rows, **limits).first().threshold).cast("double")
+    return rows.where(F.col("similarity") < limit).select(key, "similarity", limit.alias("threshold"))
 
 
 def nearest(queries: DataFrame, references: DataFrame, key: str, vector: str, block: int = 1024, skip_self: bool = True) -> DataFrame:

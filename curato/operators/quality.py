@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curato.functions.columns import aspect_ratio
-from curato.operators.statistics import exact_median
+from curato.operators.graph import materialise
+from curato.operators.statistics import median_of
 
 REJECT, WARNING = "reject", "warning"
 
@@ -126,9 +127,9 @@ def distribution(assessed: DataFrame, column: str, by: Sequence[str] = ()) -> Da
     own = F.when(F.col("accepted"), F.col(column))
     zero = lambda x, name: F.coalesce(x, F.lit(0)).cast("double").alias(name)
     if not by:
-        # One row each.
-        ends = assessed.agg(zero(F.min(own), "low"), zero(F.max(own), "high"))
-        return ends.crossJoin(F.broadcast(exact_median(assessed, own))).select("low", zero(F.col("median"), "mid"), "high")
+        written = materialise(assessed.where("accepted").select(F.col(column).cast("double").alias("v")), "values")
+        v = F.col("v")
+        return written.agg(zero(F.min(v), "low"), zero(F.lit(median_of(written, v)), "mid"), zero(F.max(v), "high"))
     return assessed.groupBy(*by).agg(zero(F.min(own), "low"), zero(F.median(own), "mid"), zero(F.max(own), "high"))
 
 

@@ -5,21 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How finely quantiles are sketched before the rows around the wanted one are counted.
-ACCURACY = 10_000
+from curato.operators.graph import materialise
 
+#: How finely quantiles are sketched, and from how many values on they are narrowed further.
+ACCURACY, FEW = 10_000, 100_000
 
-def exact_median(rows: DataFrame, value: Column) -> DataFrame:
-    """One row: ``median``, the middle value or the mean of the two middle ones; null without values.
 
-    A sketch brackets the middle, values below the bracket are counted and the distinct ones within it are summed up:
-    a few ten-thousandths of the rows, of which equal values are one.
+def median_of(rows: DataFrame, value: Column, few: int = FEW) -> float | None:
+    """The middle value, or the mean of the two middle ones; None without values. ``rows`` should be cheap to read again.
+
+    While more than ``few`` values remain, a sketch of them brackets the middle and the values outside are counted, which
+    leaves some ten-thousandths each time. Of the rest equal values are one row.
     """
     own = rows.select(value.cast("double").alias("v")).where(F.col("v").isNotNull())
-    sketch = own.agg(F.count("*").alias("n"), F.percentile_approx("v", [0.5 - 3 / ACCURACY, 0.5 + 3 / ACCURACY], ACCURACY).alias("q"))
-    both = own.crossJoin(F.broadcast(sketch))
-    below = both.where(F.col("v") < F.col("q")[0]).agg(F.count("*").alias("below"))
-    inside = both.where(F.col("v").between(F.col("q")[0], F.col("q")[1])).groupBy("v", "n").agg(F.count("*").alias("c"))
-    upto = inside.crossJoin(F.broadcast(below)).withColumn("upto", F.col("below") + F.sum("c").over(Window.orderBy("v")))
+    n = own.count()
+    if not n:
+        return None
+    first, last = (n - 1) // 2, n // 2
+    part, below, inside = own, 0, n
+    while inside > few:
+        ends = [max(0.0, (first - below) / inside - 3 / ACCURACY), min(1.0, (last - below) / inside + 3 / ACCURACY)]
+        low, high = part.agg(F.percentile_approx("v", ends, ACCURACY)).first()[0]
+        part = own.where(F.col("v").between(low, high))
+        below, narrowed = own.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        if low == high or narrowed == inside:
+            break
+        inside = narrowed
+    counted = part.groupBy("v").agg(F.count("*").alias("c"))
+    upto = counted.select("v", (F.lit(below) + F.sum("c").over(Window.orderBy("v"))).alias("upto"))
     reach = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
-    return upto.agg(((reach(F.floor((F.col("n") - 1) / 2)) + reach(F.floor(F.col("n") / 2))) / 2).alias("median"))
+    return upto.agg((reach(first) + reach(last)) / 2).first()[0]
+
+
+def exact_median(rows: DataFrame, value: Column) -> DataFrame:
+    """One row: ``median`` of values that are written once and read from there; null without values."""
+    written = materialise(rows.select(value.cast("double").alias("v")), "values")
+    return rows.sparkSession.createDataFrame([(median_of(written, F.col("v")),)], "median double")

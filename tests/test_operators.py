@@ -425,7 +425,10 @@ def test_links_of_many_equal_rows(spark):
 @pytest.mark.parametrize("values", [[], [3.0], [1.0, 9.0], [5.0] * 999, [float(i * 7919 % 1013) for i in range(5000)]])
 def test_exact_median(spark, values):
     rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
-    assert statistics.exact_median(rows, F.col("v")).first().median == (float(np.median(values)) if values else None)
+    want = float(np.median(values)) if values else None
+    assert statistics.exact_median(rows, F.col("v")).first().median == want
+    # Brackets are narrowed until few values are left.
+    assert statistics.median_of(rows, F.col("v"), few=3) == want
 
 
 def test_free_names(spark):
