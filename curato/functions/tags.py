@@ -81,9 +81,9 @@ def canonical(tag: Column, synonyms: Mapping[str, str] = SYNONYMS) -> Column:
     return F.coalesce(lookup(key, closure(synonyms)), key)
 
 
-def category(name: Column, model_category: Column | None = None) -> Column:
-    """The category of a canonical tag: the model's, the ontology's, or by its prefix or suffix."""
-    found = (
+def by_affix(name: Column) -> Column:
+    """The category that a canonical tag's prefix or suffix gives it."""
+    return (
         F.when(name.startswith("artist:") | name.endswith("_(artist)"), "artist")
         .when(name.startswith("character:") | name.endswith("_(character)"), "character")
         .when(name.startswith("copyright:") | name.startswith("series:"), "copyright")
@@ -91,7 +91,15 @@ def category(name: Column, model_category: Column | None = None) -> Column:
         .when(name.endswith("_quality"), "quality")
         .otherwise("unclassified")
     )
-    found = F.coalesce(lookup(name, CATEGORY_OF), found)
+
+
+def category(name: Column, model_category: Column | None = None) -> Column:
+    """The category of a canonical tag: the model's, the ontology's, or by its prefix or suffix."""
+    return of_model(F.coalesce(lookup(name, CATEGORY_OF), by_affix(name)), model_category)
+
+
+def of_model(found: Column, model_category: Column | None) -> Column:
+    """The model's category for characters and ratings, else the one found."""
     if model_category is None:
         return found
     return F.when(model_category.isin("character", "rating"), model_category).otherwise(found)

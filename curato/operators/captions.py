@@ -94,6 +94,14 @@ def audit(captions: DataFrame, trigger: str, class_token: str | None = None, inv
     return rows.withColumn("consistent", ~empty & F.coalesce(second, F.lit(False)))
 
 
+def issue_rows(audited: DataFrame, key: str = "asset_id") -> DataFrame:
+    """(key, ordinal, code): a row for each issue.
+
+    The outer form, as the plain one makes a filter on the issues, which Catalyst moves below the audit with all its expressions repeated.
+    """
+    return audited.select(key, F.posexplode_outer("issues").alias("ordinal", "code")).where(F.col("code").isNotNull())
+
+
 def audit_summary(audited: DataFrame) -> DataFrame:
     """One row over audited captions."""
     share = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))

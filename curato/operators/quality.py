@@ -107,13 +107,13 @@ def assess(metrics: DataFrame, limits: QualityLimits = QualityLimits(), early: C
 
 
 def reason_rows(assessed: DataFrame, key: str) -> DataFrame:
-    """A row for each reason: key, ordinal, code, severity."""
-    return assessed.select(key, F.posexplode("reasons").alias("ordinal", "r")).select(key, "ordinal", "r.code", "r.severity")
+    """A row for each reason: key, ordinal, code, severity. The outer form keeps Catalyst from computing the rules once more in a filter."""
+    return assessed.select(key, F.posexplode_outer("reasons").alias("ordinal", "r")).where(F.col("r").isNotNull()).select(key, "ordinal", "r.code", "r.severity")
 
 
 def reason_counts(assessed: DataFrame) -> DataFrame:
     """How often each reason was given."""
-    return assessed.select(F.explode("reasons.code").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    return assessed.select(F.explode_outer("reasons.code").alias("code")).where(F.col("code").isNotNull()).groupBy("code").agg(F.count("*").alias("n"))
 
 
 def report_counts(assessed: DataFrame, by: Sequence[str] = ()) -> DataFrame:

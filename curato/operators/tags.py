@@ -14,19 +14,32 @@ CLASS_SHARE, CLASS_MEAN, CLASS_MARGIN = 0.60, 0.45, 0.15
 SAME_SHARE, SAME_MEAN, MOST_CONFLICT, MOST_DOMINANCE = 0.85, 0.55, 0.10, 0.50
 
 
+def with_canonical(rows: DataFrame, raw: str, name: str = "tag") -> DataFrame:
+    """Adds the canonical tag of ``raw``, by a broadcast join with the synonyms."""
+    table = rows.sparkSession.createDataFrame(list(ontology.closure(ontology.SYNONYMS).items()), "_key string, _target string")
+    rows = rows.withColumn("_key", ontology.normalize(F.col(raw))).join(F.broadcast(table), "_key", "left")
+    return rows.withColumn(name, F.coalesce("_target", "_key")).drop("_key", "_target")
+
+
+def with_category(rows: DataFrame, tag: str = "tag", model: str | None = None) -> DataFrame:
+    """Adds ``category`` of a canonical tag, by a broadcast join with the ontology."""
+    table = rows.sparkSession.createDataFrame(list(ontology.CATEGORY_OF.items()), f"`{tag}` string, _category string")
+    found = F.coalesce(F.col("_category"), ontology.by_affix(F.col(tag)))
+    return rows.join(F.broadcast(table), tag, "left").withColumn("category", ontology.of_model(found, F.col(model) if model else None)).drop("_category")
+
+
 def normalize_scores(scores: DataFrame, least: float = PRESENT, selected_only: bool = False) -> DataFrame:
     """(asset_id, tag, score, category): the best score of each canonical tag of an asset, at ``least`` or more."""
     rows = scores.where(F.col("selected")) if selected_only else scores.where(F.col("score") >= least)
     model = F.col("model_category") if "model_category" in scores.columns else F.lit(None).cast("string")
-    rows = rows.select("asset_id", ontology.canonical(F.col("tag")).alias("tag"), "score", model.alias("model"))
+    rows = with_canonical(rows.select("asset_id", "tag", "score", model.alias("model")), "tag")
     best = rows.groupBy("asset_id", "tag").agg(F.max("score").alias("score"), F.max_by("model", "score").alias("model"))
-    return best.select("asset_id", "tag", "score", ontology.category(F.col("tag"), F.col("model")).alias("category"))
+    return with_category(best, model="model").select("asset_id", "tag", "score", "category")
 
 
 def classify(scores: DataFrame) -> DataFrame:
     """(tag, canonical, category) of every distinct raw tag."""
-    rows = scores.select("tag").distinct().withColumn("canonical", ontology.canonical(F.col("tag")))
-    return rows.withColumn("category", ontology.category(F.col("canonical")))
+    return with_category(with_canonical(scores.select("tag").distinct(), "tag", "canonical"), "canonical").select("tag", "canonical", "category")
 
 
 def by_cluster(scores: DataFrame, clusters: DataFrame) -> DataFrame:

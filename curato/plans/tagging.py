@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curato.functions import tags as ontology
 from curato.operators import captions, diversity, quality, tags
+from curato.operators.graph import materialise
 from curato.plans.assets import read
 
 #: Raw tags which stand for the events' types.
@@ -28,7 +29,11 @@ def scores(spark, sf: str) -> DataFrame:
 
 def clusters(spark, sf: str) -> DataFrame:
     """Users as clusters of their assets."""
-    return scores(spark, sf).select("asset_id").distinct().withColumn("cluster", F.floor(F.col("asset_id") / 100))
+    return _users(scores(spark, sf))
+
+
+def _users(rows: DataFrame) -> DataFrame:
+    return rows.select("asset_id").distinct().withColumn("cluster", F.floor(F.col("asset_id") / 100))
 
 
 def _values(items) -> str:
@@ -113,8 +118,11 @@ def diversity_report(spark, sf):
 
 
 def _captions(spark, sf):
-    rows, groups = scores(spark, sf), clusters(spark, sf)
-    return captions.build(rows, TRIGGER, tags.class_decision(rows, groups), tags.invariants(rows, groups))
+    """Captions from scores that are written once; the decision and the invariants are a few rows."""
+    rows = materialise(scores(spark, sf), "scores")
+    groups = _users(rows)
+    decision = materialise(tags.class_decision(rows, groups), "decision")
+    return captions.build(rows, TRIGGER, decision, materialise(tags.invariants(rows, groups).select("tag", "selected"), "invariants"))
 
 
 def caption_build(spark, sf):
@@ -148,7 +156,7 @@ def _audited(spark, sf):
 
 
 def caption_audit_issues(spark, sf):
-    return _audited(spark, sf).select("asset_id", F.posexplode("issues").alias("ordinal", "code"))
+    return captions.issue_rows(_audited(spark, sf))
 
 
 def caption_audit_summary(spark, sf):
