@@ -78,13 +78,13 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: Ma
         key("source"),
         F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(BLANK)).cast("long").alias("n_tokens"),
         # Orders rows of one id, and draws for those without one.
-        F.xxhash64("text").alias("tie"),
+        F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("tie"),
         *([F.struct("*").alias("row")] if carry else []),
     )
     planned = targets(rows.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens")), share, epochs, weights)
 
     drawn = rows.where("n_tokens > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    drawn = drawn.withColumn("draw", F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("tie").cast("string")))).cast("binary")))
+    drawn = drawn.withColumn("draw", F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("tie")))).cast("binary")))
     drawn = drawn.withColumn("b1", F.substring("draw", 1, 2)).withColumn("b2", F.substring("draw", 3, 2))
     leaf = [*TREE, "epoch"]
     before = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -133,15 +133,15 @@ OP4_SQL = f"""
 WITH rows AS (
   SELECT doc_id, CASE WHEN source = 'src0' THEN 'web' WHEN regexp_matches(coalesce(source, ''), '^src[1-9]$') THEN 'reference' ELSE 'books' END AS domain,
     coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0B]+')) AS BIGINT) AS n_tokens FROM documents),
+    md5(coalesce(text, '')) AS tie, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0B]+')) AS BIGINT) AS n_tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM rows GROUP BY ALL),
 caps AS (SELECT *, tokens * {EPOCHS} AS cap FROM leaves WHERE tokens > 0),
 {_level_sql("domains", f"SELECT domain, 0 AS tokens, sum(cap) AS cap, (SELECT sum(tokens) * CAST({SHARE} AS DOUBLE) FROM leaves) AS budget FROM caps GROUP BY domain", "", "domain")},
 {_level_sql("langs", "SELECT domain, lang, 0 AS tokens, sum(cap) AS cap, any_value(given) AS budget FROM caps JOIN (SELECT domain, given FROM domains) USING (domain) GROUP BY domain, lang", "domain", "lang")},
 {_level_sql("sources", "SELECT caps.*, langs.given AS budget FROM caps JOIN langs USING (domain, lang)", "domain, lang", "source")},
 planned AS (SELECT domain, lang, source, tokens AS total, CAST(floor(given + 1e-6) AS BIGINT) AS target FROM sources),
-drawn AS (SELECT rows.*, epoch, md5(concat_ws(':', '{SEED}', epoch, coalesce(CAST(doc_id AS VARCHAR), ''))) AS draw FROM rows, (SELECT unnest(range(0, {EPOCHS})) AS epoch) WHERE n_tokens > 0),
-placed AS (SELECT *, epoch * total + coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+drawn AS (SELECT rows.*, epoch, md5(concat_ws(':', '{SEED}', epoch, coalesce(CAST(doc_id AS VARCHAR), '#' || tie))) AS draw FROM rows, (SELECT unnest(range(0, {EPOCHS})) AS epoch) WHERE n_tokens > 0),
+placed AS (SELECT *, epoch * total + coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY draw, doc_id, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM drawn JOIN planned USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, CAST(start AS BIGINT) AS start, n_tokens, CAST(least(n_tokens, target - start) AS BIGINT) AS take
 FROM placed WHERE start < target

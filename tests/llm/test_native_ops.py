@@ -1,5 +1,6 @@
 import hashlib
 
+import duckdb
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -135,3 +136,17 @@ def test_mixing_of_ties_null_ids_and_lines(spark):
     texts = {t for _, t in rows}
     kept = [r.text for r in mixing.mixed_documents(docs, share=0.4, epochs=1).collect()]
     assert all(any(t.startswith(k) for t in texts) for k in kept)
+
+
+def test_mixing_sql_of_null_and_repeated_ids(spark):
+    """SQL and the operator take the same parts of rows without an id and of rows that share one."""
+    rows = [(None, f"none {i} a b", "en", "src0") for i in range(80)] + [(5, f"same {i} c d", "en", "src1") for i in range(60)] + [(i, f"own {i}", "de", "src12") for i in range(100, 180)]
+    rows += [(None, None, None, None), (None, "", "en", "src0"), (9, "twice x", "de", "src3"), (9, "twice x", "de", "src3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    documents = docs.toPandas().astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    columns = ["doc_id", "domain", "lang", "source", "epoch", "start", "n_tokens", "take"]
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({mixing.OP4_SQL})").fetchall()
+    found = [tuple(r) for r in mixing.mix(docs).select(columns).collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr) and len(want) > 50
