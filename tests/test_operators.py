@@ -135,6 +135,25 @@ def test_duplicates(spark):
         duplicates.check_pair_budget(spark.range(2002))
 
 
+@pytest.mark.parametrize("all_pairs", [False, True])
+def test_hamming_pairs_broadcast_no_table_of_hashes(spark, all_pairs):
+    rows = spark.range(1000).select("id", F.xxhash64("id").alias("h"))
+    found = duplicates.hamming_pairs(rows, "id", "h", 4, all_pairs=all_pairs)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_components_of_many_edges_broadcast_nothing(spark, monkeypatch):
+    edges = spark.range(500).select(F.col("id").alias("a"), F.when(F.col("id") % 100 == 99, F.col("id")).otherwise(F.col("id") + 1).alias("b"))
+    edges = edges.unionByName(spark.createDataFrame([(900, 900)], "a long, b long"))
+    want = {(i, i // 100 * 100) for i in range(500)} | {(900, 900)}
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    found = graph.components(edges)
+    assert {tuple(r) for r in found.collect()} == want
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hamming_bands_equal_all_pairs(spark):
     rng = random.Random(7)
     base = [rng.getrandbits(63) for _ in range(60)]
