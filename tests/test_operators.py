@@ -154,6 +154,16 @@ def test_components_of_many_edges_broadcast_nothing(spark, monkeypatch):
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lines_of_one_number_have_their_own_place(spark):
+    """As a frame of ROWS in SQL: each line's own epoch stands, and what is carried or last does not depend on how rows are dealt."""
+    rows = [(1, 10, 2, None), (1, 10, 1, 0.5), (1, 11, 0, 0.25), (2, 10, 0, 0.1), (2, 10, 3, 0.2), (2, 10, 3, 0.3)]
+    for parts in (1, 5):
+        lines = spark.createDataFrame(rows, "run long, line_no long, epoch int, train_loss double").withColumn("validation_loss", F.lit(None).cast("double")).repartition(parts, "train_loss")
+        carried = logs.carry_epoch(lines, "run", "line_no")
+        assert sorted((r.run, r.line_no, r.epoch) for r in carried.collect()) == [(1, 10, 1), (1, 10, 2), (1, 11, 2), (2, 10, 0), (2, 10, 3), (2, 10, 3)]
+        assert {(r.run, r.epoch, r.train_loss) for r in logs.losses_by_epoch(carried, "run", "line_no").collect()} == {(1, 1, 0.5), (1, 2, 0.25), (2, 3, 0.3)}
+
+
 def test_hamming_bands_equal_all_pairs(spark):
     rng = random.Random(7)
     base = [rng.getrandbits(63) for _ in range(60)]
