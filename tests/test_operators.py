@@ -225,6 +225,18 @@ def test_nearest_and_vectors_of_zeros(spark):
         duplicates.cosine_pairs(frame(np.zeros((2, 3))), "id", "v", 0.5).collect()
 
 
+def test_nearest_sends_each_row_a_few_times_and_ties_go_to_the_smallest_key(spark):
+    rng = np.random.default_rng(11)
+    some = rng.normal(size=(3000, 6))
+    rows = spark.createDataFrame([(i, some[i % 3000].tolist()) for i in range(9000)], "id long, v array<double>").repartition(7)
+    found = embeddings.nearest(rows, rows, "id", "v")
+    assert {r.id: r.other for r in found.collect()} == {i: i % 3000 + (3000 if i < 3000 else 0) for i in range(9000)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "BroadcastExchange" not in plan
+    chunks = embeddings.packed(rows, "id", "v", 8).select("at", (F.octet_length("k") / 8).alias("n")).collect()
+    assert sum(c.n for c in chunks) == 9000 and max(c.n for c in chunks) <= 2048 and {c.at for c in chunks} <= set(range(8))
+
+
 def test_merged_groupings(spark):
     one = spark.createDataFrame([("a", "1"), ("b", "1"), ("single", "2")], "member string, group string")
     two = spark.createDataFrame([("b", "x"), ("c", "x")], "member string, group string")
