@@ -237,6 +237,14 @@ def test_nearest_sends_each_row_a_few_times_and_ties_go_to_the_smallest_key(spar
     assert sum(c.n for c in chunks) == 9000 and max(c.n for c in chunks) <= 2048 and {c.at for c in chunks} <= set(range(8))
 
 
+def test_vectors_visit_few_cells_at_a_low_threshold(spark):
+    """Where no cell can be ruled out, cells are not written for each pivot: before, sixteen pivots made 7.5 visits a vector."""
+    rows = spark.range(1, 2_001).select(F.col("id").alias("k"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("id") * i * 12.9898)).alias("v"))
+    blocks = duplicates.cosine_blocks(rows, 0.0, block=125)
+    guests = blocks.where("kind = 'guest'").select("cell", "j", "right", F.col("i").alias("own")).groupBy("cell", "j").agg(F.max(F.size("right")).alias("n"))
+    assert (guests.agg(F.sum("n")).first()[0] or 0) <= 1.5 * duplicates.VISITS * 2_000
+
+
 def test_merged_groupings(spark):
     one = spark.createDataFrame([("a", "1"), ("b", "1"), ("single", "2")], "member string, group string")
     two = spark.createDataFrame([("b", "x"), ("c", "x")], "member string, group string")
