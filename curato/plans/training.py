@@ -37,7 +37,7 @@ def embedding_near_pairs(spark, sf):
 
 
 def embedding_clusters(spark, sf):
-    rows = duplicates.cluster_pairs(duplicates.cosine_pairs(_vectors(spark, sf), "vec_id", "embedding", NEAR))
+    rows = duplicates.cluster_pairs(duplicates.cosine_pairs(_vectors(spark, sf), "vec_id", "embedding", NEAR, forest=True))
     return rows.select(F.col("node").alias("vec_id"), F.col("label").alias("cluster"))
 
 
@@ -50,7 +50,7 @@ def cluster_merge(spark, sf):
     """Groups of equal texts and of near vectors, taken together by id."""
     docs = read(spark, sf, "documents")
     texts = docs.select(F.col("doc_id").alias("member"), F.sha2(F.col("text").cast("binary"), 256).alias("group"))
-    pairs = duplicates.cosine_pairs(_vectors(spark, sf), "vec_id", "embedding", NEAR)
+    pairs = duplicates.cosine_pairs(_vectors(spark, sf), "vec_id", "embedding", NEAR, forest=True)
     near = duplicates.cluster_pairs(pairs).select(F.col("node").alias("member"), F.col("label").cast("string").alias("group"))
     return duplicates.merge_groupings([texts, near]).select(F.col("node").alias("member"), F.col("label").alias("cluster"))
 

@@ -245,6 +245,18 @@ def test_vectors_visit_few_cells_at_a_low_threshold(spark):
     assert (guests.agg(F.sum("n")).first()[0] or 0) <= 1.5 * duplicates.VISITS * 2_000
 
 
+def test_forest_of_near_vectors_connects_what_pairs_connect(spark):
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(40, 8))
+    vectors = [(i, (middle[i % 40] + rng.normal(0, 0.1, 8)).tolist()) for i in range(800)]
+    rows = spark.createDataFrame(vectors, "id long, v array<double>").repartition(3)
+    for block in (100, 5000):
+        pairs, forest = (duplicates.cosine_pairs(rows, "id", "v", 0.93, block=block, forest=f) for f in (False, True))
+        found = {tuple(r) for r in duplicates.cluster_pairs(forest).collect()}
+        assert found == {tuple(r) for r in duplicates.cluster_pairs(pairs).collect()} and len(found) > 700
+        assert block == 100 or forest.count() < 800 < pairs.count()
+
+
 def test_merged_groupings(spark):
     one = spark.createDataFrame([("a", "1"), ("b", "1"), ("single", "2")], "member string, group string")
     two = spark.createDataFrame([("b", "x"), ("c", "x")], "member string, group string")
