@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -136,6 +137,39 @@ def test_what_else_is_there_changes_no_links(spark):
     assert sum(a != b for a, b in zip(*found)) <= 3
 
 
+def test_no_pair_of_a_large_key_is_missed(spark):
+    """Of 1650 texts that share sixty words of a hundred, all pairs at the threshold that have a key in common are found."""
+    rng = random.Random(31)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [passage + [f"t{rng.randrange(10**7)}" for _ in range(40)] for _ in range(1500)]
+    texts += [passage + t[60:80] + [f"v{rng.randrange(10**7)}" for _ in range(20)] for t in texts[:150]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    keys = [set(neardup.keys_of(neardup.word_hashes(" ".join(t).encode()))) for t in texts]
+    pairs = [i for i in range(150) if keys[i] & keys[1500 + i]]
+    assert len(pairs) > 140 and all(found[i] == found[1500 + i] for i in pairs)
+    assert len(set(found.values())) == 1650 - len(pairs)
+
+
+def test_a_group_of_near_copies_has_few_hubs(spark):
+    """The keys of near copies name the same hubs, so that pairs grow with the copies and not with their keys."""
+    rng = random.Random(32)
+    base = [f"w{i}" for i in range(100)]
+    texts = [_edited(base, rng, 2) for _ in range(3000)]
+    rows = neardup.sketches(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), "doc_id", "text")
+    assert neardup.candidates(rows.select("node", F.explode("keys").alias("key")).distinct()).count() < 6 * 3000
+
+
+def test_shared_words_are_not_counted_short():
+    rng = random.Random(33)
+    texts = [[rng.randrange(60) for _ in range(rng.choice([0, 1, 30, 3000]))] for _ in range(40)]
+    bits, beyond = neardup.marks([np.array(t, np.uint32) for t in texts])
+    common = bits @ bits.T + np.minimum(beyond[:, None], beyond[None, :])
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert sum((Counter(a) & Counter(b)).values()) <= common[i, j] <= min(len(a), len(b))
+
+
 def test_recall_on_the_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
