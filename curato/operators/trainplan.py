@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curato.operators import planning
+from curato.operators.graph import materialise
 
 
 @dataclass(frozen=True)
@@ -156,6 +157,8 @@ def training_plan(runs: DataFrame, key: str, profile: Profile = CHARACTER, stric
 
 #: Attempts after which nothing is tried any more.
 MOST_ATTEMPTS = 3
+#: Attempts that are worked out in one plan; runs that go on are written down after as many.
+STRIDE = 9
 #: What of a plan a recovery reads and changes.
 CHANGED = "resolution int, batch_size int, gradient_accumulation int, network_dim int, network_alpha int, unet_lr double, text_encoder_lr double, optimizer string, no_half_vae boolean, gradient_checkpointing boolean, gpu string"
 _NAMES = [f.split()[0] for f in CHANGED.split(", ")]
@@ -213,19 +216,35 @@ def recoveries(runs: DataFrame, key: str, most: int = MOST_ATTEMPTS, columns: Ma
     the one before left; ``change`` is null where nothing is left to try or attempts are used up.
     """
     names = {"plan": "plan", "failures": "failures", "gpus": "gpus", "locked": "locked"} | dict(columns or {})
-    gpus, locked = F.col(names["gpus"]), F.coalesce(names["locked"], F.array().cast("array<string>"))
     own = F.col(names["plan"])
-    step = f"struct<attempt:int,failure:string,change:string,plan:struct<{', '.join(f.replace(' ', ':') for f in CHANGED.split(', '))}>>"
-    kind = f"struct<plan:struct<{', '.join(f.replace(' ', ':') for f in CHANGED.split(', '))}>,previous:array<string>,alive:boolean,steps:array<{step}>>"
-    start = F.struct(F.struct(*(own[n].alias(n) for n in _NAMES)).alias("plan"), F.array().cast("array<string>").alias("previous"), F.lit(True).alias("alive"), F.array().cast(f"array<{step}>").alias("steps")).cast(kind)
-
-    def take(state: Column, failure: Column) -> Column:
-        attempt = F.size(state["steps"]) + 1
-        change = next_change(state["plan"], failure, gpus, locked, state["previous"], attempt, most)
-        plan = changed(state["plan"], change, gpus)
-        made = F.struct(attempt.alias("attempt"), failure.alias("failure"), change.alias("change"), plan.alias("plan"))
-        moved = F.struct(plan.alias("plan"), F.array_compact(F.array_append(state["previous"], change)).alias("previous"), change.isNotNull().alias("alive"), F.array_append(state["steps"], made.cast(step)).alias("steps"))
-        return F.when(state["alive"], moved.cast(kind)).otherwise(state)
-
-    done = runs.select(key, F.inline(F.aggregate(names["failures"], start, take)["steps"]))
+    rows = runs.select(key, F.struct(*(own[n].alias(n) for n in _NAMES)).alias("_plan0"), F.array().cast("array<string>").alias("_tried"), F.col(names["failures"]).alias("_failures"), F.col(names["gpus"]).alias("_gpus"), F.coalesce(names["locked"], F.array().cast("array<string>")).alias("_locked"))
+    every, least = max(1, most), 1
+    done, rows = _attempts(rows, key, least, min(STRIDE, every), most)
+    while least + STRIDE <= every:
+        least, rows = least + STRIDE, materialise(rows, "recoveries").where("_going")
+        if not rows.limit(1).count():
+            break
+        more, rows = _attempts(rows, key, least, min(least + STRIDE - 1, every), most)
+        done = done.unionByName(more)
     return done.select(key, "attempt", "failure", "change", F.coalesce(F.col("change").isin(*QUALITY), F.lit(False)).alias("quality_impact"), "plan")
+
+
+def _attempts(rows: DataFrame, key: str, least: int, last: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The attempts from ``least`` to ``last``, and the rows of runs with whether they go on after them.
+
+    Each change and each plan is a column of its own, so that it is computed once: a change is part of each of the plan's values.
+    """
+    steps, previous, going = [], F.col("_tried"), F.lit(True)
+    for i in range(least, last + 1):
+        n = i - least + 1
+        before, change, plan = F.col(f"_plan{n - 1}"), F.col(f"_change{n}"), F.col(f"_plan{n}")
+        going = going & F.coalesce(F.size("_failures") >= i, F.lit(False))
+        failure = F.get("_failures", F.lit(i - 1))
+        rows = rows.withColumn(f"_change{n}", F.when(going, next_change(before, failure, F.col("_gpus"), F.col("_locked"), previous, F.lit(i), most)))
+        rows = rows.withColumn(f"_plan{n}", changed(before, change, F.col("_gpus")))
+        steps.append(F.when(going, F.struct(F.lit(i).alias("attempt"), failure.alias("failure"), change.alias("change"), plan.alias("plan"))))
+        previous = F.concat("_tried", F.array(*(F.coalesce(f"_change{k}", F.lit("")) for k in range(1, n + 1))))
+        going = change.isNotNull()
+    # A plain inline adds a filter, and a filter is pushed below with all columns that it needs written out in it.
+    made = rows.select(key, F.inline_outer(F.array_compact(F.array(*steps)))).where("attempt is not null")
+    return made, rows.select(going.alias("_going"), key, plan.alias("_plan0"), previous.alias("_tried"), "_failures", "_gpus", "_locked")

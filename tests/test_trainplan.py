@@ -106,3 +106,18 @@ def test_locks_attempts_and_other_failures(spark):
 
 def test_no_runs(spark):
     assert trainplan.training_plan(_run(spark).where(F.lit(False)), "id").count() == 0
+
+
+def test_each_change_is_worked_out_once(spark):
+    """A change holds the search for another device: the plan has it twice for each attempt, however many values depend on the change."""
+    runs = spark.createDataFrame([], f"id string, plan {PLAN}, failures array<string>, gpus {GPU}, locked array<string>")
+    for most in (1, 3):
+        plan = trainplan.recoveries(runs, "id", most)._jdf.queryExecution().analyzed().toString()
+        assert plan.count("filter(") <= 3 * most
+
+
+def test_more_attempts_than_one_plan_holds(spark):
+    rows = _ladder(spark, ["nan_loss"] * 30, most=25)
+    assert [r.attempt for r in rows] == list(range(1, 26))
+    assert [r.change for r in rows] == ["no_half_vae"] + ["learning_rate"] * 23 + [None]
+    assert rows[-1].plan.unet_lr == pytest.approx(1e-4 * 0.5**23)
