@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curato.operators import duplicates, models, pictures
 from curato.operators.graph import materialise
@@ -13,22 +16,42 @@ from curato.plans.assets import read
 SIDE, NEAR = 32, 8
 
 
+def _draw(vectors: pa.Array, copies: pa.Array) -> pa.Array:
+    """The bytes of 32 by 32 pixels of three channels for each vector; where it lacks a number, pixels are 255."""
+    i = np.arange(3 * SIDE * SIDE)
+    c, x, y = i % 3, i // 3 % SIDE, i // (3 * SIDE)
+    a, b = y // 4, x // 4
+    place = np.where(c == 0, a * 8 + b, np.where(c == 1, 63 - a * 8 - b, b * 8 + a))
+    pattern = (x * (c + 2) + y * 3) % 32 - 16
+    lists = vectors.to_pylist() if vectors.null_count or vectors.values.null_count else None
+    out = []
+    for n, copy in enumerate(copies.to_pylist()):
+        held = np.full(64, np.nan)
+        if lists is None:
+            own, gaps = vectors[n].values.to_numpy()[:64].astype(float), np.ones(64, bool)
+            gaps[: len(own)] = False
+        else:
+            found = (lists[n] or [])[:64]
+            own, gaps = np.array([0.0 if v is None else v for v in found]), np.array([v is None for v in found] + [True] * (64 - len(found)))
+        held[: len(own)] = own
+        base = np.clip(np.nan_to_num(np.floor(127.5 + 400 * held), nan=0.0), -(1 << 40), 1 << 40)
+        value = base[place] + pattern + copy * (x % 3) * 4
+        out.append(np.where(gaps[place], 255, np.clip(value, 0, 255)).astype(np.uint8).tobytes())
+    return pa.array(out, pa.binary())
+
+
+_drawn = F.arrow_udf(_draw, T.BinaryType())
+
+
 def embedding_pictures(spark, sf: str, copies: int = 1) -> DataFrame:
     """Each vector of 64 numbers as a picture of 32 by 32: cells of four by four pixels, with a pattern over them.
 
-    Of several copies, which have ids of their own, the further ones are a little brighter in some columns.
+    Of several copies, which have ids of their own, the further ones are a little brighter in some columns. Vectors are
+    dealt by their id first: their files are small, and pictures and what is made of them are not.
     """
-
-    def pixel(vector, i):
-        c, x, y = i % 3, F.floor(i / 3).cast("int") % SIDE, F.floor(i / (3 * SIDE)).cast("int")
-        a, b = F.floor(y / 4).cast("int"), F.floor(x / 4).cast("int")
-        place = F.when(c == 0, a * 8 + b).when(c == 1, 63 - a * 8 - b).otherwise(b * 8 + a)
-        value = F.floor(127.5 + 400 * F.get(vector, place).cast("double")) + (x * (c + 2) + y * 3) % 32 - 16 + F.col("copy") * (x % 3) * 4
-        return F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), value)).cast("long")), 2, "0")
-
-    rows = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
-    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3 * SIDE * SIDE - 1)), lambda i: pixel(F.col("v"), i)), ""))
-    return rows.select((F.col("vec_id") * copies + F.col("copy")).alias("vec_id"), *(F.lit(n).alias(c) for c, n in (("width", SIDE), ("height", SIDE), ("channels", 3), ("orientation", 1))), data.alias("data"))
+    rows = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v")).repartition("vec_id")
+    rows = rows.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    return rows.select((F.col("vec_id") * copies + F.col("copy")).alias("vec_id"), *(F.lit(n).alias(c) for c, n in (("width", SIDE), ("height", SIDE), ("channels", 3), ("orientation", 1))), _drawn("v", "copy").alias("data"))
 
 
 def picture_hashes(spark, sf):

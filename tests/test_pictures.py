@@ -1,3 +1,4 @@
+import math
 import struct
 import zlib
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from curato.functions import pixels
 from curato.operators import duplicates, pictures
+from curato.plans import pictures as picture_plans
 from curato.sources.pictures import image_metrics, normalise, read_pictures
 
 RNG = np.random.default_rng(4)
@@ -225,3 +227,23 @@ def test_tiny_embeddings():
 def test_no_pictures(spark, tmp_path):
     (tmp_path / "note.txt").write_bytes(b"x")
     assert normalise(read_pictures(spark, [str(tmp_path)])).count() == 0
+
+
+def test_embedding_pictures_are_dealt_and_drawn_in_tasks(spark, tmp_path):
+    vectors = [[((i * 37 + k * 11) % 41 - 20) / 40 for k in range(64)] for i in range(3)] + [[0.1] * 10, [None] + [0.2] * 63, None]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    made = picture_plans.embedding_pictures(spark, str(tmp_path), 2)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # One file is one task's unless its rows are dealt; pixels aren't made one by one in an expression.
+    assert "hashpartitioning(vec_id" in plan and "transform(sequence" not in plan
+    found = {r.vec_id: bytes(r.data) for r in made.collect()}
+    assert sorted(found) == list(range(12))
+    for i, vector in enumerate(vectors):
+        for copy in (0, 1):
+            for at, pixel in enumerate(found[2 * i + copy]):
+                c, x, y = at % 3, at // 3 % 32, at // 96
+                a, b = y // 4, x // 4
+                place = (a * 8 + b, 63 - a * 8 - b, b * 8 + a)[c]
+                v = vector[place] if vector and place < len(vector) else None
+                want = 255 if v is None else max(0, min(255, math.floor(127.5 + 400 * float(np.float32(v))) + (x * (c + 2) + y * 3) % 32 - 16 + copy * (x % 3) * 4))
+                assert pixel == want
