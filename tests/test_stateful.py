@@ -115,3 +115,14 @@ def test_the_sink_of_a_stream(spark, sink, tmp_path):
         _run(sink.start(spark.readStream.schema(EVENTS).parquet(source)))
     assert sorted(r.event_id for r in sink.events().collect()) == [0, 1, 2, 3, 4, 9]
     assert {r.run_id: r.current_stage for r in sink.current().collect()} == {"r1": "S4", "r2": None, "r3": "CREATED"}
+
+
+def test_lines_are_handed_over_by_channel(spark, tmp_path):
+    schema, source, out, check = "k long, seq int, data binary, last boolean", *(str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.createDataFrame([(k, 0, bytearray(b"a\nb\r\nc" if k else b""), True) for k in range(3)], schema).write.parquet(source)
+    query = stateful.start_append(stateful.lines_of(spark.readStream.schema(schema).parquet(source), ["k"]), out, check)
+    query.awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [(k, i, x) for k in (1, 2) for i, x in enumerate("abc")]
+    # A row holds all lines of a channel, and they are made rows by Spark; no table is made for each channel.
+    plan = query._jsq.explainInternal(False)
+    assert "Generate posexplode" in plan and "InPandasWithState" not in plan
