@@ -23,6 +23,8 @@ BUCKETS = 1 << 16
 #: Labelled documents which the model is fitted on, at most: a bounded sample, drawn by a hash of the id.
 SAMPLE = 6000
 GRADES = 4
+#: Features of the documents that the fit takes at a time, about.
+PART = 1 << 16
 #: Probability of any toxicity from which a document is toxic.
 REJECT = 0.3
 
@@ -32,11 +34,16 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
     A stem is a word's first four bytes: invented and inflected words share it.
     """
+    columns, counts = counted(text)
+    return columns, 1 + np.log(counts.astype(float))
+
+
+def counted(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, counts) of a text's words, followed by those of its stems in the order of ``stems``."""
     words = words_of(text)
     counts = Counter(words)
     counts.update([w[:4] + b"-" for w in words])
-    columns = np.fromiter((zlib.crc32(w) % BUCKETS for w in counts), np.int64, len(counts))
-    return columns, 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
+    return np.fromiter((zlib.crc32(w) % BUCKETS for w in counts), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, size: int, training=None) -> DataFrame:
@@ -95,11 +102,16 @@ def grade_of(toxic: list[int], held: list[tuple[np.ndarray, np.ndarray]], grades
 
 
 def fit(y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], grades: int = GRADES, rounds: int = 200, ridge: float = 4e-4) -> Ordinal:
-    """Maximum likelihood of the cumulative-link model by full-batch Adam, on the grades and features of a bounded sample."""
-    sizes = np.array([len(c) for c, _ in rows], int)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    column = np.concatenate([c for c, _ in rows]) if rows else np.zeros(0, int)
-    value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
+    """Maximum likelihood of the cumulative-link model by full-batch Adam, on the grades and features of a bounded sample.
+
+    Rows are taken some at a time, in order: sums are the same as of all at once, and little memory is needed besides the features.
+    """
+    bounds = np.concatenate(([0], np.cumsum([len(c) for c, _ in rows]))).astype(np.int64)
+    cuts = np.unique(np.append(np.searchsorted(bounds, np.arange(0, bounds[-1], PART)), len(rows)))
+    parts = []
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        column, value = (np.concatenate([r[i] for r in rows[low:high]]) for i in range(2))
+        parts.append((low, high, np.diff(bounds[low : high + 1]), column, value))
     n, w = max(1, len(rows)), np.zeros(BUCKETS)
     theta = np.array([np.log((np.sum(y <= k) + 1) / (np.sum(y > k) + 1)) for k in range(grades - 1)])
     # The first threshold and the logarithms of the gaps keep the thresholds in order.
@@ -108,7 +120,9 @@ def fit(y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], grades: int =
     # A word in few documents tells little; one in most of them has a large sum of gradients: rates are per column.
     for t in range(1, rounds + 1):
         theta = np.concatenate((p[:1], p[0] + np.cumsum(np.exp(p[1:]))))
-        z = np.bincount(row, w[column] * value, len(rows)) if len(rows) else np.zeros(0)
+        z = np.zeros(len(rows))
+        for low, high, sizes, column, value in parts:
+            z[low:high] = np.bincount(np.repeat(np.arange(high - low), sizes), w[column] * value, high - low)
         s = 1 / (1 + np.exp(np.clip(theta[None, :] - z[:, None], -30, 30)))
         cum = np.concatenate((np.ones((len(z), 1)), s, np.zeros((len(z), 1))), 1)
         own = np.maximum(cum[np.arange(len(z)), y] - cum[np.arange(len(z)), y + 1], 1e-9)
@@ -118,7 +132,10 @@ def fit(y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], grades: int =
         low, high = y > 0, y < grades - 1
         d[at[low], y[low] - 1] += slope[at[low], y[low] - 1] / own[low]
         d[at[high], y[high]] -= slope[at[high], y[high]] / own[high]
-        gw = -np.bincount(column, value * d.sum(1)[row], BUCKETS) / n + ridge * w
+        pull, gw = d.sum(1), np.zeros(BUCKETS)
+        for low, high, sizes, column, value in parts:
+            np.add.at(gw, column, value * np.repeat(pull[low:high], sizes))
+        gw = -gw / n + ridge * w
         gt = d.sum(0) / n
         gp = np.concatenate(([gt.sum()], [gt[k + 1 :].sum() * np.exp(p[k + 1]) for k in range(grades - 2)]))
         for g, x, a, b in ((gw, w, 0, 1), (gp, p, 2, 3)):
@@ -129,28 +146,46 @@ def fit(y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], grades: int =
     return Ordinal(w, theta)
 
 
-#: What a sampled text becomes: arrays as their bytes, so that the driver holds no number as an object.
-_KINDS = {"columns": np.int32, "values": np.float64, "stems": np.int64, "counts": np.int32}
+#: What a sampled text becomes: arrays as their bytes. The last counts are those of the stems.
+_KINDS = {"columns": np.uint16, "counts": np.int32, "stems": np.uint32}
 _ROW = T.StructType([T.StructField(name, T.BinaryType()) for name in _KINDS])
 
 
 def _features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        rows = [(*features(t.as_py()), *stems(t.as_py())) for t in batch]
+        rows = [(*counted(t.as_py()), stems(t.as_py())[0]) for t in batch]
         yield pa.StructArray.from_arrays([pa.array([r[i].astype(kind).tobytes() for r in rows], pa.binary()) for i, kind in enumerate(_KINDS.values())], list(_KINDS))
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the model's weights and thresholds, of all rows (label, columns, counts, stems); none of no rows."""
+    toxic, held, rows = [], [], []
+    for batch in batches:
+        toxic += [int(label) for label in batch.column(0).to_pylist()]
+        for row in zip(*(batch.column(i + 1) for i in range(len(_KINDS)))):
+            columns, counts, numbers = (np.frombuffer(x.as_py(), kind) for x, kind in zip(row, _KINDS.values()))
+            held.append((numbers, counts[len(counts) - len(numbers) :]))
+            rows.append((columns, 1 + np.log(counts.astype(float))))
+    if not toxic:
+        return
+    y, _ = grade_of(toxic, held)
+    held.clear()
+    model = fit(y, rows)
+    yield pa.RecordBatch.from_arrays([pa.array([x.astype(float).tobytes()], pa.binary()) for x in (model.weights, model.thresholds)], ["weights", "thresholds"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, training=None) -> Ordinal:
     """Fits the model on a bounded sample of labelled documents; without labels every text gets a severity near 0.
 
-    Features are made in tasks: the driver gets those, and no texts.
+    Features are made in tasks, and a task fits the model on the sample's: the driver gets the model, no texts and no features.
     """
-    rows = sampled(docs, labels, "toxic", sample, training).select("doc_id", "label", F.arrow_udf(_features, _ROW).asNondeterministic()("text").alias("f")).orderBy("doc_id").select("label", "f.*").collect()
-    if not rows:
+    rows = sampled(docs, labels, "toxic", sample, training).select("doc_id", "label", F.arrow_udf(_features, _ROW).asNondeterministic()("text").alias("f"))
+    # As many rows as ``sample``, about, however large the tables are.
+    one = rows.repartition(1).sortWithinPartitions("doc_id").select("label", *(f"f.{name}" for name in _KINDS))
+    found = one.mapInArrow(_fitted, "weights:binary,thresholds:binary").collect()
+    if not found:
         return Ordinal(np.zeros(BUCKETS), np.full(GRADES - 1, 10.0) + np.arange(GRADES - 1))
-    array = lambda row, name: np.frombuffer(row[name], _KINDS[name])
-    y, _ = grade_of([int(r.label) for r in rows], [(array(r, "stems"), array(r, "counts")) for r in rows])
-    return fit(y, [(array(r, "columns"), array(r, "values")) for r in rows])
+    return Ordinal(np.frombuffer(found[0].weights), np.frombuffer(found[0].thresholds))
 
 
 _TYPE = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("toxicity", T.DoubleType()), T.StructField("grade", T.IntegerType())])

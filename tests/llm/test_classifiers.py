@@ -104,3 +104,20 @@ def test_classifiers_on_odd_rows(spark, column, adder, trainer):
     assert adder(docs, empty).count() == 4
     kept = toxicity.drop_toxic(docs, toxicity.train(docs, labels.limit(0)))
     assert kept.columns == docs.columns and kept.count() == 4
+
+
+def test_toxicity_is_fitted_in_a_task(spark, sf, monkeypatch):
+    """The driver gets the model alone, which is that of all rows at once, in the order of ids."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = docs.join(labels, "doc_id").orderBy("doc_id").select("text", "toxic").collect()
+    texts = [(r.text or "").encode() for r in rows]
+    y, _ = toxicity.grade_of([r.toxic for r in rows], [toxicity.stems(t) for t in texts])
+    want = toxicity.fit(y, [toxicity.features(t) for t in texts])
+
+    def fit(*_):
+        raise AssertionError("fitted by the driver")
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    model = toxicity.train(docs, labels)
+    assert (model.weights == want.weights).all() and (model.thresholds == want.thresholds).all()
