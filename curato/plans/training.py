@@ -32,7 +32,7 @@ NEAR = 0.40
 
 
 def embedding_near_pairs(spark, sf):
-    rows = duplicates.cosine_pairs(_vectors(spark, sf), "vec_id", "embedding", NEAR)
+    rows = duplicates.cosine_pairs(_vectors(spark, sf), "vec_id", "embedding", NEAR, all_pairs=True)
     return rows.select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 

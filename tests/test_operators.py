@@ -4,12 +4,14 @@ import random
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from curato.functions import columns, tags as ontology
 from curato.operators import captions, constraints, diversity, duplicates, embeddings, evaluation, graph, ingest, joins, logs, planning, quality, state, statistics, tags
+from curato.plans import training
 from curato.plans.stages import Pipeline, Stage
 from curato.sources import files
 from curato.streaming import events
@@ -194,6 +196,27 @@ def test_cosine_pairs_are_compared_once(spark, threshold, block):
     assert len(found) == len(want) and {(r.a, r.b): r.cosine for r in found} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("block", [40, 4000])
+def test_all_pairs_of_copies_are_given(spark, block):
+    """As SQL has them: pairs of copies with each other, and of copies with near vectors; rows without a vector have none."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 6))
+    vectors = np.concatenate((base, base[:30], np.repeat(base[:1], 200, axis=0)))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(1000, None)], "id long, v array<double>").repartition(4)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.4, 1))
+    found = duplicates.cosine_pairs(rows, "id", "v", 0.4, block=block, all_pairs=True).collect()
+    assert len(found) == len(a) and {(r.a, r.b): r.cosine for r in found} == pytest.approx({(i, j): float(unit[i] @ unit[j]) for i, j in zip(a.tolist(), b.tolist())})
+
+
+def test_near_pairs_of_repeated_embeddings_equal_sql(spark, sf, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet' UNION ALL SELECT vec_id + 10000 * r AS vec_id, * EXCLUDE (vec_id, r) FROM '{sf}/embeddings.parquet', range(1, 4) t(r) WHERE vec_id % 5 = 0")
+    con.execute(f"COPY (SELECT * FROM embeddings) TO '{tmp_path}/embeddings.parquet'")
+    query, sql = training.QUERIES["embedding_near_pairs"]
+    assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(con.execute(sql).fetchall())
+
+
 def test_comparisons_of_many_vectors(spark):
     # Twenty thousand vectors: at a low threshold every pair meets once, at a high one few do.
     rows = spark.range(1, 20_001).select(F.col("id").alias("k"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("id") * i * 12.9898)).alias("v"))
