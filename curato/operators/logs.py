@@ -45,16 +45,16 @@ def parse_progress(lines: DataFrame, line: str, default_total: int) -> DataFrame
 def carry_epoch(parsed: DataFrame, run: str, order: str) -> DataFrame:
     """Replaces epoch 0 by the last one seen in the run's lines before, line by line: of lines with one number, too, each has its own place.
 
-    That place is by what the lines say, as nothing else tells them apart: those with a smaller epoch, step and losses first.
+    That place is by what the lines say, as nothing else tells them apart: those with a smaller epoch, step and losses first. Lines without a number come last.
     """
     rest = [c for c in ("epoch", "step", "total_steps", "train_loss", "validation_loss") if c in parsed.columns]
-    upto = Window.partitionBy(run).orderBy(order, *rest).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy(run).orderBy(F.asc_nulls_last(order), *rest).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return parsed.withColumn("epoch", F.coalesce(F.last(F.when(F.col("epoch") > 0, F.col("epoch")), ignorenulls=True).over(upto), F.lit(0)))
 
 
 def losses_by_epoch(parsed: DataFrame, run: str, order: str) -> DataFrame:
-    """(run, epoch, train_loss, validation_loss): the last losses of each epoch; of lines with one number the largest."""
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(c)
+    """(run, epoch, train_loss, validation_loss): the last losses of each epoch; of lines with one number the largest; lines without a number have none."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull() & F.col(order).isNotNull(), F.struct(order, c))).alias(c)
     return parsed.where("epoch > 0").groupBy(run, "epoch").agg(last("train_loss"), last("validation_loss"))
 
 

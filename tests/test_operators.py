@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from curato.functions import columns, tags as ontology
 from curato.operators import captions, constraints, diversity, duplicates, embeddings, evaluation, graph, ingest, joins, logs, planning, quality, state, statistics, tags
-from curato.plans import training
+from curato.plans import state as plan_state, training
 from curato.plans.stages import Pipeline, Stage
 from curato.sources import files
 from curato.streaming import events
@@ -166,6 +166,21 @@ def test_lines_of_one_number_have_their_own_place(spark):
         assert {(r.run, r.epoch, r.train_loss) for r in logs.losses_by_epoch(carried, "run", "line_no").collect()} == {(1, 1, 0.5), (1, 2, 0.25), (2, 3, 0.3)}
 
 
+@pytest.mark.parametrize("name", ["log_parse", "loss_carry_forward", "loss_by_epoch"])
+def test_log_lines_with_nulls_equal_sql(spark, tmp_path, name):
+    """Lines without a number come last, as in SQL, and a line with a null value is no line."""
+    rows = [(1, 3, 1, 0.1, 0.2), (1, 1, 2, 0.2, 0.3), (1, None, 2, 0.3, 0.1), (1, 7, None, 0.4, 0.1), (2, None, 4, 0.5, 0.1), (2, 6, 5, None, 0.1), (2, 9, 6, None, None), (2, 7, 7, 0.6, 0.2), (3, None, 1, None, 0.2)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lineitem (l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INTEGER, l_tax DOUBLE, l_discount DOUBLE)")
+    con.executemany("INSERT INTO lineitem VALUES (?, ?, ?, ?, ?)", rows)
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+    query, sql = plan_state.QUERIES[name]
+    want = con.execute(sql)
+    columns_ = [d[0] for d in want.description]
+    want = [tuple(r) for r in want.fetchall()]
+    assert sorted(map(str, (tuple(r) for r in query(spark, str(tmp_path)).select(columns_).collect()))) == sorted(map(str, want))
+
+
 def test_hamming_bands_equal_all_pairs(spark):
     rng = random.Random(7)
     base = [rng.getrandbits(63) for _ in range(60)]
