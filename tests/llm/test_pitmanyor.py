@@ -53,6 +53,52 @@ def test_probabilities_add_up_to_one(spark):
         assert total == pytest.approx(1, abs=1e-9)
 
 
+def _tables(count: int, new: float, d: float) -> np.ndarray:
+    """The chance of each number of tables of a pair's customers: weights new ** tables times generalized Stirling numbers."""
+    weight = np.zeros(count + 2)
+    weight[1] = 1.0
+    for n in range(1, count):
+        weight[1:] = new * weight[:-1] + np.maximum(n - d * np.arange(1, count + 2), 0) * weight[1:]
+        weight /= weight.sum()
+    return weight[: count + 1]
+
+
+def test_a_sweep_moves_all_customers_of_a_frequent_pair():
+    """A thousand tables of one customer: all are left in one sweep, not 64 of them."""
+    rng = np.random.default_rng(1)
+    count = np.array([3, 1000, 5000])
+    own, size = np.repeat(np.arange(3), count), np.ones(6003, np.int64)
+    own, size = py.move_all(own, size, count, np.full(3, 0.01), 0.3, rng)
+    assert np.bincount(own, size).tolist() == [3, 1000, 5000] and (np.diff(own) >= 0).all()
+    assert (np.bincount(own)[1:] < 0.6 * count[1:]).all()
+
+
+@pytest.mark.parametrize("new,d", [(0.6, 0.4), (15.0, 0.75)])
+def test_sweeps_of_a_frequent_pair_reach_the_right_number_of_tables(new, d):
+    rng = np.random.default_rng(2)
+    count = np.array([80] * 200)
+    weights, state = np.full(200, new), py.seat(count, np.full(200, new), d, rng)
+    seen = []
+    for turn in range(100):
+        state = py.move_all(*state, count, weights, d, rng)
+        if turn >= 30:
+            seen.append(np.bincount(state[0], minlength=200))
+    seen, chance = np.concatenate(seen), _tables(80, new, d)
+    n = np.arange(81)
+    mean = (n * chance).sum()
+    assert seen.mean() == pytest.approx(mean, abs=0.05 * math.sqrt((n * n * chance).sum() - mean**2) + 0.02)
+    assert seen.var() == pytest.approx((n * n * chance).sum() - mean**2, rel=0.1)
+
+
+@pytest.mark.parametrize("new", [0.4, 1.2, 6.0])
+def test_tables_in_the_parent_are_drawn_from_their_distribution(new):
+    rng = np.random.default_rng(3)
+    for count in (2, 3, 7, 64, 700):
+        found = np.bincount(py.root_tables(np.full(40_000, count), new, rng), minlength=count + 1)[: count + 1] / 40_000
+        assert np.abs(found - _tables(count, new, py.ROOT_DISCOUNT)).max() < 0.012
+    assert (py.root_tables(np.array([0, 1, 10**9]), new, rng)[:2] == 1).all()
+
+
 def test_gibbs_steps_keep_customers_and_reach_the_right_number_of_tables():
     rng = np.random.default_rng(0)
     count = np.array([2] * 4000 + [3] * 4000)
